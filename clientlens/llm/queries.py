@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from clientlens.llm import line_dedup, mixing
+from clientlens.llm import line_dedup, media, mixing, packing, warc
 
 
 def queries() -> dict:
     return {
         "op1_line_dedup": line_dedup.op1,
+        "op3_packing": packing.op3,
+        "op4_media_columns": media.op4,
         "op6_mixing": mixing.op6,
+        "op10_warc": warc.op10,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": line_dedup.OP1_SQL}
+    return {"op1_line_dedup": line_dedup.OP1_SQL, "op10_warc": warc.OP10_SQL}
