@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from clientlens.llm import line_dedup, media, mixing, ngram_join, packing, warc
+from clientlens.llm import line_dedup, media, mixing, ngram_join, packing, toxicity, warc
 
 
 def queries() -> dict:
     return {
         "op1_line_dedup": line_dedup.op1,
+        "op2_toxicity": toxicity.op2,
         "op3_packing": packing.op3,
         "op4_media_columns": media.op4,
         "op6_mixing": mixing.op6,
