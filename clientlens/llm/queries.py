@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from clientlens.llm import line_dedup, media, mixing, ngram_join, packing, toxicity, warc
+from clientlens.llm import line_dedup, media, mixing, ngram_join, packing, pii, toxicity, warc
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_packing": packing.op3,
         "op4_media_columns": media.op4,
         "op6_mixing": mixing.op6,
+        "op7_pii": pii.op7,
         "op8_ngram_join": ngram_join.op8,
         "op10_warc": warc.op10,
     }
