@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from clientlens.llm import line_dedup, media, mixing, ngram_join, packing, pii, toxicity, warc
+from clientlens.llm import fingerprint, line_dedup, media, mixing, ngram_join, packing, pii, toxicity, warc
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_toxicity": toxicity.op2,
         "op3_packing": packing.op3,
         "op4_media_columns": media.op4,
+        "op5_fingerprint": fingerprint.op5,
         "op6_mixing": mixing.op6,
         "op7_pii": pii.op7,
         "op8_ngram_join": ngram_join.op8,
