@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from clientlens.llm import fingerprint, line_dedup, media, mixing, ngram_join, packing, pii, toxicity, warc
+from clientlens.llm import fingerprint, line_dedup, media, mixing, ngram_join, packing, pii, repeats, toxicity, warc
 
 
 def queries() -> dict:
@@ -15,6 +15,7 @@ def queries() -> dict:
         "op6_mixing": mixing.op6,
         "op7_pii": pii.op7,
         "op8_ngram_join": ngram_join.op8,
+        "op9_suffix_dedup": repeats.op9,
         "op10_warc": warc.op10,
     }
 
