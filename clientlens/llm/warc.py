@@ -51,13 +51,19 @@ def url_key(url: str | None) -> str:
 
 def with_roles(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """(page_id, url, html, digest, size, first): ``first`` is the smallest
-    page_id among records of an equal payload of at least ``min_bytes``."""
+    page_id among records of an equal payload of at least ``min_bytes``.
+
+    Groups form over ids and digests; the payloads themselves move only if the
+    list of revisits is too large for Spark to broadcast by its own size check."""
     html = F.coalesce(F.col("html"), F.lit(""))
     d = pages.select(F.col("page_id").cast("bigint"), "url", html.alias("html")).withColumns(
         {"digest": base32_sha1(F.col("html")), "size": F.octet_length("html").cast("long")}
     )
-    firsts = d.where(F.col("size") >= min_bytes).groupBy(F.col("digest").alias("_g")).agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("_n"))
-    return d.join(firsts.where("_n > 1").select("_g", "first"), F.col("digest") == F.col("_g"), "left").drop("_g")
+    light = d.select("page_id", "digest", "size")
+    firsts = light.where(F.col("size") >= min_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
+    again = light.join(firsts.where("n > 1 and first is not null"), "digest").where(~F.col("page_id").eqNullSafe(F.col("first")))
+    again = stored(again.select(F.col("page_id").alias("_p"), F.col("digest").alias("_d"), "first").distinct(), "revisits")
+    return d.join(again, F.col("page_id").eqNullSafe(F.col("_p")) & (F.col("digest") == F.col("_d")), "left").drop("_p", "_d")
 
 
 def _date(page_id) -> dt.datetime:
@@ -88,7 +94,7 @@ def record(page_id, url, html: str, digest: str, size: int, first) -> bytes:
 
 
 def write_archives(roles: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
-    """A gzip member per record in ``folder``; (archive, records) of each file."""
+    """A gzip member per record in ``folder``; (archive, bytes) of each file."""
 
     def write(batches):
         from pyspark import TaskContext
@@ -98,7 +104,7 @@ def write_archives(roles: DataFrame, folder: str, archive_bytes: int = ARCHIVE_B
         def closed():
             uri = f"{folder}/part-{part:06d}-{count:05d}.warc.gz"
             files.write_whole(uri, buf.getvalue())
-            return pa.RecordBatch.from_pydict({"archive": [uri], "records": [n]})
+            return pa.RecordBatch.from_pydict({"archive": [uri], "bytes": [buf.tell()]})
 
         for b in batches:
             for row in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "html", "digest", "size", "first")), strict=True):
@@ -110,7 +116,7 @@ def write_archives(roles: DataFrame, folder: str, archive_bytes: int = ARCHIVE_B
         if n:
             yield closed()
 
-    return roles.mapInArrow(write, "archive string, records bigint")
+    return roles.mapInArrow(write, "archive string, bytes bigint")
 
 
 def _members(uri: str, window: int = 1 << 20):
@@ -270,7 +276,8 @@ def warc_index(pages: DataFrame, min_bytes: int = 0, folder: str | None = None)
     spark = pages.sparkSession
     folder = folder or shared_dir(spark, "warc")
     archives = stored(write_archives(with_roles(pages, min_bytes), folder), "warc-files")
-    k = max(1, archives.count())
+    total = archives.agg(F.sum("bytes")).first()[0] or 0
+    k = int(max(spark.sparkContext.defaultParallelism, -(-total // ARCHIVE_BYTES)))
     runs = stored(read_runs(archives.repartition(k)), "warc-runs")
     return merge_runs(runs)
 
