@@ -1 +1 @@
-
+"""Column functions over log entries, hosts and User-Agents."""

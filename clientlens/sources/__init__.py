@@ -1 +1 @@
-
+"""Readers of server logs and of range feeds."""
