@@ -61,7 +61,7 @@ def with_order(flagged: DataFrame) -> DataFrame:
 
 
 def coload(flagged: DataFrame) -> DataFrame:
-    """(client, pages_total, pages_satisfied): a page is satisfied by an asset
+    """(client, pages_total, pages_satisfied) of clients with timed pages or assets: a page is satisfied by an asset
     that names it as referer within ten seconds; one asset satisfies one page,
     the oldest waiting, and pages that waited longer fall away.
 
