@@ -1,0 +1,308 @@
+"""Training-data operators: brute force on messy small tables."""
+
+import hashlib
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from clientlens.llm import fingerprint, line_dedup, media, mixing, ngram_join, packing, pii, repeats, tokens, toxicity, warc
+from clientlens.llm.common import connected_components
+from clientlens.llm.shingles import shingle_set
+from clientlens.llm.suffixes import suffix_array
+
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, size string, rank int, key string, tie string, n string"
+LONG = " ".join(f"w{i % 997}x{i // 7}" for i in range(30_000))
+SHARED = "This very line is shared by many documents."
+BASE = " ".join(f"word{i}" for i in range(60))
+TEXTS = [
+    (0, f"{SHARED}\nalpha beta\n\n  {SHARED.upper()} \n"), (1, f"{SHARED}\ngamma"), (2, f"x\n{SHARED}"), (3, None), (4, ""), (5, " \t\n "), (6, LONG),
+    (7, BASE), (8, BASE + " tail"), (9, BASE.replace("word30", "other")), (10, BASE), (10, BASE), (None, BASE), (None, None),
+    (11, "one two three four"), (12, "ONE two\tthree  four"), (13, "é" * 150 + "a" * 260), (14, "mail bob@example.com or Bob@example.com now"), (15, "z"),
+]
+
+
+def table(spark, rows):
+    full = [(d, t, None if d == 3 else "en", None if d in (2, 3) else f"s{(d or 0) % 3}", len(t or ""), "s", 1, "k", "t", "n") for d, t in rows]
+    return spark.createDataFrame(full, SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return table(spark, TEXTS).cache()
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return table(spark, [])
+
+
+def lines_by_hand(rows):
+    key = lambda x: x.strip(" \t\n\x0b\x0c\r").translate({c: c + 32 for c in range(65, 91)})
+    held = {}
+    for d, t in rows:
+        for x in (t or "").split("\n"):
+            if len(key(x)) >= 20 and d is not None:
+                held.setdefault(key(x), set()).add(d)
+    out = []
+    for d, t in rows:
+        parts = (t or "").split("\n")
+        kept = [x for x in parts if not (len(held.get(key(x), ())) >= 3 and d != max(held[key(x)]))]
+        out.append((d, "\n".join(kept), len(parts), len(parts) - len(kept)))
+    return out
+
+
+def test_line_dedup(docs, none):
+    got = [(r["doc_id"], r["text"] or "", r["n_lines"], r["n_dropped"]) for r in line_dedup.line_dedup(docs).collect()]
+    order = lambda x: (x[0] is None, x[0] or 0, x[1])
+    assert sorted(got, key=order) == sorted(lines_by_hand(TEXTS), key=order)
+    assert line_dedup.line_dedup(none).count() == 0
+    assert line_dedup.line_dedup(docs).columns[: len(docs.columns)] == docs.columns
+
+
+def test_mixing(spark, docs, none):
+    out = mixing.mix(docs).select("doc_id", "source", "size", "source_size", "target", "copies").collect()
+    assert len(out) == len(TEXTS) and all(0 <= r["copies"] <= 2 for r in out)
+    by = {r["source"]: (r["source_size"], r["target"]) for r in out}
+    order = sorted((s for s in by if s is not None)) + [None]
+    weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(order)}
+    total, open_, want = 1.5 * sum(v[0] for v in by.values()), set(by), {}
+    while True:
+        left = total - sum(want.values())
+        level = {s: left * weight[s] / sum(weight[x] for x in open_) for s in open_}
+        over = {s for s in open_ if level[s] > 2 * by[s][0]}
+        if not over:
+            break
+        want |= {s: 2.0 * by[s][0] for s in over}
+        open_ -= over
+    want |= level
+    assert all(abs(by[s][1] - want[s]) < 1e-6 for s in by)
+    assert mixing.mix(none).count() == 0
+    big = table(spark, [(i, "w " * (1 + i * 7 % 50)) for i in range(600)])
+    again = [sorted((r["doc_id"], r["copies"]) for r in mixing.mix(big).select("doc_id", "copies").collect()) for _ in range(2)]
+    assert again[0] == again[1]
+    for r in mixing.mix(big).groupBy("source").agg(F.sum(F.col("copies") * F.col("size")).alias("k"), F.first("target").alias("t")).collect():
+        assert abs(r["k"] - r["t"]) <= 10
+
+
+def test_packing(docs, none):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokens.vocab_path())
+    rows = packing.pack(docs).collect()
+    got, seqs = {}, {}
+    for r in sorted(rows, key=lambda r: r["start"]):
+        got.setdefault((r["doc_id"], r["doc_tokens"]), []).append(r)
+        seqs.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for d, text in TEXTS:
+        ids = np.array([*t.encode(text or "", add_special_tokens=False).ids, 0], dtype="<u4")
+        parts = got[(d, len(ids))]
+        crcs = {(r["start"], r["length"], r["ids_crc32"]) for r in parts}
+        assert all(zlib.crc32(ids[s : s + n].tobytes()) == c for s, n, c in crcs)
+        assert sum(n for _, n, _ in crcs) >= len(ids)
+    for pieces in seqs.values():
+        at = 0
+        for o, n in sorted(pieces):
+            assert o == at
+            at += n
+        assert at <= 1024
+    assert packing.pack(none).count() == 0
+
+
+def test_hilbert_neighbours():
+    g = np.stack(np.meshgrid(*[np.arange(8)] * 3, indexing="ij"), -1).reshape(-1, 3)
+    k = packing.hilbert_key(g, 3)
+    assert sorted(k) == list(range(512))
+    assert (np.abs(np.diff(g[np.argsort(k)], axis=0)).sum(axis=1) == 1).all()
+
+
+def test_media(spark, docs, none, tmp_path):
+    out = media.media_columns(docs).collect()
+    pay = lambda b: b.ljust(max(1, -(-len(b) // 192)) * 192)
+    want = sorted((str(d), len((t or "").encode()), hashlib.sha256(pay((t or "").encode())).hexdigest()) for d, t in TEXTS)
+    assert sorted((str(r["doc_id"]), r["n_bytes"], r["payload_sha256"]) for r in out) == want
+    assert media.media_columns(none).count() == 0
+
+
+def test_damaged_member_leaves_others(spark, docs, tmp_path):
+    folder = f"file://{tmp_path}/a"
+    media.write_archives(docs.coalesce(1), folder).collect()
+    (name,) = [p for p in (tmp_path / "a").iterdir()]
+    raw = bytearray(name.read_bytes())
+    raw[200] ^= 255
+    name.write_bytes(raw)
+    rows = media.read_archives(spark, folder).collect()
+    assert len(rows) == len(TEXTS) and sum(r["error"] is not None for r in rows) == 1
+
+
+def digests(text):
+    words = r"(?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]*){1,32}"
+    return {m.group().rstrip(" ") for x in text.split("\n") for m in re.finditer(words, x)}
+
+
+def test_fingerprints(spark, docs, none):
+    out = fingerprint.fingerprints(docs)
+    assert out.count() == len(TEXTS)
+    rows = [(i, f"line {i} is here\n" * 3 + "\n".join(f"p{i}-{j} text" for j in range(i * 9))) for i in range(12)]
+    got = {r["doc_id"]: r for r in fingerprint.fingerprints(table(spark, rows)).collect()}
+    order = sorted(rows, reverse=True)
+    for (d, t), (_, nxt) in zip(order, order[1:] + order[:1], strict=True):
+        k = len(t) // 3
+        edited = t[: len(t) - k] + nxt[:k]
+        assert got[d]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+        a, b = digests(t), digests(edited)
+        assert abs(got[d]["near_edited"] - len(a & b) / len(a | b)) < 1e-9
+    assert fingerprint.fingerprints(none).count() == 0
+    same = fingerprint.fingerprints(docs).where("doc_id in (7, 10)").select("fingerprint").distinct().count()
+    assert same == 1
+
+
+def test_pii(spark, docs, none):
+    rows = [
+        (1, "Write to Ann.Lee@mail.example.org or +1 (743) 555-3824, host 10.20.30.40."), (2, "ann.lee@mail.example.org; 743-555-3824; card 4012 8888 8888 1881"),
+        (3, "Mrs Anna Smith met Mr John Smith. Herr Smith left. Г-жа Иванова пришла."), (4, None), (5, "nothing here 12.5"),
+    ]
+    got = {r["doc_id"]: r for r in pii.surrogate_text(table(spark, rows)).collect()}
+    one, two, three = got[1]["text"], got[2]["text"], got[3]["text"]
+    assert got[1]["n_entities"] == 3 and got[1]["kinds"] == "email,ip,phone" and got[4]["text"] is None and got[5]["text"] == rows[4][1]
+    mail = re.search(r"to (\S+) or", one)[1]
+    assert mail.lower() == two.split(";")[0] and mail != "Ann.Lee@mail.example.org" and mail.endswith(".org") and mail[0].isupper()
+    assert re.sub(r"\D", "", re.search(r"\+1 \(\d{3}\) \d{3}-\d{4}", one)[0])[1:] == re.sub(r"\D", "", two.split(";")[1])
+    digits = [int(x) for x in re.sub(r"\D", "", two.split("card")[1])]
+    assert sum(sum(divmod(d * (2 if i % 2 else 1), 10)) for i, d in enumerate(reversed(digits))) % 10 == 0
+    names = re.match(r"Mrs (\w+) (\w+) met Mr (\w+) (\w+)\. Herr (\w+) left\. Г-жа ([а-яА-Я]+) пришла\.", three)
+    assert names and names[2] == names[4] == names[5] != "Smith" and names[1] != names[3] and names[1].endswith("a")
+    assert pii.surrogate_text(none).count() == 0 and pii.surrogate_text(docs).count() == len(TEXTS)
+
+
+def test_surrogates_stay_distinct(spark):
+    e = spark.createDataFrame([("family", a + b) for a in "bcdfgh" for b in "aeiou"] * 2, "kind string, canon string")
+    out = pii.surrogates(e).collect()
+    assert len(out) == 30 and len({r["made"] for r in out}) == 30 and not {r["made"] for r in out} & {r["canon"] for r in out}
+
+
+def components_by_hand(rows):
+    sets = {}
+    for d, t in rows:
+        w = re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower())
+        sets[d] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    up = {d: d for d in sets}
+
+    def root(d):
+        while up[d] != d:
+            d = up[d]
+        return d
+
+    ids = sorted(sets)
+    for i, a in enumerate(ids):
+        for b in ids[i + 1 :]:
+            x, y = sets[a], sets[b]
+            if x and y and 100 * len(x & y) >= 75 * len(x | y):
+                p, q = sorted((root(a), root(b)))
+                up[q] = p
+    return {d: (len(sets[d]), root(d)) for d in sets}
+
+
+def test_ngram_join(spark, docs, none):
+    known = [r for r in TEXTS if r[0] is not None]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_components(docs).collect() if r["doc_id"] is not None}
+    assert got == components_by_hand(known)
+    assert ngram_join.ngram_components(none).count() == 0
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(120):  # chains of edits of all sizes, near the threshold
+        n = int(rng.integers(1, 90))
+        w = [f"v{x}" for x in rng.integers(0, 10**6, n)] if i % 4 == 0 else rows[-1][1].split()
+        for _ in range(int(rng.integers(0, 3))):
+            w[int(rng.integers(0, len(w)))] = f"e{rng.integers(0, 10**6)}"
+        rows.append((i, " ".join(w)))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_components(table(spark, rows)).collect()}
+    assert got == components_by_hand(rows)
+
+
+def test_sketch_is_a_lower_bound():
+    rng = np.random.default_rng(5)
+    for _ in range(50):
+        a = np.unique(rng.integers(0, 2**63, int(rng.integers(1, 300)), dtype=np.uint64))
+        b = np.unique(np.concatenate([a[: len(a) // 2], rng.integers(0, 2**63, int(rng.integers(1, 300)), dtype=np.uint64)]))
+        assert ngram_join.sketch_distance(ngram_join.parity_sketch(a), ngram_join.parity_sketch(b)) <= len(np.setxor1d(a, b))
+    assert len(shingle_set(None)) == 0 and len(shingle_set(b"a b")) == 1
+
+
+def test_components(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(50, 60), (60, 55), (7, 7)], "a bigint, b bigint")
+    got = {r["node"]: r["component"] for r in connected_components(edges).collect()}
+    assert got == {**{i: 0 for i in range(21)}, 50: 50, 60: 50, 55: 50}
+
+
+def test_suffix_array():
+    rng = np.random.default_rng(1)
+    for n, k in ((1, 2), (3, 2), (200, 2), (500, 4), (900, 2000)):
+        t = np.append(rng.integers(1, k + 1, n), 0)
+        assert suffix_array(t, k + 1).tolist() == sorted(range(len(t)), key=lambda i: t[i:].tolist())
+
+
+def repeats_by_hand(rows):
+    seen, out = set(), {}
+    for d, t in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
+        b = (t or "").encode()
+        gone = bytearray(len(b))
+        for i in range(len(b) - 99):
+            if b[i : i + 100] in seen:
+                gone[i : i + 100] = b"\1" * 100
+            seen.add(b[i : i + 100])
+        out[d] = (bytes(c for c, g in zip(b, gone, strict=True) if not g), sum(gone))
+    return out
+
+
+def test_suffix_dedup(spark, docs, none):
+    rng = np.random.default_rng(8)
+    common = ["".join(rng.choice(list("abcdefg "), 180)) for _ in range(4)]
+    rows = [(i, "".join(rng.choice([*common, "".join(rng.choice(list("xyz "), 60)), "q" * 130], 6))) for i in range(60)]
+    for data in (rows, [r for r in dict(TEXTS).items() if r[0] is not None]):
+        got = {r["doc_id"]: (bytes(r["kept"]), r["n_removed"]) for r in repeats.suffix_dedup(table(spark, data)).collect()}
+        assert got == repeats_by_hand(data)
+    assert repeats.suffix_dedup(none).count() == 0 and repeats.suffix_dedup(docs).count() == len(TEXTS)
+
+
+def test_toxicity(spark, none):
+    rng = np.random.default_rng(2)
+    words = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), int(rng.integers(3, 8)))) for _ in range(300)]
+    rows, labels = [], []
+    for i in range(400):
+        w = list(rng.choice(words, 40))
+        bad = i % 5 == 1
+        if bad:
+            w[int(rng.integers(0, 40))] = "dreadful"
+        rows.append((i, " ".join(w)))
+        labels.append((i, 1, int(bad)))
+    plain = " ".join(words[:30])
+    rows += [(1000, plain + " dr3adfu1"), (1001, plain + " d r e a d f u l"), (1002, plain + " dreeeeadful"), (1003, plain), (1004, None), (None, "")]
+    lab = spark.createDataFrame([*labels, (None, 0, 1), (5000, 0, None)], "doc_id bigint, quality int, toxic int")
+    got = {r["doc_id"]: r for r in toxicity.toxicity(table(spark, rows), lab).collect()}
+    right = sum(got[i]["predicted"] == t for i, _, t in labels if got[i]["held_out"])
+    held = sum(got[i]["held_out"] for i, _, _ in labels)
+    assert held > 40 and right >= 0.97 * held
+    assert [got[i]["predicted"] for i in (1000, 1001, 1002, 1003, 1004)] == [1, 1, 1, 0, 0]
+    assert toxicity.toxicity(none, lab.limit(0)).count() == 0
+
+
+def test_warc(spark):
+    rows = [(3, "http://www.a.org/x?b=1#f", "same"), (1, "https://a.org/x?b=1", "same"), (2, None, None), (4, "http://b.net:8080/", ""), (1, "u", "same"), (None, "http://[bad", "same"), (9, "http://c.d", "é" * 5000)]
+    pages = spark.createDataFrame([(*r, 1, "s") for r in rows], "page_id bigint, url string, html string, nth int, stamp string")
+    got = warc.warc_index(pages).collect()
+    assert sorted((r["page_id"] or -1, r["record_type"], r["refers_to"] or -1, r["payload_bytes"]) for r in got) == sorted([
+        (3, "revisit", 1, 4), (1, "response", -1, 4), (1, "response", -1, 4), (2, "response", -1, 0), (4, "revisit", 2, 0), (-1, "revisit", 1, 4), (9, "response", -1, 10000),
+    ])
+    assert [r["urlkey"] for r in got] == sorted(r["urlkey"] for r in got)
+    assert [r["nth"] for r in got if r["urlkey"] == "org,a)/x?b=1"] == [1, 2]
+    assert warc.warc_index(pages.limit(0)).count() == 0
+
+
+def test_loser_tree():
+    rng = np.random.default_rng(6)
+    for k in (0, 1, 2, 5, 13):
+        runs = [sorted((int(x), i) for x in rng.integers(0, 50, int(rng.integers(0, 20)))) for i in range(k)]
+        assert list(warc.LoserTree(runs)) == sorted(x for r in runs for x in r)
