@@ -131,7 +131,7 @@ def _classified(spark, d):
 
 
 def client_scores(spark, d) -> DataFrame:
-    kinds = ["search_engine", "ai_crawler", "vuln_scanner", "spam_bot", "feed_reader", "monitor", "scraper", "crawler"]
+    kinds = ["search_engine", "ai_crawler", "vuln_scanner", "feed_reader", "monitor"]
     return _classified(spark, d).select(*KEY, *[F.col(f"s_{k}") for k in kinds])
 
 
@@ -298,6 +298,24 @@ def oracle_sql() -> dict[str, str]:
         "referer_following": f"WITH {FLAGS}, {ORDERED}, {FEATURES} SELECT {key}, followed, round(followed / requests, 6) AS follow_ratio FROM q",
         "request_buckets": f"WITH {FLAGS}, t AS (SELECT {key}, ((epoch_us(ts) // 60000000))::BIGINT AS m FROM f), w AS (SELECT *, min(m) OVER (PARTITION BY {key}) AS lo, max(m) OVER (PARTITION BY {key}) AS hi FROM t) SELECT {key}, least(((m - lo) * 40) // (hi - lo), 39)::INT AS bucket, count(*) AS requests FROM w WHERE hi > lo GROUP BY ALL",
         "ua_count_for_ip": f"WITH log AS ({derived.SQL}) SELECT remote_host AS ip, count(DISTINCT user_agent) + max((user_agent IS NULL)::INT) AS uas FROM log GROUP BY 1",
+        "client_scores": f"""WITH {FLAGS}, {ORDERED}, {FEATURES}, {UA}, s AS (
+            SELECT client_ip, client_ua, agent_category, ua_feed, requests AS n, 0.7 + 0.08 * fetched::INT + 0.05 * (probe_hits = 0 AND traversal_hits = 0)::INT AS known,
+              0.45 * (probe_hits >= 3 OR probe_hits / requests >= 0.5)::INT + 0.2 * (probe_hits BETWEEN 1 AND 2 AND probe_hits / requests < 0.5)::INT
+              + 0.3 * (n404 / requests > 0.6 AND distinct_404 >= 15)::INT + 0.3 * (n403 >= 5 AND n403 / requests >= 0.5)::INT + 0.15 * (traversal_hits > 0)::INT AS scan,
+              0.1 * coalesce(med < 0.5 AND requests >= 5, FALSE)::INT AS quick, feed_hits / requests >= 0.5 AS much,
+              0.2 * (feed_hits > 0 AND feed_hits / requests < 0.5)::INT + 0.5 * (feed_hits / requests >= 0.5)::INT + 0.5 * ua_feed
+              + 0.1 * (distinct_targets <= 3 AND requests >= 4)::INT + 0.1 * coalesce(regularity < 0.3 AND requests >= 4, FALSE)::INT + 0.1 * (n304 > 0)::INT
+              + 0.1 * (heads / requests > 0.2)::INT AS feeds,
+              0.2 * (distinct_targets <= 2 AND requests >= 5)::INT + 0.2 * (heads / requests > 0.5)::INT + 0.25 * coalesce(regularity < 0.2 AND requests >= 5, FALSE)::INT AS watch
+            FROM q JOIN u ON client_ua = u.user_agent)
+            SELECT client_ip, client_ua, round(CASE WHEN agent_category = 'search_engine' THEN known END, 3)::DOUBLE AS s_search_engine,
+              round(CASE WHEN agent_category = 'ai_crawler' THEN known END, 3)::DOUBLE AS s_ai_crawler,
+              round(CASE WHEN scan > 0 THEN least(scan + quick, 1) END, 3)::DOUBLE AS s_vuln_scanner,
+              round(CASE WHEN ua_feed = 1 OR much THEN least(feeds, 1) END, 3)::DOUBLE AS s_feed_reader,
+              round(CASE WHEN watch > 0 THEN watch END, 3)::DOUBLE AS s_monitor FROM s""",
+        "ua_version_band": f"""WITH log AS ({derived.SQL}), v AS (SELECT DISTINCT user_agent, regexp_extract(user_agent, '(Firefox|Chrome|Version)/', 1) AS fam, nullif(regexp_extract(user_agent, '(?:Firefox|Chrome|Version)/([0-9]+)', 1), '')::BIGINT AS m FROM log),
+            a AS (SELECT *, date_diff('day', CASE fam WHEN 'Chrome' THEN DATE '2023-12-06' + ((m - 120) * 30)::INT WHEN 'Firefox' THEN DATE '2023-12-19' + ((m - 121) * 30)::INT ELSE DATE '2023-09-18' + ((m - 17) * 365)::INT END, DATE '2024-01-31') / 30.4 AS age FROM v WHERE m IS NOT NULL)
+            SELECT user_agent, CASE WHEN fam = 'Version' THEN CASE WHEN age < -13 THEN NULL WHEN age <= 13 THEN 'current' WHEN age >= 24 THEN 'stale' END WHEN age < -12 THEN 'impossible' WHEN age <= 6 THEN 'current' WHEN age >= 36 THEN 'ancient' WHEN age >= 18 THEN 'stale' END AS band FROM a""",
         "range_attribution": f"WITH {_RANGED} SELECT ip, b.rank AS rank, b.name AS name FROM hits",
         "identity_subnet": f"WITH log AS ({derived.SQL}) SELECT regexp_replace(remote_host, '[^.]*$', '0/24') AS client_ip, user_agent AS client_ua, count(*) AS requests FROM log GROUP BY ALL",
         "redirect_shadow": f"WITH {FLAGS} SELECT site, count(*) AS requests, count_if(starts_with(host, 'www.')) AS www, count_if(starts_with(host, 'www.') AND status BETWEEN 300 AND 399) AS www_3xx, count_if(NOT starts_with(host, 'www.')) AS bare, count_if(NOT starts_with(host, 'www.') AND status BETWEEN 300 AND 399) AS bare_3xx FROM f GROUP BY 1",

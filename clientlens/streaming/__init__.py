@@ -1 +1 @@
-
+"""Clients and cadence over a stream of entries."""
