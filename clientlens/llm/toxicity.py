@@ -122,7 +122,7 @@ class Features(dict):
         out = [f"={word}", *(f"^{word[:n]}" for n in PREFIXES if len(word) >= n)] if 2 < len(word) <= 40 else []
         if self.known is not None:
             out = [f for f in out if f in self.known]
-        if len(self) >= 400_000:
+        if len(self) >= 200_000:
             self.clear()
         if len(token) <= 64:
             self[token] = tuple(out)
