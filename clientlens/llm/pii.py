@@ -11,7 +11,7 @@ KEY = "clientlens-surrogates"
 # Forms of entities (Java regular expressions), first match wins.
 FORMS = {
     "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++(?<!\.)@[\p{L}\p{N}\-]+(?:\.[\p{L}\p{N}\-]+)+",
-    "secret": r"(?<![\p{L}\p{N}])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|(?:sk|pk|rk)[_-][\p{L}\p{N}_\-]{16,64}|gh[pousr]_[\p{L}\p{N}]{20,64}|AKIA[0-9A-Z]{16})(?![\p{L}\p{N}])",
+    "secret": r"(?<![\p{L}\p{N}])(?:(?=[a-f]*[0-9])[0-9a-f]{32,128}|(?=[A-F]*[0-9])[0-9A-F]{32,128}|(?:sk|pk|rk)[_-][\p{L}\p{N}_\-]{16,64}|gh[pousr]_[\p{L}\p{N}]{20,64}|AKIA[0-9A-Z]{16})(?![\p{L}\p{N}])",
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
     "ip": r"(?<![\p{N}.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})(?!\.?[0-9])",
     "ssn": r"(?<![\p{N}\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\-\p{N}])",
@@ -26,6 +26,12 @@ LETTERS = (  # fixed values: letters of each script that stand for one another
     (r"\p{IsLatin}", "aeiou"),
 )
 PATTERN = "|".join(f"(?:{p})" for p in FORMS.values())
+#: Every form has one of these signs; texts without any are not searched further.
+#: One class of first characters, then a look at what follows: a fast scan.
+NEEDED = (
+    r"[0-9@MHFSГΚAspgr](?<=[0-9@]|[spr](?=k[_-])|g(?=h[pousr]_)|A(?=KIA)|"
+    r"[MHFSГΚ](?=(?:r|rs|s|iss|err|rau|onsieur|adame|me|eñora?|ra|-жа|-н|υρία|ύριος)\.? \p{Lu}))"
+)
 DIGITS, HEX = "0123456789", "0123456789abcdef"
 RETRIES = 40
 
@@ -196,7 +202,8 @@ def surrogate_text(docs: DataFrame, key: str = KEY) -> DataFrame:
     first, so that a frequent entity is a join that can be split.
     """
     made = ("n_entities", "kinds")
-    d = docs.drop(*made).withColumn("_ents", F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(PATTERN), F.lit(0)))
+    found = F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0))
+    d = docs.drop(*made).withColumn("_ents", F.when(F.col("text").rlike(NEEDED), found).otherwise(F.array().cast("array<string>")))
     some = d.where(F.size("_ents") > 0).withColumn("_rk", row_key())
     hits = (
         some.select("_rk", F.posexplode("_ents").alias("pos", "m"))
