@@ -13,7 +13,7 @@ from clientlens.llm import tokens
 
 LENGTH = 1024
 DIMS, BITS, CELLS, SEED = 3, 16, 256, 20240229
-BYTES_PER_PARTITION = 16 << 20
+BYTES_PER_PARTITION = 6 << 20
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 
