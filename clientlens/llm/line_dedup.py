@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clientlens.llm.common import SPACE, lower_ascii, row_key
+from clientlens.llm.common import SPACE, lower_ascii, row_key, stored
 
 MIN_CHARS, MIN_DOCS = 20, 3
 
@@ -45,6 +45,7 @@ def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_
         .where(F.col("_n") >= min_docs)
         .select("_h", "_keep")
     )
+    shared = stored(shared, "shared-lines")  # a written side: Spark can split a hot line's rows, or broadcast it if small
     dropped = (
         cand.join(shared, "_h")
         .where(F.col("_d").isNull() | (F.col("_d") != F.col("_keep")))
