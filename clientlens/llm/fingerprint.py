@@ -135,7 +135,7 @@ def differences(pairs: DataFrame) -> DataFrame:
 
 
 def next_documents(keys: DataFrame) -> DataFrame:
-    """(rk, next_rk, n_chars): the next document by descending doc_id, after the
+    """(rk, next_rk, n_chars, copies): the next document by descending doc_id, after the
     last one the first.  Ids are range partitioned, each range orders its own,
     and ranges are linked through their first rows, one row a range."""
     keys = stored(keys, "doc-keys")
@@ -143,13 +143,13 @@ def next_documents(keys: DataFrame) -> DataFrame:
     order = [F.col("doc_id").desc_nulls_last(), F.col("rk")]
     ranged = stored(keys.repartitionByRange(n, *order).withColumn("pid", F.spark_partition_id()), "doc-ranges")
     w = Window.partitionBy("pid").orderBy(*order)
-    local = ranged.select("pid", "rk", "n_chars", F.lead("rk").over(w).alias("next_rk"), F.row_number().over(w).alias("i"))
+    local = ranged.select("pid", "rk", "n_chars", "copies", F.lead("rk").over(w).alias("next_rk"), F.row_number().over(w).alias("i"))
     local = stored(local, "doc-order")
     heads = local.where("i = 1").select("pid", "rk")
     row = Window.orderBy("pid")
     every = row.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     after = heads.select("pid", F.coalesce(F.lead("rk").over(row), F.first("rk").over(every)).alias("after"))
-    return local.join(F.broadcast(after) if n <= 10_000 else after, "pid").select("rk", F.coalesce("next_rk", "after").alias("next_rk"), "n_chars")
+    return local.join(F.broadcast(after) if n <= 10_000 else after, "pid").select("rk", F.coalesce("next_rk", "after").alias("next_rk"), "n_chars", "copies")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -170,36 +170,34 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     short arrays of digests.
     """
     d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("rk", row_key())
-    links = next_documents(d.select("doc_id", "rk", F.char_length("text").cast("long").alias("n_chars")).distinct())
+    ids = d.select("doc_id", "rk", F.char_length("text").cast("long").alias("n_chars"))
+    links = next_documents(ids.groupBy("doc_id", "rk", "n_chars").agg(F.count(F.lit(1)).cast("int").alias("copies")))
     k = F.floor(F.col("n_chars") / 3).cast("int")
     heads = (
-        d.join(links.select(F.col("next_rk").alias("rk"), F.col("rk").alias("prev"), "n_chars"), "rk")
-        .select(F.col("prev").alias("rk"), F.col("rk").alias("next_rk"), "n_chars", F.left("text", k).alias("head"))
-        .groupBy("rk").agg(F.first("next_rk").alias("next_rk"), F.first("n_chars").alias("n_chars"), F.first("head").alias("head"))
+        d.join(links.select(F.col("next_rk").alias("rk"), F.col("rk").alias("prev"), "n_chars", "copies"), "rk")
+        .select(F.col("prev").alias("rk"), F.col("rk").alias("next_rk"), "n_chars", "copies", F.left("text", k).alias("head"))
+        .groupBy("rk").agg(*[F.first(c).alias(c) for c in ("next_rk", "n_chars", "copies", "head")])
     )
     edited = F.concat(F.left("text", (F.col("n_chars") - k).cast("int")), F.col("head"))
     base = stored(
         d.join(heads, "rk").withColumn("edited", edited).select(
-            "doc_id", "rk", "next_rk", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
+            "doc_id", "rk", "next_rk", "n_chars", "copies", F.sha2("edited", 256).alias("edited_sha256"),
             paragraphs(F.col("text")).alias("own"), paragraphs(F.col("edited")).alias("new"),
-        ),
+        ).dropDuplicates(["rk"]),
         "paragraphs",
     )
-    one = base.dropDuplicates(["rk"])
-    following = one.select(F.col("rk").alias("next_rk"), F.col("own").alias("then"))
-    pairs = one.join(following, "next_rk").select(
-        F.col("rk").alias("id"),
-        F.explode(F.array(
-            F.struct(F.lit("edited").alias("which"), F.col("own").alias("a"), F.col("new").alias("b")),
-            F.struct(F.lit("next").alias("which"), F.col("own").alias("a"), F.col("then").alias("b")),
-        )).alias("p"),
-    ).select("id", "p.*")
+    following = base.select(F.col("rk").alias("next_rk"), F.col("own").alias("b"))
+    own = base.select(F.col("rk").alias("id"), "next_rk", F.col("own").alias("a"))
+    pairs = base.select(F.col("rk").alias("id"), F.lit("edited").alias("which"), F.col("own").alias("a"), F.col("new").alias("b")).union(
+        own.join(following, "next_rk").select("id", F.lit("next"), "a", "b")
+    )
     alike = F.when(F.col("both") == 0, F.lit(1.0)).otherwise((F.col("both") - F.size("diff")) / (F.col("both") + F.size("diff")))
     near = (
         differences(pairs).select("id", "which", alike.alias("v")).groupBy(F.col("id").alias("rk"))
         .agg(F.max(F.when(F.col("which") == "edited", F.col("v"))).alias("near_edited"), F.max(F.when(F.col("which") == "next", F.col("v"))).alias("near_next"))
     )
-    return base.join(near, "rk").select(
+    each = base.join(near, "rk").withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("copies"))))
+    return each.select(
         "doc_id", "n_chars", "edited_sha256", shown(sketch(F.col("own"))).alias("fingerprint"),
         shown(sketch(F.col("new"))).alias("edited_fingerprint"), "near_edited", "near_next",
     )
