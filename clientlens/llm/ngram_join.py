@@ -19,9 +19,8 @@ NUM, DEN = 75, 100
 #: Sets of at most TINY shingles are compared by subsets; larger ones by parts.
 TINY, PARTS, LEAST_PARTS = 6, 64, 64
 #: A key is busy if it holds more than MANY components; a set does without its
-#: busy keys in a band where it has more than ENOUGH others, or more than it can
-#: have differing shingles.
-MANY, ENOUGH, BLOCK = 8, 39, 2048
+#: busy keys in a band where it has more others than it can have differing shingles.
+MANY, BLOCK = 8, 2048
 
 
 _BAND = np.uint64(31)  # the low bits of a key name its band, 31 for subsets
@@ -215,9 +214,10 @@ def ngram_components(docs: DataFrame) -> DataFrame:
     A passage that many documents share makes busy keys: parts with nothing else
     in them.  Every differing shingle changes one part, so a set with more other
     keys in a band than it can have differing shingles finds each partner by one
-    of those; with more than ``ENOUGH`` others, it does so but for a chance below
-    1e-7 at the threshold.  Its busy keys are left out of the second join; sets
-    that mostly consist of such passages keep them.
+    of those, and only then its busy keys are left out of the second join.  The
+    other keys of a set may be just those that its own shingles spoil, so no
+    smaller number of them is enough.  A subset key is never left out: one
+    shingle changes many of those.
 
     Defined cases: texts without words have n_shingles 0 and stand alone; rows
     that repeat a doc_id share its component; a row with a null doc_id gets the
@@ -253,9 +253,12 @@ def ngram_components(docs: DataFrame) -> DataFrame:
     band = F.col("key").bitwiseAND(31).alias("band")
     all_keys = classes.select("node", "n", F.explode(F.transform("keys", lambda k: k.bitwiseAND(31))).alias("band"))
     total = all_keys.groupBy("node", "band").agg(F.count(F.lit(1)).alias("total"), F.first("n").alias("n"))
+    # linked sets differ in at most a seventh of both sizes; a partner has at most n / t shingles and fits the band
+    largest = F.least(F.floor(F.col("n") * DEN / NUM), F.expr(f"shiftleft({TINY + 1}L, cast(band AS int) + 1)") - 1)
+    most = F.floor((F.col("n") + largest) * (DEN - NUM) / (DEN + NUM))
     heavy = (
         members.where("busy").groupBy("node", band).agg(F.count("key").alias("n_busy")).join(total, ["node", "band"])
-        .where(F.col("total") - F.col("n_busy") <= F.least(F.floor(F.col("n") / 3), F.lit(ENOUGH))).select("node", "band")
+        .where((F.col("band") == int(_BAND)) | (F.col("total") - F.col("n_busy") <= most)).select("node", "band")
     )
     members = members.withColumn("band", band)
     x = stored(members.where("not busy").select("key", "node", "component"), "cross-members")

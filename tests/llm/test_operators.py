@@ -222,6 +222,17 @@ def test_ngram_join(spark, docs, none):
     assert got == components_by_hand(rows)
 
 
+def test_ngram_join_hub_and_tails(spark):
+    """Only the hub, in the middle of the ids, links texts that go on in their own ways."""
+    rows = []
+    for hub in (3, 120, 150, 600, 2000):
+        start, words = len(rows), [f"h{hub}x{i}" for i in range(hub + 4)]
+        for k in range(61):
+            rows.append((start + k, " ".join(words + [f"t{hub}x{k}x{i}" for i in range(0 if k == 30 else hub // 3)])))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_components(table(spark, rows)).collect()}
+    assert got == {d: (len(re.findall(r"\S+", t)) - 4, d // 61 * 61) for d, t in rows}
+
+
 def test_sketch_is_a_lower_bound():
     rng = np.random.default_rng(5)
     for _ in range(50):
