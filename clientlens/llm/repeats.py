@@ -56,27 +56,27 @@ def owners(b: np.ndarray) -> tuple[np.ndarray, ...]:
     return h[p], ctx, ((left << np.uint64(32)) | right).astype(np.int64), lo, hi, p
 
 
-def _pack(lo, hi, p, tie):
-    """Place of a stretch in its text, in order of (tie, first string)."""
-    return (np.int64(tie) << 47) | (lo << 16) | ((hi - lo) << 8) | (p - lo)
+def _pack(lo, hi, p):
+    """Place of a stretch in its text, in order of its first string."""
+    return (lo << 16) | ((hi - lo) << 8) | (p - lo)
 
 
 def _unpack(pos):
-    lo = (pos >> 16) & int(_POS)
+    lo = pos >> 16
     return lo, lo + ((pos >> 8) & 255), pos & 255
 
 
-_FOUND = pa.schema([("h", pa.int64()), ("ctx", pa.int64()), ("doc", pa.int64()), ("pos", pa.int64()), ("sides", pa.int64()), ("done", pa.bool_())])
+_FOUND = pa.schema([("h", pa.int64()), ("ctx", pa.int64()), ("doc", pa.int64()), ("tie", pa.int64()), ("pos", pa.int64()), ("sides", pa.int64()), ("done", pa.bool_())])
 
 
-def _later(h, ctx, doc, pos) -> tuple[np.ndarray, np.ndarray]:
-    """Order by (h, ctx, doc, pos), and which rows in it repeat an earlier one of
-    their (h, ctx); a row equal in doc and pos too is the same stretch again."""
-    o = np.lexsort((pos, doc, ctx, h))
+def _later(h, ctx, doc, tie, pos) -> tuple[np.ndarray, np.ndarray]:
+    """Order by (h, ctx, doc, tie, pos), and which rows in it repeat an earlier one
+    of their (h, ctx); a row equal in doc, tie and pos too is the same stretch again."""
+    o = np.lexsort((pos, tie, doc, ctx, h))
     new = np.ones(len(o), dtype=bool)
     new[1:] = (h[o][1:] != h[o][:-1]) | (ctx[o][1:] != ctx[o][:-1])
     first = np.flatnonzero(new)[np.cumsum(new) - 1]
-    same = (doc[o] == doc[o][first]) & (pos[o] == pos[o][first])
+    same = (doc[o] == doc[o][first]) & (tie[o] == tie[o][first]) & (pos[o] == pos[o][first])
     return o, ~same
 
 
@@ -88,17 +88,17 @@ def _scan(batches):
         for doc, tie, text in zip(b.column("doc").to_pylist(), b.column("tie").to_pylist(), b.column("text").cast(pa.binary()), strict=True):
             h, ctx, sides, lo, hi, p = owners(np.frombuffer(text.as_py(), np.uint8))
             if len(h):
-                cols.append((h.view(np.int64), ctx.view(np.int64), np.full(len(h), doc, np.int64), _pack(lo, hi, p, tie), sides))
+                cols.append((h.view(np.int64), ctx.view(np.int64), np.full(len(h), doc, np.int64), np.full(len(h), tie, np.int64), _pack(lo, hi, p), sides))
         if not cols:
             continue
-        h, ctx, doc, pos, sides = map(np.concatenate, zip(*cols, strict=True))
-        o, again = _later(h, ctx, doc, pos)
-        h, ctx, doc, pos, sides = (x[o] for x in (h, ctx, doc, pos, sides))
-        h = np.where(again, mix64((doc ^ (pos << 7)).view(np.uint64)).view(np.int64), h)  # done rows go anywhere
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h, ctx, doc, pos, sides, again)], schema=_FOUND)
+        h, ctx, doc, tie, pos, sides = map(np.concatenate, zip(*cols, strict=True))
+        o, again = _later(h, ctx, doc, tie, pos)
+        h, ctx, doc, tie, pos, sides = (x[o] for x in (h, ctx, doc, tie, pos, sides))
+        h = np.where(again, mix64((doc ^ tie ^ (pos << 7)).view(np.uint64)).view(np.int64), h)  # done rows go anywhere
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h, ctx, doc, tie, pos, sides, again)], schema=_FOUND)
 
 
-_JUDGED = pa.schema([("h", pa.int64()), ("doc", pa.int64()), ("pos", pa.int64()), ("done", pa.bool_())])
+_JUDGED = pa.schema([("h", pa.int64()), ("doc", pa.int64()), ("tie", pa.int64()), ("pos", pa.int64()), ("done", pa.bool_())])
 
 
 def _judge(batches):
@@ -107,44 +107,44 @@ def _judge(batches):
     parts = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches]
     if not parts:
         return
-    h, ctx, doc, pos, sides, done = map(np.concatenate, zip(*parts, strict=True))
-    out = [(h[done], doc[done], pos[done], np.ones(int(done.sum()), bool))]
-    h, ctx, doc, pos, sides = (x[~done] for x in (h, ctx, doc, pos, sides))
+    h, ctx, doc, tie, pos, sides, done = map(np.concatenate, zip(*parts, strict=True))
+    out = [(h[done], doc[done], tie[done], pos[done], np.ones(int(done.sum()), bool))]
+    h, ctx, doc, tie, pos, sides = (x[~done] for x in (h, ctx, doc, tie, pos, sides))
     if len(h):
-        o, again = _later(h, ctx, doc, pos)
-        h, ctx, doc, pos, sides = (x[o] for x in (h, ctx, doc, pos, sides))
-        out.append((h[again], doc[again], pos[again], np.ones(int(again.sum()), bool)))
+        o, again = _later(h, ctx, doc, tie, pos)
+        h, ctx, doc, tie, pos, sides = (x[o] for x in (h, ctx, doc, tie, pos, sides))
+        out.append((h[again], doc[again], tie[again], pos[again], np.ones(int(again.sum()), bool)))
         first = np.ones(len(h), bool)
         first[1:] = (h[1:] != h[:-1]) | (ctx[1:] != ctx[:-1])
-        h, doc, pos, sides = (x[first] for x in (h, doc, pos, sides))
+        h, doc, tie, pos, sides = (x[first] for x in (h, doc, tie, pos, sides))
         near = np.zeros(len(h), bool)
         for side in (sides >> 32, sides & 0xFFFFFFFF):
             k = np.lexsort((side, h))
             eq = (h[k][1:] == h[k][:-1]) & (side[k][1:] == side[k][:-1]) & (side[k][1:] != 0)
             near[k[1:][eq]] = near[k[:-1][eq]] = True
-        out.append((h[near], doc[near], pos[near], np.zeros(int(near.sum()), bool)))
+        out.append((h[near], doc[near], tie[near], pos[near], np.zeros(int(near.sum()), bool)))
     cols = [np.concatenate(x) for x in zip(*out, strict=True)]
     for lo in range(0, len(cols[0]), 1 << 16):
         yield pa.RecordBatch.from_arrays([pa.array(c[lo : lo + (1 << 16)]) for c in cols], schema=_JUDGED)
 
 
-_CUT = pa.schema([("h", pa.int64()), ("doc", pa.int64()), ("pos", pa.int64()), ("bytes", pa.binary())])
+_CUT = pa.schema([("h", pa.int64()), ("doc", pa.int64()), ("tie", pa.int64()), ("pos", pa.int64()), ("bytes", pa.binary())])
 
 
 def _cut(batches):
     """The bytes of the stretches of each text that are to be looked into."""
     for b in batches:
         rows = []
-        for doc, text, items in zip(b.column("doc").to_pylist(), b.column("text").cast(pa.binary()).to_pylist(), b.column("items").to_pylist(), strict=True):
+        for doc, tie, text, items in zip(b.column("doc").to_pylist(), b.column("tie").to_pylist(), b.column("text").cast(pa.binary()).to_pylist(), b.column("items").to_pylist(), strict=True):
             for i in items:
                 lo, hi, _ = _unpack(i["pos"])
-                rows.append((i["h"], doc, i["pos"], text[lo : hi + LENGTH]))
+                rows.append((i["h"], doc, tie, i["pos"], text[lo : hi + LENGTH]))
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _CUT, strict=True)], schema=_CUT)
 
 
-def repeated_strings(doc: np.ndarray, pos: np.ndarray, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(doc, pos) of the runs of strings in a shard that also start earlier in it."""
+def repeated_strings(doc: np.ndarray, ties: np.ndarray, pos: np.ndarray, pieces: list[bytes]) -> tuple[np.ndarray, ...]:
+    """(doc, tie, pos) of the runs of strings in a shard that also start earlier in it."""
     size = np.array([len(x) for x in pieces], dtype=np.int64)
     begin = np.cumsum(size + 1) - size - 1
     t = np.frombuffer(b"\0".join(pieces), dtype=np.uint8).astype(np.int64) + 2
@@ -161,7 +161,7 @@ def repeated_strings(doc: np.ndarray, pos: np.ndarray, pieces: list[bytes]) -> t
     group = np.cumsum(common[sa] < LENGTH)
     at, g = sa[ordered], group[ordered]
     lo, _, _ = _unpack(pos)
-    d, start, tie = doc[piece[at]], lo[piece[at]] + offset[at], (pos >> 47)[piece[at]]
+    d, start, tie = doc[piece[at]], lo[piece[at]] + offset[at], ties[piece[at]]
     o = np.lexsort((start, tie, d, g))
     at, g, d, start, tie = at[o], g[o], d[o], start[o], tie[o]
     new = np.ones(len(g), bool)
@@ -169,34 +169,35 @@ def repeated_strings(doc: np.ndarray, pos: np.ndarray, pieces: list[bytes]) -> t
     first = np.flatnonzero(new)[np.cumsum(new) - 1]
     hit = np.sort(at[(d != d[first]) | (start != start[first]) | (tie != tie[first])])
     if not len(hit):
-        return np.empty(0, np.int64), np.empty(0, np.int64)
+        return tuple(np.empty(0, np.int64) for _ in range(3))
     cut = np.ones(len(hit), bool)
     cut[1:] = (np.diff(hit) != 1) | (piece[hit[1:]] != piece[hit[:-1]])
     f, last = hit[cut], hit[np.append(np.flatnonzero(cut)[1:], len(hit)) - 1]
     k = piece[f]
-    return doc[k], _pack(lo[k] + offset[f], lo[k] + offset[last], lo[k] + offset[f], 0) | (pos[k] & ~np.int64((1 << 47) - 1))
+    return doc[k], ties[k], _pack(lo[k] + offset[f], lo[k] + offset[last], lo[k] + offset[f])
 
 
 def _shards(batches):
     """Suffix arrays over whole owners, about SHARD_BYTES at a time."""
-    doc, pos, pieces, held, last = [], [], [], 0, None
+    doc, ties, pos, pieces, held, last = [], [], [], [], 0, None
     for b in batches:
-        for h, d, p, x in zip(*(c.to_pylist() for c in b.columns), strict=True):
+        for h, d, t, p, x in zip(*(c.to_pylist() for c in b.columns), strict=True):
             if held >= SHARD_BYTES and h != last:
-                yield _runs(doc, pos, pieces)
-                doc, pos, pieces, held = [], [], [], 0
+                yield _runs(doc, ties, pos, pieces)
+                doc, ties, pos, pieces, held = [], [], [], [], 0
             last = h
             doc.append(d)
+            ties.append(t)
             pos.append(p)
             pieces.append(x)
             held += len(x)
     if pieces:
-        yield _runs(doc, pos, pieces)
+        yield _runs(doc, ties, pos, pieces)
 
 
-def _runs(doc, pos, pieces):
-    d, p = repeated_strings(np.array(doc, np.int64), np.array(pos, np.int64), pieces)
-    return pa.RecordBatch.from_arrays([pa.array(d), pa.array(p)], ["doc", "pos"])
+def _runs(doc, ties, pos, pieces):
+    found = repeated_strings(np.array(doc, np.int64), np.array(ties, np.int64), np.array(pos, np.int64), pieces)
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["doc", "tie", "pos"])
 
 
 def _removed(text: bytes, runs: list[int] | None) -> tuple[bytes, int, int]:
@@ -218,8 +219,8 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
     Earlier means a smaller doc_id, or the same document and an earlier start.
 
     Defined cases: null text is empty; texts under 100 bytes stay whole; a null
-    doc_id comes after all others; texts that differ under one doc_id are ordered
-    by 16 bits of a hash; exact repeats of a row are the same document and lose
+    doc_id comes after all others; texts that differ under one doc_id are told
+    apart and ordered by 63 bits of a hash; exact repeats of a row are the same document and lose
     the same bytes; an empty table gives no rows; other columns are ignored.
 
     Plan: one exchange of stretches (a row for about 35 bytes of text) by owner
@@ -228,19 +229,20 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
     cut out as bytes and sorted; lineage ends at written tables.
     """
     text = F.coalesce("text", F.lit(""))
+    half = F.shiftrightunsigned(F.xxhash64(text), 1)
     d = docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"),
         F.coalesce(F.col("doc_id").cast("bigint"), F.lit((1 << 63) - 1)).alias("doc"),
-        F.pmod(F.xxhash64(text), F.lit(1 << 16)).cast("bigint").alias("tie"),
+        # negative under an id, so that a null id also comes after the largest one
+        F.when(F.col("doc_id").isNull(), half).otherwise(-half - 1).alias("tie"),
     )
-    found = d.select("doc", "tie", "text").mapInArrow(_scan, "h bigint, ctx bigint, doc bigint, pos bigint, sides bigint, done boolean")
-    judged = stored(found.repartition("h").mapInArrow(_judge, "h bigint, doc bigint, pos bigint, done boolean"), "stretches")
-    tie = F.shiftright("pos", 47).alias("tie")
-    items = judged.where("not done").groupBy("doc", tie).agg(F.collect_set(F.struct("h", "pos")).alias("items"))
-    cut = d.select("doc", "tie", "text").join(items, ["doc", "tie"]).select("doc", "text", "items").mapInArrow(_cut, "h bigint, doc bigint, pos bigint, bytes binary")
-    more = stored(cut.repartition("h").sortWithinPartitions("h").mapInArrow(_shards, "doc bigint, pos bigint"), "repeats")
-    runs = judged.where("done").select("doc", "pos").union(more)
-    runs = runs.groupBy("doc", tie).agg(F.collect_set("pos").alias("runs"))
+    found = d.select("doc", "tie", "text").mapInArrow(_scan, "h bigint, ctx bigint, doc bigint, tie bigint, pos bigint, sides bigint, done boolean")
+    judged = stored(found.repartition("h").mapInArrow(_judge, "h bigint, doc bigint, tie bigint, pos bigint, done boolean"), "stretches")
+    items = judged.where("not done").groupBy("doc", "tie").agg(F.collect_set(F.struct("h", "pos")).alias("items"))
+    cut = d.select("doc", "tie", "text").join(items, ["doc", "tie"]).select("doc", "tie", "text", "items").mapInArrow(_cut, "h bigint, doc bigint, tie bigint, pos bigint, bytes binary")
+    more = stored(cut.repartition("h").sortWithinPartitions("h").mapInArrow(_shards, "doc bigint, tie bigint, pos bigint"), "repeats")
+    runs = judged.where("done").select("doc", "tie", "pos").union(more)
+    runs = runs.groupBy("doc", "tie").agg(F.collect_set("pos").alias("runs"))
 
     def strip(batches):
         for b in batches:

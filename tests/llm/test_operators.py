@@ -278,6 +278,18 @@ def test_suffix_dedup(spark, docs, none):
     assert repeats.suffix_dedup(none).count() == 0 and repeats.suffix_dedup(docs).count() == len(TEXTS)
 
 
+def test_suffix_dedup_tells_texts_of_one_id_apart(spark):
+    """Every text repeats its own first 120 bytes, whatever else bears its id or none."""
+    rng = np.random.default_rng(9)
+    letters = list("abcdefghijklmnop ")
+    parts = [("".join(rng.choice(letters, 120)), "".join(rng.choice(letters, int(rng.integers(0, 200))))) for _ in range(1600)]
+    rows = [(None if i % 2 else 5, a + b + a) for i, (a, b) in enumerate(parts)]
+    whole = "".join(rng.choice(letters, 300))
+    rows += [(None, "short"), (5, ""), (None, whole), ((1 << 63) - 1, whole)]
+    got = sorted(bytes(r["kept"]).decode() for r in repeats.suffix_dedup(table(spark, rows).repartition(4)).collect())
+    assert got == sorted([a + b for a, b in parts] + ["short", "", "", whole])
+
+
 def test_toxicity(spark, none):
     rng = np.random.default_rng(2)
     words = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), int(rng.integers(3, 8)))) for _ in range(300)]
