@@ -77,6 +77,9 @@ KNOWN_CRAWLERS = KINDS[1:10]
 RELEASES = [("chrome", 120, "2023-12-06", 30), ("firefox", 121, "2023-12-19", 30), ("safari", 17, "2023-09-18", 365)]
 COLOAD_SECONDS, EXACT_DELTAS, TARGET_CAP, BUCKETS, GRID_SECONDS = 10, 256, 256, 40, 300
 UNKNOWN_THRESHOLD, MAX_PER_KIND, RESIDENT_CAP = 0.45, 1000, 50_000
+#: Matrix: share of a kind that earns a network a column, if it holds this share of all and so many requests.
+BREAKOUT_SHARE, GUARD_SHARE, GUARD_REQUESTS = 0.10, 0.0001, 100
+RESIDENTIAL, OTHER_HOSTING = "Residential / unknown", "Other"
 #: Outlier tags: margin, least pool, least requests, and floors by metric.
 MARGIN, LEAST_POOL, LEAST_REQUESTS = 3.0, 30, 5
 FLOORS = {"rate": 60.0, "bytes": 5_000_000.0, "breadth": 0.5, "session": 86_400.0}

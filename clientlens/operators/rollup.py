@@ -82,11 +82,30 @@ def actors(clients: DataFrame) -> DataFrame:
 
 
 def matrix(rollup: DataFrame, top: int = 6) -> DataFrame:
-    """Kind by network: the largest networks have columns, the rest is "Other"."""
-    order = Window.orderBy(F.desc("n"), "network")
-    names = rollup.where("network is not null").groupBy("network").agg(F.sum("requests").alias("n")).withColumn("i", F.row_number().over(order))
-    j = rollup.where("network is not null").join(names.select("network", "i"), "network")
-    return j.groupBy("kind", F.when(F.col("i") <= top, F.col("network")).otherwise("Other").alias("column")).agg(F.sum("requests").alias("requests"))
+    """Kind by network, with every request of ``rollup`` (kind, network, requests
+    and, if there are any, egress) in one column.
+
+    The ``top`` largest hosting networks have columns, and so has each other one
+    that holds BREAKOUT_SHARE of a single kind and is not negligible overall; the
+    rest is OTHER_HOSTING.  Egress networks are columns of their own, and clients
+    outside all networks are RESIDENTIAL.  No rows if there are only those.
+    """
+    egress = F.col("egress") if "egress" in rollup.columns else F.lit(None).cast("string")
+    category = F.when(egress.isNotNull(), "egress").when(F.col("network").isNotNull(), "datacenter").otherwise("residential")
+    r = rollup.select("kind", category.alias("category"), F.coalesce(egress, "network", F.lit(C.RESIDENTIAL)).alias("network"), "requests")
+    r = r.groupBy("kind", "category", "network").agg(F.sum("requests").alias("requests"))
+    # a row per kind and network is left, so windows over all of it are small
+    everything, net = Window.partitionBy(F.lit(1)), Window.partitionBy("category", "network")
+    r = r.withColumns({
+        "row_total": F.sum("requests").over(Window.partitionBy("kind")), "n": F.sum("requests").over(net),
+        "total": F.sum("requests").over(everything), "mixed": F.max(F.col("category") != "residential").over(everything),
+    })
+    large = F.max(F.col("requests") >= F.col("row_total") * C.BREAKOUT_SHARE).over(net)
+    order = Window.partitionBy("category").orderBy(F.desc("n"), "network")
+    guard = F.greatest(F.col("total") * C.GUARD_SHARE, F.lit(float(C.GUARD_REQUESTS)))
+    r = r.where("mixed").withColumns({"large": large, "i": F.dense_rank().over(order)})
+    shown = (F.col("category") != "datacenter") | (F.col("i") <= top) | (F.col("large") & (F.col("n") >= guard))
+    return r.groupBy("kind", F.when(shown, F.col("network")).otherwise(C.OTHER_HOSTING).alias("column")).agg(F.sum("requests").alias("requests"))
 
 
 def select_clients(clients: DataFrame, kind=None, tag=None, client=None, network=None) -> DataFrame:

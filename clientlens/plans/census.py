@@ -50,7 +50,7 @@ def classified(flagged_entries: DataFrame, agents: DataFrame | None = None, thre
     """One row per client: features, scores, kind, confidence and tags."""
     f = clients.features(flagged_entries).where(F.col("requests") >= min_requests)
     if "hosting" in flagged_entries.columns:
-        dc = flagged_entries.groupBy(*clients.KEY).agg(F.max(F.col("hosting").isNotNull()).alias("datacenter"), F.min("hosting").alias("network"))
+        dc = flagged_entries.groupBy(*clients.KEY).agg(F.max(F.col("hosting").isNotNull()).alias("datacenter"), F.min("hosting").alias("network"), *[F.min("egress").alias("egress")] * ("egress" in flagged_entries.columns))
         dc = dc.withColumnsRenamed({"client_ip": "_i", "client_ua": "_u"})
         f = f.join(dc, F.col("client_ip").eqNullSafe(F.col("_i")) & F.col("client_ua").eqNullSafe(F.col("_u")), "left").drop("_i", "_u")
     c = classify.with_context(f, agent_profile(flagged_entries, agents))

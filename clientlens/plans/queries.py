@@ -154,7 +154,7 @@ def network_kind_rollup(spark, d) -> DataFrame:
 
 def network_matrix(spark, d) -> DataFrame:
     e = census.attributed(derived.log(spark, d), _ranges(spark), None)
-    return rollup.matrix(rollup.kind_rollup(census.classified(with_flags(e)), "network"), 2)
+    return rollup.matrix(rollup.kind_rollup(census.classified(with_flags(e)), "network", "egress"), 2)
 
 
 def cadence_grid(spark, d) -> DataFrame:

@@ -7,7 +7,7 @@ from collections import deque
 import pytest
 from pyspark.sql import functions as F
 
-from clientlens.operators import clients, network, robots
+from clientlens.operators import clients, network, robots, rollup
 from clientlens.plans import census, queries
 from clientlens.sources import logformat, logs
 
@@ -138,3 +138,15 @@ def test_robots_rules():
 def test_every_query_has_rows(spark):
     for name in ("kind_rollup", "tags_long", "network_matrix", "topk_per_kind"):
         assert queries.queries()[name](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_matrix_holds_every_request(spark):
+    rows = [("browser", "a", None, 5000), ("browser", "b", None, 4000), ("browser", "c", None, 300), ("feed_reader", "c", None, 90), ("monitor", "d", None, 90),
+            ("browser", None, "relay", 70), ("browser", "a", "relay", 30), ("app", None, None, 25), ("browser", None, None, 6000)]
+    t = spark.createDataFrame(rows, "kind string, network string, egress string, requests bigint")
+    got = {(r["kind"], r["column"]): r["requests"] for r in rollup.matrix(t, 2).collect()}
+    assert got == {
+        ("browser", "a"): 5000, ("browser", "b"): 4000, ("browser", "c"): 300, ("feed_reader", "c"): 90, ("monitor", "Other"): 90,
+        ("browser", "relay"): 100, ("app", "Residential / unknown"): 25, ("browser", "Residential / unknown"): 6000,
+    }
+    assert rollup.matrix(t.where("network is null and egress is null")).count() == 0
