@@ -13,7 +13,7 @@ import zlib
 from urllib.parse import urlsplit
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clientlens.llm import files
@@ -239,9 +239,10 @@ def _merged(batches):
     rows = {name: [(*order(r), k, i) for i, r in enumerate(rs)] for k, (name, rs) in enumerate(sorted(runs.items()))}
     names, out, last, nth = list(rows), [], None, 0
     for urlkey, _, _, k, i in LoserTree(list(rows.values())):
-        nth = nth + 1 if urlkey == last else 1
+        row = runs[names[k]][i]
+        nth = nth + 1 if urlkey == last else row["before"] + 1
         last = urlkey
-        out.append(runs[names[k]][i] | {"nth": nth})
+        out.append(row | {"nth": nth})
         if len(out) == 5000:
             yield pa.RecordBatch.from_pylist(out, schema=_ARROW)
             out = []
@@ -254,15 +255,21 @@ def merge_runs(runs: DataFrame, rows_per_range: int = RUN_ROWS_PER_RANGE) -> Dat
 
     Ranges of that order are cut so that a task holds about ``rows_per_range``
     index rows (never payloads); within a range every run's stretch is in order
-    already, and a loser tree merges them.  One URL's captures may span ranges,
-    so ``nth`` counts a URL's captures within the range.
+    already, and a loser tree merges them.  One URL's captures may span ranges:
+    ``nth`` goes on from the count of them in earlier ranges.
     """
     n = int(max(1, -(-runs.count() // rows_per_range)))
+    cut = runs.repartitionByRange(n, "urlkey", "stamp", F.coalesce("page_id", F.lit(-1)))
+    cut = stored(cut.withColumn("range", F.spark_partition_id()), "warc-ranges")
+    earlier = Window.partitionBy("urlkey").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    before = cut.groupBy("urlkey", "range").agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.sum("n").over(earlier))
+    before = before.where("before > 0").select("urlkey", "range", "before")
     return (
-        runs.repartitionByRange(n, "urlkey", "stamp", F.coalesce("page_id", F.lit(-1)))
+        cut.join(before, ["urlkey", "range"], "left").withColumn("before", F.coalesce("before", F.lit(0)))
+        .repartitionByRange(n, "range")
         .sortWithinPartitions("run", "seq")
         .mapInArrow(_merged, INDEX)
-    )
+    )
 
 
 def warc_index(pages: DataFrame, min_bytes: int = 0, folder: str | None = None) -> DataFrame:

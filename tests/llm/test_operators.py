@@ -324,6 +324,13 @@ def test_warc(spark):
     assert warc.warc_index(pages.limit(0)).count() == 0
 
 
+def test_captures_are_counted_across_ranges(spark):
+    keys = sorted(["a", *["hot"] * 9, *["warm"] * 4, "z"])
+    rows = [(f"r{i % 3}", i // 3, k, f"2024{i:010d}", i, "response", 1, "d", None, 0, 1) for i, k in enumerate(keys)]
+    got = warc.merge_runs(spark.createDataFrame(rows, warc.RUN), rows_per_range=2).collect()
+    assert [(r["urlkey"], r["page_id"], r["nth"]) for r in got] == [(k, i, i - keys.index(k) + 1) for i, k in enumerate(keys)]
+
+
 def test_loser_tree():
     rng = np.random.default_rng(6)
     for k in (0, 1, 2, 5, 13):
