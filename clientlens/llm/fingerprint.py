@@ -90,44 +90,55 @@ def peel(cells: Column, width: int = WIDTH, seed: int = 0, rounds: int = ROUNDS)
     return let(done, lambda d: F.when(F.forall(d["cells"], empty), d["out"]))
 
 
+def blocks_of(a: Column, b: Column, seed: int) -> Column:
+    """Two sets cut into blocks of about ``BLOCK_ITEMS`` by hash: one sorted run of
+    (g, side, x), sliced where g changes, so that the work is linear."""
+    blocks = F.greatest(F.ceil((F.size(a) + F.size(b)) / BLOCK_ITEMS).cast("int"), F.lit(1))
+    tagged = lambda items, side: F.transform(
+        items, lambda x: F.struct(F.pmod(F.xxhash64(x, F.lit(seed + 50)), blocks).cast("int").alias("g"), F.lit(side).alias("side"), x.alias("x"))
+    )
+
+    def sliced(run):
+        places = F.when(F.size(run) > 0, F.sequence(F.lit(1), F.size(run))).otherwise(F.array().cast("array<int>"))
+        starts = F.filter(places, lambda i: (i == 1) | (F.get(run, i - 1)["g"] != F.get(run, i - 2)["g"]))
+        return let(starts, lambda at: F.transform(at, lambda i, k: F.slice(run, i, F.coalesce(F.get(at, k + 1), F.size(run) + 1) - i)))
+
+    return let(F.array_sort(F.concat(tagged(a, 0), tagged(b, 1))), sliced)
+
+
 def difference(a: Column, b: Column, attempt: int) -> Column:
     """Digests in one of two sets only, recovered from sketches; null on failure.
 
-    The first attempt subtracts the fingerprints themselves.  Later ones are
-    larger: the sets' sizes, which any row of a fingerprint tells, set a number of
-    blocks, digests go to blocks by hash, and every block has a sketch whose width
-    doubles with the attempt.  After ``TRIES`` the sets are compared directly.
+    The first attempt subtracts the fingerprints themselves, later ones sketches
+    whose width doubles; after ``TRIES`` the sets are compared directly.
     """
     if attempt == 0:
         return peel(subtract(sketch(a), sketch(b)))
     if attempt >= TRIES:
         return F.concat(F.array_except(a, b), F.array_except(b, a))
     width, seed = BLOCK_WIDTH << (attempt - 1), 100 * attempt
-    blocks = F.ceil((F.size(a) + F.size(b)) / BLOCK_ITEMS).cast("int")
-    pick = lambda items, g: F.filter(items, lambda x: F.pmod(F.xxhash64(x, F.lit(seed + 50)), blocks) == g)
-    found = F.transform(
-        F.sequence(F.lit(0), F.greatest(blocks, F.lit(1)) - 1),
-        lambda g: peel(subtract(sketch(pick(a, g), width, seed), sketch(pick(b, g), width, seed)), width, seed),
-    )
-    return let(found, lambda f: F.when(F.forall(f, lambda x: x.isNotNull()), F.flatten(f)))
+    return peel(subtract(sketch(a, width, seed), sketch(b, width, seed)), width, seed)
 
 
 def differences(pairs: DataFrame) -> DataFrame:
-    """(id, which, a, b, both) with the digests that differ, trying again with
-    larger sketches where a smaller one does not come apart."""
+    """(id, which, diff) with the digests that differ, in one row or more a pair.
+
+    What a fingerprint's own sketch does not bring apart is dealt into blocks by
+    hash; each block tries again with its own sketch, twice as large every time.
+    """
     solved, rest = [], pairs
     for attempt in range(TRIES + 1):
         out = rest.withColumn("diff", difference(F.col("a"), F.col("b"), attempt))
         keep = F.col("diff").isNull()
-        out = out.select(
-            "id", "which", (F.size("a") + F.size("b")).alias("both"), "diff",
-            F.when(keep, F.col("a")).alias("a"), F.when(keep, F.col("b")).alias("b"),
-        )
-        out = stored(out, "sketch-tries")
-        solved.append(out.where("diff is not null").select("id", "which", "both", "diff"))
+        out = stored(out.select("id", "which", "diff", F.when(keep, F.col("a")).alias("a"), F.when(keep, F.col("b")).alias("b")), "sketch-tries")
+        solved.append(out.where("diff is not null").select("id", "which", "diff"))
         rest = out.where("diff is null").select("id", "which", "a", "b")
         if not rest.limit(1).count():
             break
+        if attempt == 0:
+            side = lambda k: F.transform(F.filter("run", lambda r: r["side"] == k), lambda r: r["x"])
+            rest = rest.select("id", "which", F.explode(blocks_of(F.col("a"), F.col("b"), 100)).alias("run"))
+            rest = rest.select("id", "which", side(0).alias("a"), side(1).alias("b"))
     out = solved[0]
     for s in solved[1:]:
         out = out.union(s)
@@ -135,21 +146,21 @@ def differences(pairs: DataFrame) -> DataFrame:
 
 
 def next_documents(keys: DataFrame) -> DataFrame:
-    """(rk, next_rk, n_chars, copies): the next document by descending doc_id, after the
-    last one the first.  Ids are range partitioned, each range orders its own,
+    """(doc_id, rk, next_rk, n_chars, copies): the next document by descending doc_id,
+    after the last one the first.  Ids are range partitioned, each range orders its own,
     and ranges are linked through their first rows, one row a range."""
     keys = stored(keys, "doc-keys")
     n = int(max(1, -(-keys.count() // IDS_PER_RANGE)))
     order = [F.col("doc_id").desc_nulls_last(), F.col("rk")]
     ranged = stored(keys.repartitionByRange(n, *order).withColumn("pid", F.spark_partition_id()), "doc-ranges")
     w = Window.partitionBy("pid").orderBy(*order)
-    local = ranged.select("pid", "rk", "n_chars", "copies", F.lead("rk").over(w).alias("next_rk"), F.row_number().over(w).alias("i"))
+    local = ranged.select("pid", "doc_id", "rk", "n_chars", "copies", F.lead("rk").over(w).alias("next_rk"), F.row_number().over(w).alias("i"))
     local = stored(local, "doc-order")
     heads = local.where("i = 1").select("pid", "rk")
     row = Window.orderBy("pid")
     every = row.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     after = heads.select("pid", F.coalesce(F.lead("rk").over(row), F.first("rk").over(every)).alias("after"))
-    return local.join(F.broadcast(after) if n <= 10_000 else after, "pid").select("rk", F.coalesce("next_rk", "after").alias("next_rk"), "n_chars", "copies")
+    return local.join(F.broadcast(after) if n <= 10_000 else after, "pid").select("doc_id", "rk", F.coalesce("next_rk", "after").alias("next_rk"), "n_chars", "copies")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -166,22 +177,24 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     single document is its own next; an empty table gives no rows; other columns
     are ignored.
 
-    Plan: texts cross two exchanges by row key, heads one; all else is ids and
-    short arrays of digests.
+    Plan: texts cross one exchange by row key, which both joins read, and the
+    heads (a third of them) one; all else is ids and short arrays of digests.
     """
     d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("rk", row_key())
     ids = d.select("doc_id", "rk", F.char_length("text").cast("long").alias("n_chars"))
     links = next_documents(ids.groupBy("doc_id", "rk", "n_chars").agg(F.count(F.lit(1)).cast("int").alias("copies")))
+    texts = d.select("rk", "text")
+    carried = ("doc_id", "next_rk", "n_chars", "copies")
     k = F.floor(F.col("n_chars") / 3).cast("int")
     heads = (
-        d.join(links.select(F.col("next_rk").alias("rk"), F.col("rk").alias("prev"), "n_chars", "copies"), "rk")
-        .select(F.col("prev").alias("rk"), F.col("rk").alias("next_rk"), "n_chars", "copies", F.left("text", k).alias("head"))
-        .groupBy("rk").agg(*[F.first(c).alias(c) for c in ("next_rk", "n_chars", "copies", "head")])
+        texts.join(links.select(F.col("next_rk").alias("rk"), F.col("rk").alias("prev"), "doc_id", "n_chars", "copies"), "rk")
+        .select(F.col("prev").alias("rk"), F.col("rk").alias("next_rk"), "doc_id", "n_chars", "copies", F.left("text", k).alias("head"))
+        .groupBy("rk").agg(*[F.first(c).alias(c) for c in (*carried, "head")])
     )
     edited = F.concat(F.left("text", (F.col("n_chars") - k).cast("int")), F.col("head"))
     base = stored(
-        d.join(heads, "rk").withColumn("edited", edited).select(
-            "doc_id", "rk", "next_rk", "n_chars", "copies", F.sha2("edited", 256).alias("edited_sha256"),
+        texts.join(heads, "rk").withColumn("edited", edited).select(
+            "rk", *carried, F.sha2("edited", 256).alias("edited_sha256"),
             paragraphs(F.col("text")).alias("own"), paragraphs(F.col("edited")).alias("new"),
         ).dropDuplicates(["rk"]),
         "paragraphs",
@@ -191,15 +204,20 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     pairs = base.select(F.col("rk").alias("id"), F.lit("edited").alias("which"), F.col("own").alias("a"), F.col("new").alias("b")).union(
         own.join(following, "next_rk").select("id", F.lit("next"), "a", "b")
     )
-    alike = F.when(F.col("both") == 0, F.lit(1.0)).otherwise((F.col("both") - F.size("diff")) / (F.col("both") + F.size("diff")))
-    near = (
-        differences(pairs).select("id", "which", alike.alias("v")).groupBy(F.col("id").alias("rk"))
-        .agg(F.max(F.when(F.col("which") == "edited", F.col("v"))).alias("near_edited"), F.max(F.when(F.col("which") == "next", F.col("v"))).alias("near_next"))
-    )
+    count = lambda w: F.coalesce(F.sum(F.when(F.col("which") == w, F.size("diff"))), F.lit(0)).alias(w)
+    near = differences(pairs).groupBy(F.col("id").alias("rk")).agg(count("edited"), count("next"))
+    sizes = base.select(F.col("rk").alias("next_rk"), F.size("own").alias("n_next"))
+
+    def alike(diff, other):
+        both = F.size("own") + F.col(other)
+        return F.when(both == 0, F.lit(1.0)).otherwise((both - F.col(diff)) / (both + F.col(diff)))
+
+    base = base.join(sizes, "next_rk").withColumn("n_new", F.size("new"))
+    base = base.withColumns({"_own": shown(sketch(F.col("own"))), "_new": shown(sketch(F.col("new")))})
     each = base.join(near, "rk").withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("copies"))))
     return each.select(
-        "doc_id", "n_chars", "edited_sha256", shown(sketch(F.col("own"))).alias("fingerprint"),
-        shown(sketch(F.col("new"))).alias("edited_fingerprint"), "near_edited", "near_next",
+        "doc_id", "n_chars", "edited_sha256", F.col("_own").alias("fingerprint"), F.col("_new").alias("edited_fingerprint"),
+        alike("edited", "n_new").alias("near_edited"), alike("next", "n_next").alias("near_next"),
     )
 
 

@@ -146,6 +146,7 @@ def test_fingerprints(spark, docs, none):
     out = fingerprint.fingerprints(docs)
     assert out.count() == len(TEXTS)
     rows = [(i, f"line {i} is here\n" * 3 + "\n".join(f"p{i}-{j} text" for j in range(i * 9))) for i in range(12)]
+    rows += [(20 + i, "\n".join(f"q{j} text" for j in range(i, 4000 + 7 * i))) for i in range(3)] + [(30, ""), (31, "\n")]
     got = {r["doc_id"]: r for r in fingerprint.fingerprints(table(spark, rows)).collect()}
     order = sorted(rows, reverse=True)
     for (d, t), (_, nxt) in zip(order, order[1:] + order[:1], strict=True):
@@ -153,7 +154,8 @@ def test_fingerprints(spark, docs, none):
         edited = t[: len(t) - k] + nxt[:k]
         assert got[d]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
         a, b = digests(t), digests(edited)
-        assert abs(got[d]["near_edited"] - len(a & b) / len(a | b)) < 1e-9
+        alike = lambda x, y: len(x & y) / len(x | y) if x | y else 1.0
+        assert abs(got[d]["near_edited"] - alike(a, b)) < 1e-9 and abs(got[d]["near_next"] - alike(a, digests(nxt))) < 1e-9
     assert fingerprint.fingerprints(none).count() == 0
     same = fingerprint.fingerprints(docs).where("doc_id in (7, 10)").select("fingerprint").distinct().count()
     assert same == 1
