@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clientlens.llm.common import row_key, stored
+from clientlens.llm.common import parallelism, row_key, stored
 
 WIDTH = 8  # cells of each of a fingerprint's three rows
 BLOCK_WIDTH, BLOCK_ITEMS = 16, 24  # cells of a row, and items expected, in a larger try
 ROUNDS, TRIES = 8, 5
-IDS_PER_RANGE = 50_000
+IDS_PER_RANGE, PAIRS_PER_TASK = 50_000, 4_000
 #: A paragraph: up to 32 words of a line, counted from its start.
 PARAGRAPH = r"(?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]*){1,32}"
 
@@ -133,9 +133,11 @@ def differences(pairs: DataFrame) -> DataFrame:
         out = stored(out.select("id", "which", "diff", F.when(keep, F.col("a")).alias("a"), F.when(keep, F.col("b")).alias("b")), "sketch-tries")
         solved.append(out.where("diff is not null").select("id", "which", "diff"))
         rest = out.where("diff is null").select("id", "which", "a", "b")
-        if not rest.limit(1).count():
+        left = rest.count()
+        if not left:
             break
         if attempt == 0:
+            rest = rest.repartition(int(max(parallelism(pairs.sparkSession), -(-left // PAIRS_PER_TASK))), "id", "which")
             side = lambda k: F.transform(F.filter("run", lambda r: r["side"] == k), lambda r: r["x"])
             rest = rest.select("id", "which", F.explode(blocks_of(F.col("a"), F.col("b"), 100)).alias("run"))
             rest = rest.select("id", "which", side(0).alias("a"), side(1).alias("b"))

@@ -2,8 +2,12 @@
 
 A string of 100 bytes is owned by one of its 32-byte substrings, the one with the
 smallest hash (winnowing), so equal strings anywhere have equal owners.  Owners
-split the work into shards: all strings that can be equal meet in one shard,
-whose suffix array, built by induced sorting, groups them.
+deal the strings to shards: all strings that can be equal meet in one shard, whose
+suffix array, built by induced sorting, and common prefixes decide every class.
+
+A stretch (the strings of one owner at one place) that occurs over and over goes
+to its shard twice, from its first two places; a third and later place has the
+owner and the 128 bits of hash of a stretch that is there, and starts later.
 """
 
 from __future__ import annotations
@@ -15,13 +19,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clientlens.llm.common import stored
+from clientlens.llm.common import parallelism, stored
 from clientlens.llm.shingles import mix64
 from clientlens.llm.suffixes import common_prefixes, suffix_array
 
 LENGTH, GRAM = 100, 32
 SIDE = (LENGTH - GRAM) // 2  # a match reaches this far left or right of its owner
-SHARD_BYTES = 1 << 20
+SHARD_BYTES = 1 << 17
+#: Text bytes and stretches that a task of the two exchanges takes, about.
+BYTES_PER_TASK, STRETCHES_PER_TASK = 16 << 20, 20_000
+#: Owners with more surroundings than HOT, estimated on a SAMPLE-th of the texts, have
+#: their strings dealt one by one; at most HOT_OWNERS of them, the most frequent.
+HOT, SAMPLE, HOT_OWNERS = 2048, 16, 100_000
 _BASE = 0x9E3779B97F4A7C15
 _POWERS = [np.uint64(pow(_BASE, 1 << i, 1 << 64)) for i in range(6)]
 _POS = np.uint64((1 << 31) - 1)
@@ -69,63 +78,126 @@ def _unpack(pos):
 _FOUND = pa.schema([("h", pa.int64()), ("ctx", pa.int64()), ("doc", pa.int64()), ("tie", pa.int64()), ("pos", pa.int64()), ("sides", pa.int64()), ("done", pa.bool_())])
 
 
-def _later(h, ctx, doc, tie, pos) -> tuple[np.ndarray, np.ndarray]:
-    """Order by (h, ctx, doc, tie, pos), and which rows in it repeat an earlier one
-    of their (h, ctx); a row equal in doc, tie and pos too is the same stretch again."""
-    o = np.lexsort((pos, tie, doc, ctx, h))
-    new = np.ones(len(o), dtype=bool)
-    new[1:] = (h[o][1:] != h[o][:-1]) | (ctx[o][1:] != ctx[o][:-1])
-    first = np.flatnonzero(new)[np.cumsum(new) - 1]
-    same = (doc[o] == doc[o][first]) & (tie[o] == tie[o][first]) & (pos[o] == pos[o][first])
-    return o, ~same
+def _strings(b: np.ndarray, lo, hi, p) -> tuple[np.ndarray, ...]:
+    """The strings of some stretches one by one, as stretches of their own: their
+    key is a hash of the whole string, and they need no look at their sides."""
+    n = hi - lo + 1
+    start = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    h = b.astype(np.uint64) + np.uint64(1)
+    for i in range(GRAM.bit_length() - 1):
+        h = h[: -(1 << i)] * _POWERS[i] + h[1 << i :]
+    key, ctx = np.full(len(start), 7, np.uint64), np.full(len(start), 11, np.uint64)
+    for at in (0, GRAM, 2 * GRAM, LENGTH - GRAM):
+        key = mix64(key * _POWERS[1] + h[start + at])
+        ctx = mix64((ctx ^ h[start + at]) * _POWERS[0])
+    return key, ctx, np.zeros(len(start), np.int64), start, start, np.repeat(p, n)
 
 
-def _scan(batches):
-    """Stretches of every text.  Those that repeat one of the same batch are done:
+def _ranked(h, ctx, doc, tie, pos) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order by (h, ctx, doc, tie, pos) without rows that are there twice, which
+    rows begin a class (h, ctx), and every row's number in its class from 0."""
+    o = np.lexsort((pos, tie, doc, ctx, h))
+    cols = [x[o] for x in (h, ctx, doc, tie, pos)]
+    step = [np.append(True, x[1:] != x[:-1]) for x in cols]
+    keep = step[0] | step[1] | step[2] | step[3] | step[4]
+    new = (step[0] | step[1])[keep]
+    at = np.arange(len(new))
+    return o[keep], new, at - at[new][np.cumsum(new) - 1]
+
+
+def _stretches(b: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, ...]:
+    found = owners(b)
+    if not len(hot) or not len(found[0]):
+        return found
+    at = np.minimum(np.searchsorted(hot, found[0]), len(hot) - 1)
+    some = hot[at] == found[0]
+    if not some.any():
+        return found
+    single = _strings(b, *(x[some] for x in found[3:]))
+    return tuple(np.concatenate([x[~some], y]) for x, y in zip(found, single, strict=True))
+
+
+def _scan(hot: np.ndarray):
+    """Stretches of every text.  The third and later of a kind in a batch are done:
     they start again what starts earlier, so frequent ones stay few."""
+
+    def scan(batches):
+        for b in batches:
+            cols = []
+            for doc, tie, text in zip(b.column("doc").to_pylist(), b.column("tie").to_pylist(), b.column("text").cast(pa.binary()), strict=True):
+                h, ctx, sides, lo, hi, p = _stretches(np.frombuffer(text.as_py(), np.uint8), hot)
+                if len(h):
+                    cols.append((h.view(np.int64), ctx.view(np.int64), np.full(len(h), doc, np.int64), np.full(len(h), tie, np.int64), _pack(lo, hi, p), sides))
+            if not cols:
+                continue
+            h, ctx, doc, tie, pos, sides = map(np.concatenate, zip(*cols, strict=True))
+            o, _, rank = _ranked(h, ctx, doc, tie, pos)
+            h, ctx, doc, tie, pos, sides = (x[o] for x in (h, ctx, doc, tie, pos, sides))
+            done = rank > 1
+            h = np.where(done, mix64((doc ^ tie ^ (pos << 7)).view(np.uint64)).view(np.int64), h)  # done rows go anywhere
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h, ctx, doc, tie, pos, sides, done)], schema=_FOUND)
+
+    return scan
+
+
+def _contexts(batches):
     for b in batches:
-        cols = []
-        for doc, tie, text in zip(b.column("doc").to_pylist(), b.column("tie").to_pylist(), b.column("text").cast(pa.binary()), strict=True):
-            h, ctx, sides, lo, hi, p = owners(np.frombuffer(text.as_py(), np.uint8))
-            if len(h):
-                cols.append((h.view(np.int64), ctx.view(np.int64), np.full(len(h), doc, np.int64), np.full(len(h), tie, np.int64), _pack(lo, hi, p), sides))
-        if not cols:
-            continue
-        h, ctx, doc, tie, pos, sides = map(np.concatenate, zip(*cols, strict=True))
-        o, again = _later(h, ctx, doc, tie, pos)
-        h, ctx, doc, tie, pos, sides = (x[o] for x in (h, ctx, doc, tie, pos, sides))
-        h = np.where(again, mix64((doc ^ tie ^ (pos << 7)).view(np.uint64)).view(np.int64), h)  # done rows go anywhere
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h, ctx, doc, tie, pos, sides, again)], schema=_FOUND)
+        found = [owners(np.frombuffer(t.as_py(), np.uint8))[:2] for t in b.column("text").cast(pa.binary())]
+        if found:
+            h, ctx = map(np.concatenate, zip(*found, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ctx.view(np.int64))], ["h", "ctx"])
+
+
+def hot_owners(d: DataFrame, hot: int, sample: int) -> np.ndarray:
+    """Owners with more than about ``hot`` surroundings, sorted.  They only say how
+    strings are dealt, not which are removed, so an estimate from the texts of
+    every ``sample``-th key is enough; the list has HOT_OWNERS entries at most."""
+    some = d.where(F.pmod(F.xxhash64("tie", "doc"), F.lit(sample)) == 0).select("text")
+    n = some.mapInArrow(_contexts, "h bigint, ctx bigint").distinct().groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    rows = n.where(F.col("n") > max(1, hot // sample)).orderBy(F.col("n").desc(), "h").limit(HOT_OWNERS).select("h").collect()
+    return np.sort(np.array([r["h"] for r in rows], np.int64).view(np.uint64))
 
 
 _JUDGED = pa.schema([("h", pa.int64()), ("doc", pa.int64()), ("tie", pa.int64()), ("pos", pa.int64()), ("done", pa.bool_())])
 
 
 def _judge(batches):
-    """Of the stretches of whole owners: repeats, and those to be looked into,
-    that is the first of each kind where kinds of one owner agree on a side."""
-    parts = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches]
-    if not parts:
-        return
-    h, ctx, doc, tie, pos, sides, done = map(np.concatenate, zip(*parts, strict=True))
+    """Of stretches in order of their owner: the third and later of a kind are
+    done; the first two of a kind go to the shard, and so does one that is alone
+    but agrees on a side with another kind of its owner.  Holds a batch and one owner."""
+    held = None
+    for b in batches:
+        cols = [c.to_numpy(zero_copy_only=False) for c in b.columns]
+        if held is not None:
+            cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
+        if not len(cols[0]):
+            continue
+        end = int(np.searchsorted(cols[0], cols[0][-1]))
+        held = [x[end:] for x in cols]
+        if end:
+            yield _of_owners([x[:end] for x in cols])
+    if held is not None:
+        yield _of_owners(held)
+
+
+def _of_owners(cols) -> pa.RecordBatch:
+    h, ctx, doc, tie, pos, sides, done = cols
     out = [(h[done], doc[done], tie[done], pos[done], np.ones(int(done.sum()), bool))]
     h, ctx, doc, tie, pos, sides = (x[~done] for x in (h, ctx, doc, tie, pos, sides))
     if len(h):
-        o, again = _later(h, ctx, doc, tie, pos)
-        h, ctx, doc, tie, pos, sides = (x[o] for x in (h, ctx, doc, tie, pos, sides))
-        out.append((h[again], doc[again], tie[again], pos[again], np.ones(int(again.sum()), bool)))
-        first = np.ones(len(h), bool)
-        first[1:] = (h[1:] != h[:-1]) | (ctx[1:] != ctx[:-1])
-        h, doc, tie, pos, sides = (x[first] for x in (h, doc, tie, pos, sides))
-        near = np.zeros(len(h), bool)
-        for side in (sides >> 32, sides & 0xFFFFFFFF):
-            k = np.lexsort((side, h))
-            eq = (h[k][1:] == h[k][:-1]) & (side[k][1:] == side[k][:-1]) & (side[k][1:] != 0)
-            near[k[1:][eq]] = near[k[:-1][eq]] = True
-        out.append((h[near], doc[near], tie[near], pos[near], np.zeros(int(near.sum()), bool)))
-    cols = [np.concatenate(x) for x in zip(*out, strict=True)]
-    for lo in range(0, len(cols[0]), 1 << 16):
-        yield pa.RecordBatch.from_arrays([pa.array(c[lo : lo + (1 << 16)]) for c in cols], schema=_JUDGED)
+        o, new, rank = _ranked(h, ctx, doc, tie, pos)
+        h, doc, tie, pos, sides = (x[o] for x in (h, doc, tie, pos, sides))
+        look = rank == 1
+        look[:-1] |= rank[1:] == 1
+        first = np.flatnonzero(new)
+        fh, fs = h[first], sides[first]
+        for side in (fs >> 32, fs & 0xFFFFFFFF):
+            k = np.lexsort((side, fh))
+            eq = (fh[k][1:] == fh[k][:-1]) & (side[k][1:] == side[k][:-1]) & (side[k][1:] != 0)
+            look[first[k[1:][eq]]] = look[first[k[:-1][eq]]] = True
+        for some, is_done in ((rank > 1, True), (look & (rank < 2), False)):
+            out.append((h[some], doc[some], tie[some], pos[some], np.full(int(some.sum()), is_done)))
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], schema=_JUDGED)
 
 
 _CUT = pa.schema([("h", pa.int64()), ("doc", pa.int64()), ("tie", pa.int64()), ("pos", pa.int64()), ("bytes", pa.binary())])
@@ -144,37 +216,51 @@ def _cut(batches):
 
 
 def repeated_strings(doc: np.ndarray, ties: np.ndarray, pos: np.ndarray, pieces: list[bytes]) -> tuple[np.ndarray, ...]:
-    """(doc, tie, pos) of the runs of strings in a shard that also start earlier in it."""
-    size = np.array([len(x) for x in pieces], dtype=np.int64)
+    """(doc, tie, pos) of the runs of strings in a shard that also start earlier in it.
+
+    Pieces of equal bytes are laid down once, with all their places."""
+    kind: dict[bytes, int] = {}
+    of = np.array([kind.setdefault(x, len(kind)) for x in pieces])
+    by = np.argsort(of, kind="stable")  # places, piece by piece
+    n_places = np.bincount(of)
+    place0 = np.cumsum(n_places) - n_places
+    size = np.array([len(x) for x in kind], dtype=np.int64)
     begin = np.cumsum(size + 1) - size - 1
-    t = np.frombuffer(b"\0".join(pieces), dtype=np.uint8).astype(np.int64) + 2
+    t = np.frombuffer(b"\0".join(kind), dtype=np.uint8).astype(np.int64) + 2
     sep = (begin + size)[:-1]
     t[sep] = 1
     t = np.append(t, 0)
     sa = suffix_array(t, 258)
     common = common_prefixes(t.astype(np.int16), sa, LENGTH)
-    piece = np.repeat(np.arange(len(pieces)), np.append(size[:-1] + 1, size[-1] + 1))
+    piece = np.repeat(np.arange(len(size)), np.append(size[:-1] + 1, size[-1] + 1))
     offset = np.arange(len(t)) - begin[piece]
     valid = offset + LENGTH <= size[piece]
     # strings in one class: no smaller common prefix between them in suffix order
     ordered = valid[sa]
     group = np.cumsum(common[sa] < LENGTH)
     at, g = sa[ordered], group[ordered]
+    # every string at each of its places
+    n = n_places[piece[at]]
+    nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    at, g = np.repeat(at, n), np.repeat(g, n)
+    row = by[place0[piece[at]] + nth]
     lo, _, _ = _unpack(pos)
-    d, start, tie = doc[piece[at]], lo[piece[at]] + offset[at], ties[piece[at]]
+    d, start, tie = doc[row], lo[row] + offset[at], ties[row]
     o = np.lexsort((start, tie, d, g))
-    at, g, d, start, tie = at[o], g[o], d[o], start[o], tie[o]
-    new = np.ones(len(g), bool)
-    new[1:] = g[1:] != g[:-1]
+    g, d, start, tie, row = g[o], d[o], start[o], tie[o], row[o]
+    new = np.append(True, g[1:] != g[:-1])[: len(g)]
     first = np.flatnonzero(new)[np.cumsum(new) - 1]
-    hit = np.sort(at[(d != d[first]) | (start != start[first]) | (tie != tie[first])])
-    if not len(hit):
+    hit = (d != d[first]) | (start != start[first]) | (tie != tie[first])
+    start, row = start[hit], row[hit]
+    if not len(row):
         return tuple(np.empty(0, np.int64) for _ in range(3))
-    cut = np.ones(len(hit), bool)
-    cut[1:] = (np.diff(hit) != 1) | (piece[hit[1:]] != piece[hit[:-1]])
-    f, last = hit[cut], hit[np.append(np.flatnonzero(cut)[1:], len(hit)) - 1]
-    k = piece[f]
-    return doc[k], ties[k], _pack(lo[k] + offset[f], lo[k] + offset[last], lo[k] + offset[f])
+    o = np.lexsort((start, row))
+    start, row = start[o], row[o]
+    cut = np.ones(len(row), bool)
+    cut[1:] = (np.diff(start) != 1) | (row[1:] != row[:-1])
+    f = np.flatnonzero(cut)
+    k, last = row[f], start[np.append(f[1:], len(row)) - 1]
+    return doc[k], ties[k], _pack(start[f], last, start[f])
 
 
 def _shards(batches):
@@ -213,21 +299,24 @@ def _removed(text: bytes, runs: list[int] | None) -> tuple[bytes, int, int]:
     return np.frombuffer(text, np.uint8)[~gone].tobytes(), int(gone.sum()), spans
 
 
-def suffix_dedup(docs: DataFrame) -> DataFrame:
+def suffix_dedup(docs: DataFrame, hot: int = HOT, sample: int = SAMPLE) -> DataFrame:
     """(doc_id, kept, n_bytes, n_removed, n_spans) for every row of ``docs``.
 
     Earlier means a smaller doc_id, or the same document and an earlier start.
 
     Defined cases: null text is empty; texts under 100 bytes stay whole; a null
     doc_id comes after all others; texts that differ under one doc_id are told
-    apart and ordered by 63 bits of a hash; exact repeats of a row are the same document and lose
-    the same bytes; an empty table gives no rows; other columns are ignored.
+    apart and ordered by 63 bits of a hash; exact repeats of a row are the same
+    document and lose the same bytes; an empty table gives no rows; other columns
+    are ignored.
 
     Plan: one exchange of stretches (a row for about 35 bytes of text) by owner
-    hash, after repeats within a batch are settled; two exchanges of texts by id.
-    Only stretches whose owner and one side agree with a different stretch are
-    cut out as bytes and sorted; lineage ends at written tables.
+    hash, sorted and streamed owner by owner, after the third and later of a kind
+    in a batch are settled; two exchanges of texts by id.  Owners with very many
+    surroundings have their strings dealt one by one, so no owner fills a task;
+    the numbers of tasks follow the bytes.  Lineage ends at written tables.
     """
+    spark = docs.sparkSession
     text = F.coalesce("text", F.lit(""))
     half = F.shiftrightunsigned(F.xxhash64(text), 1)
     d = docs.select(
@@ -236,11 +325,18 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
         # negative under an id, so that a null id also comes after the largest one
         F.when(F.col("doc_id").isNull(), half).otherwise(-half - 1).alias("tie"),
     )
-    found = d.select("doc", "tie", "text").mapInArrow(_scan, "h bigint, ctx bigint, doc bigint, tie bigint, pos bigint, sides bigint, done boolean")
-    judged = stored(found.repartition("h").mapInArrow(_judge, "h bigint, doc bigint, tie bigint, pos bigint, done boolean"), "stretches")
-    items = judged.where("not done").groupBy("doc", "tie").agg(F.collect_set(F.struct("h", "pos")).alias("items"))
+    total = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    tasks = lambda n, each: int(max(parallelism(spark), -(-n // each)))
+    found = d.select("doc", "tie", "text").mapInArrow(
+        _scan(hot_owners(d, hot, sample)), "h bigint, ctx bigint, doc bigint, tie bigint, pos bigint, sides bigint, done boolean"
+    )
+    found = found.repartition(tasks(total, BYTES_PER_TASK), "h").sortWithinPartitions("h")
+    judged = stored(found.mapInArrow(_judge, "h bigint, doc bigint, tie bigint, pos bigint, done boolean"), "stretches")
+    look = judged.where("not done")
+    items = look.groupBy("doc", "tie").agg(F.collect_set(F.struct("h", "pos")).alias("items"))
     cut = d.select("doc", "tie", "text").join(items, ["doc", "tie"]).select("doc", "tie", "text", "items").mapInArrow(_cut, "h bigint, doc bigint, tie bigint, pos bigint, bytes binary")
-    more = stored(cut.repartition("h").sortWithinPartitions("h").mapInArrow(_shards, "doc bigint, tie bigint, pos bigint"), "repeats")
+    cut = cut.repartition(tasks(look.count(), STRETCHES_PER_TASK), "h").sortWithinPartitions("h")
+    more = stored(cut.mapInArrow(_shards, "doc bigint, tie bigint, pos bigint"), "repeats")
     runs = judged.where("done").select("doc", "tie", "pos").union(more)
     runs = runs.groupBy("doc", "tie").agg(F.collect_set("pos").alias("runs"))
 

@@ -83,20 +83,23 @@ def _induce_list(t: list, s: list, seeds: list, k: int) -> list:
         c = t[i]
         tail[c] -= 1
         sa[tail[c]] = i
+    # the letter before each place, if that place is of the wanted type; -1 else,
+    # also for the slots still empty (index -1 is the last item)
+    before = [-1, *t[:-1], -1]
+    large = [c if not up else -1 for c, up in zip(before, [True, *s[:-1], True], strict=True)]
+    less = [c if up else -1 for c, up in zip(before, [False, *s[:-1], False], strict=True)]
     head = start
-    for i in range(len(sa)):
-        j = sa[i] - 1
-        if j >= 0 and not s[j]:
-            c = t[j]
-            sa[head[c]] = j
+    for i in sa:  # sees what the loop itself puts further on
+        c = large[i]
+        if c >= 0:
+            sa[head[c]] = i - 1
             head[c] += 1
     tail = end
-    for i in range(len(sa) - 1, -1, -1):
-        j = sa[i] - 1
-        if j >= 0 and s[j]:
-            c = t[j]
+    for i in reversed(sa):
+        c = less[i]
+        if c >= 0:
             tail[c] -= 1
-            sa[tail[c]] = j
+            sa[tail[c]] = i - 1
     return sa
 
 
@@ -132,9 +135,11 @@ def suffix_array(t: np.ndarray, k: int) -> np.ndarray:
     """
     if len(t) < 3:
         return np.argsort(t, kind="stable")
+    small = k <= 1 << 16 and 48 * k <= len(t) or k <= 300
+    if small:
+        t = t.astype(np.uint16)  # sorts by counting
     s = _types(t)
     lms = np.flatnonzero(s[1:] & ~s[:-1]) + 1
-    small = k <= 1024
     listed = (t.tolist(), s.tolist()) if not small else None
     sort = (lambda seeds: _induce(t, s, seeds, k)) if small else (lambda seeds: np.array(_induce_list(*listed, seeds.tolist(), k)))
     names, n = _names(t, sort(lms), lms)

@@ -280,6 +280,21 @@ def test_suffix_dedup(spark, docs, none):
     assert repeats.suffix_dedup(none).count() == 0 and repeats.suffix_dedup(docs).count() == len(TEXTS)
 
 
+def test_suffix_dedup_deals_hot_owners_by_string(spark):
+    """One passage in many texts, each with its own surroundings, and near copies."""
+    rng = np.random.default_rng(12)
+    letters, passage = list("abcdefghijklmnop "), "".join(np.random.default_rng(13).choice(list("qrstuv "), 420))
+    some = lambda n: "".join(rng.choice(letters, n))
+    rows = [(i, some(int(rng.integers(0, 150))) + passage + some(int(rng.integers(0, 150)))) for i in range(90)]
+    rows += [(100 + i, rows[i][1][:200] + "#" + rows[i][1][200:]) for i in range(0, 90, 3)]
+    hot = repeats.hot_owners(table(spark, rows).selectExpr("text", "doc_id doc", "0L tie"), 8, 1)
+    assert len(hot) > 1
+    want = repeats_by_hand(rows)
+    for most in (8, 10**6):
+        got = {r["doc_id"]: (bytes(r["kept"]), r["n_removed"]) for r in repeats.suffix_dedup(table(spark, rows), most, 1).collect()}
+        assert got == want
+
+
 def test_suffix_dedup_tells_texts_of_one_id_apart(spark):
     """Every text repeats its own first 120 bytes, whatever else bears its id or none."""
     rng = np.random.default_rng(9)
