@@ -7,7 +7,9 @@ suffix array, built by induced sorting, and common prefixes decide every class.
 
 A stretch (the strings of one owner at one place) that occurs over and over goes
 to its shard twice, from its first two places; a third and later place has the
-owner and the 128 bits of hash of a stretch that is there, and starts later.
+owner and the 128 bits of hash of a stretch that is there, and starts later.  An
+owner's shard is named by the text and page where it first occurs, so neighbouring
+stretches mostly go to one shard and are laid down there as one piece.
 """
 
 from __future__ import annotations
@@ -23,8 +25,9 @@ from clientlens.llm.common import parallelism, stored
 from clientlens.llm.shingles import mix64
 from clientlens.llm.suffixes import common_prefixes, suffix_array
 
-LENGTH, GRAM = 100, 32
+LENGTH, GRAM, WIDE = 100, 16, 32
 SIDE = (LENGTH - GRAM) // 2  # a match reaches this far left or right of its owner
+CHUNK, PAGE = 1 << 18, 11  # bytes looked at in one go; bits of a place within a page
 SHARD_BYTES = 1 << 17
 #: Text bytes and stretches that a task of the two exchanges takes, about.
 BYTES_PER_TASK, STRETCHES_PER_TASK = 16 << 20, 20_000
@@ -36,61 +39,92 @@ _POWERS = [np.uint64(pow(_BASE, 1 << i, 1 << 64)) for i in range(6)]
 _POS = np.uint64((1 << 31) - 1)
 
 
-def owners(b: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Per owner: its hash, a hash of the stretch its strings cover, hashes of the
-    bytes left and right of it (in one number), first string, last string, and
-    the owner's place.  Texts shorter than a string have none."""
-    n, w = len(b), LENGTH - GRAM + 1
-    if n < LENGTH:
-        return tuple(np.empty(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64, np.int64, np.int64))
+def _chunks(texts: list[bytes]):
+    """(number of the first text, texts) of about CHUNK bytes or one long text."""
+    begin = held = 0
+    for k, t in enumerate(texts):
+        if held and held + len(t) > CHUNK:
+            yield begin, texts[begin:k]
+            begin, held = k, 0
+        held += len(t)
+    if begin < len(texts):
+        yield begin, texts[begin:]
+
+
+def _grams(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the GRAM and of the WIDE bytes from each place."""
     h = b.astype(np.uint64) + np.uint64(1)
     for i in range(GRAM.bit_length() - 1):
         h = h[: -(1 << i)] * _POWERS[i] + h[1 << i :]
+    return h, h[:-GRAM] * _POWERS[4] + h[GRAM:]
+
+
+def owners(texts: list[bytes]) -> tuple[np.ndarray, ...]:
+    """Per stretch: its owner's hash, a hash of the bytes its strings cover, hashes
+    of what is left and right of the owner (in one number), number of its text,
+    first string, last string and the owner's place.  Texts shorter than a string
+    have none."""
+    size = np.array([len(t) for t in texts], dtype=np.int64)
+    b = np.frombuffer(b"".join(texts), np.uint8)
+    n, w = len(b), LENGTH - GRAM + 1
+    if n < LENGTH or size.max() < LENGTH:
+        return tuple(np.empty(0, t) for t in (np.uint64, np.uint64, *[np.int64] * 5))
+    h, wide = _grams(b)
     least = ((mix64(h) >> np.uint64(1)) & ~_POS) | np.arange(len(h), dtype=np.uint64)
     s = 1
     while 2 * s <= w:
         least, s = np.minimum(least[:-s], least[s:]), 2 * s
     if w > s:
         least = np.minimum(least[: s - w], least[w - s :])
-    at = (least & _POS).astype(np.int64)
-    lo = np.flatnonzero(np.diff(at, prepend=-1))
-    hi = np.append(lo[1:], len(at)) - 1
-    p, end = at[lo], hi + LENGTH
+    begin = np.cumsum(size) - size
+    inside = np.zeros(n + 1, np.int64)  # places where a string starts that ends in its text
+    long = size >= LENGTH
+    inside[begin[long]] += 1
+    inside[(begin + size)[long] - LENGTH + 1] -= 1
+    v = np.flatnonzero(np.cumsum(inside)[: len(least)])
+    at = (least[v] & _POS).astype(np.int64)
+    new = np.append(True, (np.diff(at) != 0) | (np.diff(v) != 1))
+    lo, p = v[new], at[new]
+    hi = v[np.append(np.flatnonzero(new)[1:] - 1, len(v) - 1)]
+    end = hi + LENGTH
     ctx = ((end - lo) * 256 + (p - lo)).astype(np.uint64)
-    for t in range(-(-(2 * LENGTH) // GRAM)):
-        ctx = mix64(ctx * _POWERS[0] + h[np.minimum(lo + GRAM * t, end - GRAM)])
-    # the last 32 of the SIDE bytes on either side, as far as the stretch reaches
-    left = np.where(p - lo >= SIDE, mix64(h[np.maximum(p - SIDE, 0)]) >> np.uint64(33), np.uint64(0))
-    right = np.where(end - p - GRAM >= SIDE, mix64(h[np.minimum(p + SIDE, n - GRAM)]) >> np.uint64(33), np.uint64(0))
-    return h[p], ctx, ((left << np.uint64(32)) | right).astype(np.int64), lo, hi, p
+    for t in range(-(-(2 * LENGTH - GRAM) // WIDE)):
+        ctx = mix64(ctx * _POWERS[0] + wide[np.minimum(lo + WIDE * t, end - WIDE)])
+    # the outer WIDE of the SIDE bytes on either side, where the stretch reaches as far
+    left = np.where(p - lo >= SIDE, mix64(wide[np.maximum(p - SIDE, 0)]) >> np.uint64(33), np.uint64(0))
+    right = np.where(end - p - GRAM >= SIDE, mix64(wide[np.minimum(p + GRAM + SIDE - WIDE, n - WIDE)]) >> np.uint64(33), np.uint64(0))
+    of = np.searchsorted(begin, lo, side="right") - 1  # of empty texts the last, which is none
+    off = begin[of]
+    return h[p], ctx, ((left << np.uint64(32)) | right).astype(np.int64), of, lo - off, hi - off, p - off
 
 
-def _pack(lo, hi, p):
-    """Place of a stretch in its text, in order of its first string."""
-    return (lo << 16) | ((hi - lo) << 8) | (p - lo)
+def _pack(lo, hi):
+    """Place of a run of strings in its text, in order of its first string."""
+    return (lo << 32) | (hi - lo)
 
 
 def _unpack(pos):
-    lo = pos >> 16
-    return lo, lo + ((pos >> 8) & 255), pos & 255
+    lo = pos >> 32
+    return lo, lo + (pos & 0xFFFFFFFF)
 
 
 _FOUND = pa.schema([("h", pa.int64()), ("ctx", pa.int64()), ("doc", pa.int64()), ("tie", pa.int64()), ("pos", pa.int64()), ("sides", pa.int64()), ("done", pa.bool_())])
 
 
-def _strings(b: np.ndarray, lo, hi, p) -> tuple[np.ndarray, ...]:
+def _strings(texts: list[bytes], of, lo, hi) -> tuple[np.ndarray, ...]:
     """The strings of some stretches one by one, as stretches of their own: their
     key is a hash of the whole string, and they need no look at their sides."""
+    size = np.array([len(t) for t in texts], dtype=np.int64)
+    begin = np.cumsum(size) - size
     n = hi - lo + 1
     start = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    h = b.astype(np.uint64) + np.uint64(1)
-    for i in range(GRAM.bit_length() - 1):
-        h = h[: -(1 << i)] * _POWERS[i] + h[1 << i :]
+    of = np.repeat(of, n)
+    _, wide = _grams(np.frombuffer(b"".join(texts), np.uint8))
     key, ctx = np.full(len(start), 7, np.uint64), np.full(len(start), 11, np.uint64)
-    for at in (0, GRAM, 2 * GRAM, LENGTH - GRAM):
-        key = mix64(key * _POWERS[1] + h[start + at])
-        ctx = mix64((ctx ^ h[start + at]) * _POWERS[0])
-    return key, ctx, np.zeros(len(start), np.int64), start, start, np.repeat(p, n)
+    for at in (0, WIDE, 2 * WIDE, LENGTH - WIDE):
+        g = wide[begin[of] + start + at]
+        key, ctx = mix64(key * _POWERS[1] + g), mix64((ctx ^ g) * _POWERS[0])
+    return key, ctx, np.zeros(len(start), np.int64), of, start, start
 
 
 def _ranked(h, ctx, doc, tie, pos) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -105,15 +139,15 @@ def _ranked(h, ctx, doc, tie, pos) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return o[keep], new, at - at[new][np.cumsum(new) - 1]
 
 
-def _stretches(b: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, ...]:
-    found = owners(b)
+def _stretches(texts: list[bytes], hot: np.ndarray) -> tuple[np.ndarray, ...]:
+    found = owners(texts)[:-1]
     if not len(hot) or not len(found[0]):
         return found
     at = np.minimum(np.searchsorted(hot, found[0]), len(hot) - 1)
     some = hot[at] == found[0]
     if not some.any():
         return found
-    single = _strings(b, *(x[some] for x in found[3:]))
+    single = _strings(texts, *(x[some] for x in found[3:]))
     return tuple(np.concatenate([x[~some], y]) for x, y in zip(found, single, strict=True))
 
 
@@ -123,11 +157,12 @@ def _scan(hot: np.ndarray):
 
     def scan(batches):
         for b in batches:
+            docs, ties = (b.column(c).to_numpy() for c in ("doc", "tie"))
             cols = []
-            for doc, tie, text in zip(b.column("doc").to_pylist(), b.column("tie").to_pylist(), b.column("text").cast(pa.binary()), strict=True):
-                h, ctx, sides, lo, hi, p = _stretches(np.frombuffer(text.as_py(), np.uint8), hot)
+            for first, texts in _chunks(b.column("text").cast(pa.binary()).to_pylist()):
+                h, ctx, sides, of, lo, hi = _stretches(texts, hot)
                 if len(h):
-                    cols.append((h.view(np.int64), ctx.view(np.int64), np.full(len(h), doc, np.int64), np.full(len(h), tie, np.int64), _pack(lo, hi, p), sides))
+                    cols.append((h.view(np.int64), ctx.view(np.int64), docs[first + of], ties[first + of], _pack(lo, hi), sides))
             if not cols:
                 continue
             h, ctx, doc, tie, pos, sides = map(np.concatenate, zip(*cols, strict=True))
@@ -142,7 +177,7 @@ def _scan(hot: np.ndarray):
 
 def _contexts(batches):
     for b in batches:
-        found = [owners(np.frombuffer(t.as_py(), np.uint8))[:2] for t in b.column("text").cast(pa.binary())]
+        found = [owners(t)[:2] for _, t in _chunks(b.column("text").cast(pa.binary()).to_pylist())]
         if found:
             h, ctx = map(np.concatenate, zip(*found, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ctx.view(np.int64))], ["h", "ctx"])
@@ -158,7 +193,7 @@ def hot_owners(d: DataFrame, hot: int, sample: int) -> np.ndarray:
     return np.sort(np.array([r["h"] for r in rows], np.int64).view(np.uint64))
 
 
-_JUDGED = pa.schema([("h", pa.int64()), ("doc", pa.int64()), ("tie", pa.int64()), ("pos", pa.int64()), ("done", pa.bool_())])
+_JUDGED = pa.schema([("shard", pa.int64()), ("doc", pa.int64()), ("tie", pa.int64()), ("pos", pa.int64()), ("done", pa.bool_())])
 
 
 def _judge(batches):
@@ -182,7 +217,7 @@ def _judge(batches):
 
 def _of_owners(cols) -> pa.RecordBatch:
     h, ctx, doc, tie, pos, sides, done = cols
-    out = [(h[done], doc[done], tie[done], pos[done], np.ones(int(done.sum()), bool))]
+    out = [(h[done], doc[done], tie[done], pos[done], np.ones(int(done.sum()), bool))]  # of any shard
     h, ctx, doc, tie, pos, sides = (x[~done] for x in (h, ctx, doc, tie, pos, sides))
     if len(h):
         o, new, rank = _ranked(h, ctx, doc, tie, pos)
@@ -195,27 +230,36 @@ def _of_owners(cols) -> pa.RecordBatch:
             k = np.lexsort((side, fh))
             eq = (fh[k][1:] == fh[k][:-1]) & (side[k][1:] == side[k][:-1]) & (side[k][1:] != 0)
             look[first[k[1:][eq]]] = look[first[k[:-1][eq]]] = True
+        # an owner's shard: the page of its first place
+        o = np.lexsort((pos, tie, doc, h))
+        page = mix64((mix64((doc ^ (tie << 1)).view(np.uint64)) + (pos >> (32 + PAGE)).view(np.uint64))).view(np.int64)
+        head = np.append(True, h[1:] != h[:-1])  # the same places in both orders, h is their first key
+        shard = page[o][np.flatnonzero(head)][np.cumsum(head) - 1]
         for some, is_done in ((rank > 1, True), (look & (rank < 2), False)):
-            out.append((h[some], doc[some], tie[some], pos[some], np.full(int(some.sum()), is_done)))
+            out.append((shard[some], doc[some], tie[some], pos[some], np.full(int(some.sum()), is_done)))
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], schema=_JUDGED)
 
 
-_CUT = pa.schema([("h", pa.int64()), ("doc", pa.int64()), ("tie", pa.int64()), ("pos", pa.int64()), ("bytes", pa.binary())])
+_CUT = pa.schema([("shard", pa.int64()), ("doc", pa.int64()), ("tie", pa.int64()), ("start", pa.int64()), ("bytes", pa.binary())])
 
 
 def _cut(batches):
-    """The bytes of the stretches of each text that are to be looked into."""
+    """The bytes of the stretches of each text that a shard looks into; stretches
+    that follow on one another in one shard are one piece."""
     for b in batches:
         rows = []
-        for doc, tie, text, items in zip(b.column("doc").to_pylist(), b.column("tie").to_pylist(), b.column("text").cast(pa.binary()).to_pylist(), b.column("items").to_pylist(), strict=True):
-            for i in items:
-                lo, hi, _ = _unpack(i["pos"])
-                rows.append((i["h"], doc, tie, i["pos"], text[lo : hi + LENGTH]))
+        for doc, tie, text, items in zip(b.column("doc").to_pylist(), b.column("tie").to_pylist(), b.column("text").cast(pa.binary()).to_pylist(), b.column("items"), strict=True):
+            shard, pos = (items.values.field(c).to_numpy() for c in ("shard", "pos"))
+            o = np.lexsort((pos, shard))
+            shard, (lo, hi) = shard[o], _unpack(pos[o])
+            new = np.append(True, (shard[1:] != shard[:-1]) | (lo[1:] != hi[:-1] + 1))
+            end = hi[np.append(np.flatnonzero(new)[1:] - 1, len(hi) - 1)] + LENGTH
+            rows.extend((k, doc, tie, i, text[i:j]) for k, i, j in zip(shard[new].tolist(), lo[new].tolist(), end.tolist(), strict=True))
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _CUT, strict=True)], schema=_CUT)
 
 
-def repeated_strings(doc: np.ndarray, ties: np.ndarray, pos: np.ndarray, pieces: list[bytes]) -> tuple[np.ndarray, ...]:
+def repeated_strings(doc: np.ndarray, ties: np.ndarray, starts: np.ndarray, pieces: list[bytes]) -> tuple[np.ndarray, ...]:
     """(doc, tie, pos) of the runs of strings in a shard that also start earlier in it.
 
     Pieces of equal bytes are laid down once, with all their places."""
@@ -244,8 +288,7 @@ def repeated_strings(doc: np.ndarray, ties: np.ndarray, pos: np.ndarray, pieces:
     nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     at, g = np.repeat(at, n), np.repeat(g, n)
     row = by[place0[piece[at]] + nth]
-    lo, _, _ = _unpack(pos)
-    d, start, tie = doc[row], lo[row] + offset[at], ties[row]
+    d, start, tie = doc[row], starts[row] + offset[at], ties[row]
     o = np.lexsort((start, tie, d, g))
     g, d, start, tie, row = g[o], d[o], start[o], tie[o], row[o]
     new = np.append(True, g[1:] != g[:-1])[: len(g)]
@@ -260,29 +303,27 @@ def repeated_strings(doc: np.ndarray, ties: np.ndarray, pos: np.ndarray, pieces:
     cut[1:] = (np.diff(start) != 1) | (row[1:] != row[:-1])
     f = np.flatnonzero(cut)
     k, last = row[f], start[np.append(f[1:], len(row)) - 1]
-    return doc[k], ties[k], _pack(start[f], last, start[f])
+    return doc[k], ties[k], _pack(start[f], last)
 
 
 def _shards(batches):
-    """Suffix arrays over whole owners, about SHARD_BYTES at a time."""
-    doc, ties, pos, pieces, held, last = [], [], [], [], 0, None
+    """Suffix arrays over whole shards, of SHARD_BYTES or more at a time."""
+    rows, held, at = [], 0, None
     for b in batches:
-        for h, d, t, p, x in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            if held >= SHARD_BYTES and h != last:
-                yield _runs(doc, ties, pos, pieces)
-                doc, ties, pos, pieces, held = [], [], [], [], 0
-            last = h
-            doc.append(d)
-            ties.append(t)
-            pos.append(p)
-            pieces.append(x)
-            held += len(x)
-    if pieces:
-        yield _runs(doc, ties, pos, pieces)
-
-
-def _runs(doc, ties, pos, pieces):
-    found = repeated_strings(np.array(doc, np.int64), np.array(ties, np.int64), np.array(pos, np.int64), pieces)
+        for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if held >= SHARD_BYTES and row[0] != at:
+                yield _runs(rows)
+                rows, held = [], 0
+            at = row[0]
+            rows.append(row)
+            held += len(row[4])
+    if rows:
+        yield _runs(rows)
+
+
+def _runs(rows):
+    _, doc, tie, start, pieces = zip(*rows, strict=True)
+    found = repeated_strings(*(np.array(x, np.int64) for x in (doc, tie, start)), pieces)
     return pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["doc", "tie", "pos"])
 
 
@@ -290,7 +331,7 @@ def _removed(text: bytes, runs: list[int] | None) -> tuple[bytes, int, int]:
     """Text without the bytes its runs cover, their number, and maximal runs."""
     if not runs:
         return text, 0, 0
-    lo, hi, _ = _unpack(np.array(runs, np.int64))
+    lo, hi = _unpack(np.array(runs, np.int64))
     edge = np.zeros(len(text) + 1, np.int64)
     np.add.at(edge, lo, 1)
     np.add.at(edge, hi + LENGTH, -1)
@@ -331,11 +372,11 @@ def suffix_dedup(docs: DataFrame, hot: int = HOT, sample: int = SAMPLE) -> DataF
         _scan(hot_owners(d, hot, sample)), "h bigint, ctx bigint, doc bigint, tie bigint, pos bigint, sides bigint, done boolean"
     )
     found = found.repartition(tasks(total, BYTES_PER_TASK), "h").sortWithinPartitions("h")
-    judged = stored(found.mapInArrow(_judge, "h bigint, doc bigint, tie bigint, pos bigint, done boolean"), "stretches")
+    judged = stored(found.mapInArrow(_judge, "shard bigint, doc bigint, tie bigint, pos bigint, done boolean"), "stretches")
     look = judged.where("not done")
-    items = look.groupBy("doc", "tie").agg(F.collect_set(F.struct("h", "pos")).alias("items"))
-    cut = d.select("doc", "tie", "text").join(items, ["doc", "tie"]).select("doc", "tie", "text", "items").mapInArrow(_cut, "h bigint, doc bigint, tie bigint, pos bigint, bytes binary")
-    cut = cut.repartition(tasks(look.count(), STRETCHES_PER_TASK), "h").sortWithinPartitions("h")
+    items = look.groupBy("doc", "tie").agg(F.collect_set(F.struct("shard", "pos")).alias("items"))
+    cut = d.select("doc", "tie", "text").join(items, ["doc", "tie"]).select("doc", "tie", "text", "items").mapInArrow(_cut, "shard bigint, doc bigint, tie bigint, start bigint, bytes binary")
+    cut = cut.repartition(tasks(look.count(), STRETCHES_PER_TASK), "shard").sortWithinPartitions("shard")
     more = stored(cut.mapInArrow(_shards, "doc bigint, tie bigint, pos bigint"), "repeats")
     runs = judged.where("done").select("doc", "tie", "pos").union(more)
     runs = runs.groupBy("doc", "tie").agg(F.collect_set("pos").alias("runs"))
