@@ -9,7 +9,8 @@ A stretch (the strings of one owner at one place) that occurs over and over goes
 to its shard twice, from its first two places; a third and later place has the
 owner and the 128 bits of hash of a stretch that is there, and starts later.  An
 owner's shard is named by the text and page where it first occurs, so neighbouring
-stretches mostly go to one shard and are laid down there as one piece.
+stretches mostly go to one shard and are laid down there as one piece; owners with
+many surroundings have one of their own.
 """
 
 from __future__ import annotations
@@ -33,7 +34,10 @@ SHARD_BYTES = 1 << 17
 BYTES_PER_TASK, STRETCHES_PER_TASK = 16 << 20, 20_000
 #: Owners with more surroundings than HOT, estimated on a SAMPLE-th of the texts, have
 #: their strings dealt one by one; at most HOT_OWNERS of them, the most frequent.
-HOT, SAMPLE, HOT_OWNERS = 2048, 16, 100_000
+HOT, SAMPLE, HOT_OWNERS = 1024, 16, 100_000
+#: Owners with more surroundings than this have a shard of their own, so that the
+#: shard of a page, which has some 50 owners, stays a small part of a task.
+CROWDED = 64
 _BASE = 0x9E3779B97F4A7C15
 _POWERS = [np.uint64(pow(_BASE, 1 << i, 1 << 64)) for i in range(6)]
 _POS = np.uint64((1 << 31) - 1)
@@ -230,11 +234,13 @@ def _of_owners(cols) -> pa.RecordBatch:
             k = np.lexsort((side, fh))
             eq = (fh[k][1:] == fh[k][:-1]) & (side[k][1:] == side[k][:-1]) & (side[k][1:] != 0)
             look[first[k[1:][eq]]] = look[first[k[:-1][eq]]] = True
-        # an owner's shard: the page of its first place
+        # an owner's shard: the page of its first place, or its own
         o = np.lexsort((pos, tie, doc, h))
         page = mix64((mix64((doc ^ (tie << 1)).view(np.uint64)) + (pos >> (32 + PAGE)).view(np.uint64))).view(np.int64)
         head = np.append(True, h[1:] != h[:-1])  # the same places in both orders, h is their first key
-        shard = page[o][np.flatnonzero(head)][np.cumsum(head) - 1]
+        owner = np.cumsum(head) - 1
+        crowded = np.bincount(owner, weights=new)[owner] > CROWDED
+        shard = np.where(crowded, h, page[o][np.flatnonzero(head)][owner])
         for some, is_done in ((rank > 1, True), (look & (rank < 2), False)):
             out.append((shard[some], doc[some], tie[some], pos[some], np.full(int(some.sum()), is_done)))
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], schema=_JUDGED)
