@@ -35,16 +35,17 @@ def with_rows(df: DataFrame, *names: str) -> DataFrame:
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder under spark.checkpoint.dir, which executors and driver share.
 
-    Only where that setting is absent (tests on one machine) a folder below /tmp
-    is taken and set as the checkpoint folder.
+    Only where that setting is absent and all of Spark runs in one process (tests)
+    a folder below /tmp is taken and set as the checkpoint folder; on a cluster a
+    missing setting is an error, since executors share no local folder.
     """
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    base = sc.getConf().get("spark.checkpoint.dir", None) or getattr(sc, "_llm_base", None)
     if base is None:
-        base = getattr(spark.sparkContext, "_llm_base", None)
-        if base is None:
-            base = f"file:///tmp/spark-llm-{uuid.uuid4().hex}"
-            spark.sparkContext._llm_base = base
-            spark.sparkContext.setCheckpointDir(base)
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = sc._llm_base = f"file:///tmp/spark-llm-{uuid.uuid4().hex}"
+        sc.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

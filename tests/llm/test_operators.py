@@ -235,6 +235,74 @@ def test_ngram_join_hub_and_tails(spark):
     assert got == {d: (len(re.findall(r"\S+", t)) - 4, d // 61 * 61) for d, t in rows}
 
 
+def family(name, common, own, n, rng):
+    """Near copies of one text that holds ``common`` words."""
+    base = common + [f"{name}w{i}" for i in range(own)]
+    out = []
+    for k in range(n):
+        w = list(base)
+        w[int(rng.integers(len(common), len(w)))] = f"{name}e{k}"
+        out.append(" ".join(w))
+    return out
+
+
+@pytest.mark.parametrize("parts", [64, None])
+def test_ngram_join_compares_in_blocks(spark, monkeypatch, parts):
+    """Families that share a passage meet in many keys; few pairs are written."""
+    rng, seen = np.random.default_rng(4), []
+    verify = ngram_join._verify
+    monkeypatch.setattr(ngram_join, "_verify", lambda pairs, *rest: seen.append(pairs.count()) or verify(pairs, *rest))
+    monkeypatch.setattr(ngram_join, "BLOCK_BYTES", 4096)
+    monkeypatch.setattr(ngram_join, "QUOTA", 1)
+    common = [f"c{i}" for i in range(60)]
+    texts = [t for f in range(4) for t in family(f"f{f}", common, 60, 60, rng)]
+    texts += [" ".join(common + [f"s{k}x{i}" for i in range(40)]) for k in range(60)]
+    order = rng.permutation(len(texts))
+    rows = [(int(order[i]), t) for i, t in enumerate(texts)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_components(table(spark, rows), parts).collect()}
+    assert got == components_by_hand(rows)
+    assert sum(seen[1:]) < 10 * len(rows)
+
+
+def test_block_candidates_are_all_that_sketches_allow():
+    rng = np.random.default_rng(14)
+    sets = []
+    for c in range(12):
+        base = rng.integers(0, 2**63, int(rng.integers(20, 200)), dtype=np.uint64)
+        sets += [(c, np.unique(np.concatenate([base[int(rng.integers(0, 9)) :], rng.integers(0, 2**63, int(rng.integers(0, 60)), dtype=np.uint64)]))) for _ in range(20)]
+    sketches = [ngram_join.parity_sketch(s) for _, s in sets]
+    want = set()
+    for i, (c, x) in enumerate(sets):
+        for j in range(i + 1, len(sets)):
+            y = sets[j][1]
+            if (i // 4 % 2) != (j // 4 % 2) and min(len(x), len(y)) * 100 >= max(len(x), len(y)) * 75 and len(np.intersect1d(x, y)) * 100 >= 75 * len(np.union1d(x, y)):
+                want.add((i, j))
+    pick = lambda ids: ngram_join.Block(np.array(ids), np.array([i // 4 % 2 for i in ids]), np.array([len(sets[i][1]) for i in ids]), [sketches[i] for i in ids])
+    whole = pick(list(range(len(sets))))
+    got = ngram_join.block_candidates(whole, whole, 10**6)
+    assert want and want <= {(a, b) for a, b, _ in got} and not any(m for *_, m in got)
+    few = ngram_join.block_candidates(whole, whole, 3)
+    assert len(few) == 3 and all(m for *_, m in few)
+    x, y = pick(list(range(100))), pick(list(range(100, len(sets))))
+    crossed = ngram_join.block_candidates(ngram_join.Block.unpacked(x.packed()), ngram_join.Block.unpacked(y.packed()), 10**6)
+    assert {(a, b) for a, b in want if a < 100 <= b} <= {(a, b) for a, b, _ in crossed}
+    assert not crossed or ngram_join._boxes_meet(x.box(), y.box())
+
+
+def test_exact_keys_where_hashes_fall_together():
+    """Sets whose hashes crowd a few slots: a start of the sorted hashes is shared."""
+    rng = np.random.default_rng(15)
+    for n in (7, 9, 20, 60, 300):
+        for _ in range(30):
+            x = np.unique(rng.integers(0, 2 ** int(rng.integers(40, 64)), n, dtype=np.uint64))
+            y = x.copy()
+            most = len(x) // 7
+            y[rng.choice(len(x), int(rng.integers(1, most + 1)), replace=False)] = rng.integers(0, 2**40, dtype=np.uint64)
+            y = np.unique(y)
+            if len(np.intersect1d(x, y)) * 100 >= 75 * len(np.union1d(x, y)):
+                assert len(np.intersect1d(ngram_join.join_keys(x, None), ngram_join.join_keys(y, None)))
+
+
 def test_sketch_is_a_lower_bound():
     rng = np.random.default_rng(5)
     for _ in range(50):
