@@ -22,7 +22,9 @@ TINY, PARTS, LEAST_PARTS = 6, 64, 64
 #: about BLOCK_BYTES of sketches, BOX sets at a time.
 FEW, BLOCK_BYTES, BOX = 8, 1 << 18, 32
 #: Candidates written in the first round for two components that meet in two blocks.
-QUOTA = 4
+QUOTA, GROWTH = 8, 64
+#: A list of open components of at most so many rows is broadcast.
+SMALL_LIST = 100_000
 
 
 _BAND, _START = np.uint64(31), np.uint64(30)  # low bits of a key: its band, 31 for subsets, 30 for starts
@@ -380,7 +382,7 @@ def ngram_components(docs: DataFrame, parts: int | None = PARTS) -> DataFrame:
     are then compared across components: small ones pair by pair, larger ones in
     blocks whose sketches exclude nearly all pairs before any is written.  Of two
     components that meet in two blocks only the nearest pairs are verified at
-    first; where they prove no link and there were more, eight times as many are,
+    first; where they prove no link and there were more, GROWTH times as many are,
     until a link is found or all are tried.  So no link between components is
     lost, and neither a group of thousands of near copies nor groups that share a
     passage are expanded into pairs.  ``parts`` None makes the keys exact too.
@@ -410,29 +412,32 @@ def ngram_components(docs: DataFrame, parts: int | None = PARTS) -> DataFrame:
     tested = stored(star, "star-pairs")
     links = _verify(tested, classes, d)
     comp = connected_components(links)
-    quota, some = QUOTA, None
+    quota, some, n_open = QUOTA, None, 0
     while True:
         marked = shared.select("key", "node").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
         if some is not None:  # only what was left open
             open_ = some.join(comp.withColumnRenamed("node", "c"), "c", "left").select(F.coalesce("component", "c").alias("component")).distinct()
-            marked = marked.join(open_, "component", "left_semi").select("key", "node", "component")
+            marked = marked.join(F.broadcast(open_) if n_open <= SMALL_LIST else open_, "component", "left_semi").select("key", "node", "component")
         marked = stored(marked.distinct(), "marked-keys")
         per = marked.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.count(F.lit(1)).alias("comps"), F.sum("n").alias("sets"))
         mixed = per.where("comps > 1").select("key", (F.col("sets") > FEW).alias("many"))
         members = stored(marked.join(mixed, "key"), "mixed-members")
         blocks = stored(in_blocks(members.where("many").drop("many"), classes, quota), "near-blocks")
-        few = _few(members.where("not many").drop("many")).join(tested, ["a", "b"], "left_anti")
-        pairs = blocks.select("a", "b").union(few).distinct()
-        links = stored(links.union(_verify(stored(pairs, "cross-pairs"), classes, d)), "links")
-        comp = connected_components(links)
+        pairs = blocks.select("a", "b").union(_few(members.where("not many").drop("many"))).distinct()
+        pairs = stored(pairs.join(tested, ["a", "b"], "left_anti"), "cross-pairs")
+        tested, found = tested.union(pairs), _verify(pairs, classes, d)
+        if found.limit(1).count():
+            links = links.union(found)
+            comp = connected_components(links)
         of = lambda side, by: by.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
         left = blocks.where("more").select("a", "b")
         now = left.join(of("a", comp), "a", "left").join(of("b", comp), "b", "left")
         now = now.where(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
         some = stored(now.select(F.explode(F.array(F.coalesce("ca", "a"), F.coalesce("cb", "b"))).alias("c")).distinct(), "open-components")
-        if not some.limit(1).count():
+        n_open = some.count()
+        if not n_open:
             break
-        quota *= 8
+        quota *= GROWTH
 
     of = classes.select("digest", "node").join(comp, "node", "left").select("digest", F.coalesce("component", "node").alias("c"))
     direct = comp.select(F.col("node").alias("doc_id"), F.col("component").alias("own"))
