@@ -13,7 +13,9 @@ from clientlens.llm import tokens
 
 LENGTH = 1024
 DIMS, BITS, CELLS, SEED = 3, 16, 256, 20240229
-BYTES_PER_PARTITION = 6 << 20
+#: A range holds at most about so many bytes of text, and where texts are few
+#: enough for a range of LEAST_BYTES a core, fewer.
+BYTES_PER_PARTITION, LEAST_BYTES, RANGES_PER_CORE = 128 << 20, 1 << 20, 6
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 
@@ -110,9 +112,8 @@ def pack(docs: DataFrame, vocab: str | None = None, length: int = LENGTH) -> Dat
     spark = docs.sparkSession
     d = docs.select(F.col("doc_id").cast("bigint"), F.coalesce("text", F.lit("")).alias("text"))
     total = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    ranges = int(max(1, min(total // (BYTES_PER_PARTITION // 4), -(-total // BYTES_PER_PARTITION))))
-    if total > BYTES_PER_PARTITION // 4:
-        ranges = max(ranges, spark.sparkContext.defaultParallelism)
+    cores = spark.sparkContext.defaultParallelism
+    ranges = int(max(1, -(-total // BYTES_PER_PARTITION), min(RANGES_PER_CORE * cores, total // LEAST_BYTES)))
     keyed = (
         d.mapInArrow(_keyed, "doc_id bigint, text string, _key bigint")
         .withColumn("_tie", F.xxhash64("doc_id", "_key"))

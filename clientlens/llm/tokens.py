@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-import base64
+import json
 import os
 import re
 
+import numpy as np
+
 DEFAULT_VOCAB = "byte_bpe_50k.json"
 #: A single space between two non-space characters always starts a new pre-token.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -21,39 +23,42 @@ class Pieces(dict):
     """Words to their ids as little-endian 16-bit bytes, at most ``most`` kept.
 
     A word's ids do not depend on its neighbours, so each worker encodes a word
-    once.  The ``.tiktoken`` file beside the ``.json`` holds the same vocabulary
-    and gives the same ids several times faster; tests compare the two.
+    once, the new words of a text in one call.  Texts that hold an added token of
+    the vocabulary are encoded whole.
     """
 
     def __init__(self, path: str, most: int = 300_000):
-        import public_tokenizers
-        import tiktoken
-
-        ranks_file = os.path.splitext(path)[0] + ".tiktoken"
-        with open(ranks_file, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.encode = tiktoken.Encoding(
-            "byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
-        ).encode_ordinary
+        from tokenizers import Tokenizer
+
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a worker per core
+        self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            added = [x["content"] for x in json.load(f).get("added_tokens", [])]
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.most = most
 
     def raw(self, text: str) -> bytes:
-        import numpy as np
-
-        return np.asarray(self.encode(text), dtype="<u2").tobytes()
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u2").tobytes()
 
-    def __missing__(self, word: str) -> bytes:
-        out = self.raw(" " + word)
-        if len(self) >= self.most:
+    def learn(self, words: list[str]) -> dict[str, bytes]:
+        found = self.tokenizer.encode_batch_fast([" " + w for w in words], add_special_tokens=False)
+        out = {w: np.asarray(e.ids, dtype="<u2").tobytes() for w, e in zip(words, found, strict=True)}
+        if len(self) + len(out) > self.most:
             self.clear()
-        if len(word) <= 64:
-            self[word] = out
+        self.update((w, x) for w, x in out.items() if len(w) <= 64)
         return out
 
     def ids(self, text: str) -> bytes:
         """Ids of a whole text, 16 bits each."""
+        if self.added is not None and self.added.search(text):
+            return self.raw(text)
         first, *rest = _CUT.split(text)
-        return self.raw(first) + b"".join(map(self.__getitem__, rest))
+        new = [w for w in dict.fromkeys(rest) if w not in self]
+        if not new:
+            return self.raw(first) + b"".join(map(self.__getitem__, rest))
+        known = {w: self[w] for w in dict.fromkeys(rest) if w in self}
+        known.update(self.learn(new))
+        return self.raw(first) + b"".join(map(known.__getitem__, rest))
 
 
 _LOADED: dict[str, Pieces] = {}
