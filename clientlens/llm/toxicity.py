@@ -13,7 +13,8 @@ from pyspark.sql import types as T
 
 from clientlens.llm.common import stored
 
-#: Labelled rows the classifier is fitted on at most, and features it keeps.
+#: The classifier's size: labelled rows it is fitted on at most, features it keeps,
+#: and documents of the sample that a feature must occur in.
 TRAIN_ROWS, FEATURES, LEAST_DOCS = 12_000, 512, 3
 RIDGE, PREFIXES = 1.0, (3, 4, 5, 6)
 # What a sign may stand for, and signs that only separate letters.
@@ -22,7 +23,10 @@ LEET = {
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l",
 }
 GAPS = ".-_*~'"
-SWAP, GAP, REPEAT, LONE = 0.7, 0.7, 0.3, 4.0  # costs of the channel, in nats
+# costs of the channel, in nats: a sign for a letter, a gap that vanishes, a gap
+# that ends a word, a stuttered letter, a sign that stands for nothing
+SWAP, GAP, BREAK, REPEAT, LONE = 0.7, 0.7, 1.0, 0.3, 4.0
+PIECE = 64  # characters decoded in one go; longer words come apart into pieces
 N = 28  # classes of the character model: no letter, a-z, any other byte of a letter
 
 _CLASS = np.zeros(256, dtype=np.int32)
@@ -31,7 +35,9 @@ _CLASS[128:] = 27
 _EDGE = "\"'.,;:?!#%&*$()[]{}<>|/\\~^=+-_`…«»¡¿"
 _NOISY = re.compile(r"(.)\1\1|[0-9@$!|+(€£.\-_*~']")
 _LETTER = re.compile(r"[^\W\d_]")
-_SPACED = re.compile(r"(?<!\S)\S(?:[ \t]\S){3,}(?!\S)")
+_SHORT = re.compile(r"(?<!\S)\S{1,2}(?:[ \t]\S{1,2}){2,}(?!\S)")  # what may be a word with spaces in it
+_STUTTER = re.compile(r"(.)\1{3,}")
+_PARTS = re.compile(r"[,;:?#%&=/\\\[\]{}<>\"«»¡¿…^`]+")
 
 
 def _class(c: str) -> int:
@@ -72,67 +78,79 @@ def character_costs(counts: np.ndarray) -> np.ndarray:
     return np.round(-np.log(p3), 6)
 
 
-def restore(word: str, costs: np.ndarray) -> str:
-    """The cheapest clean spelling of a disguised word: a Viterbi search over a
-    lattice in which a sign may stand for letters, a gap may vanish, and a
-    repeated letter may be a stutter.  The state is the last two letters' classes."""
+def channel(text: str, k: int) -> list[tuple[str, float]]:
+    """What the character at ``k`` may stand for, with its cost: itself, letters
+    for a sign, nothing or the end of a word for a gap, nothing for a stutter."""
+    c = text[k]
+    if c == " ":
+        out = [("", GAP), (" ", 0.0)]
+    elif c in GAPS:
+        out = [("", GAP), (" ", BREAK)]
+    elif c in LEET:
+        out = [(x, SWAP) for x in LEET[c]]
+    elif _LETTER.match(c):
+        out = [(c, 0.0)]
+    else:
+        out = [("", LONE)]
+    if k and c == text[k - 1] and c != " ":
+        run = text[max(0, k - 2) : k] == c * 2 or text[k + 1 : k + 2] == c
+        out.append(("", REPEAT if run else LONE))
+    return out
+
+
+def restore(text: str, costs: np.ndarray) -> str:
+    """The cheapest clean spelling of a disguised word or of a run of short words:
+    a Viterbi search over the lattice of :func:`channel`.  The state is the last
+    two letters' classes."""
     states = {(0, 0): (0.0, "")}
-    before = ""
-    for k, c in enumerate(word):
-        if c in GAPS:
-            choices = [("", GAP)]
-        elif c in LEET:
-            choices = [(x, SWAP) for x in LEET[c]]
-        elif _LETTER.match(c):
-            choices = [(c, 0.0)]
-        else:
-            choices = [("", LONE)]
-        if k and c == before:
-            run = word[max(0, k - 2) : k] == c * 2 or word[k + 1 : k + 2] == c
-            choices.append(("", REPEAT if run else LONE))
-        before = c
+    for k in range(len(text)):
         best: dict = {}
-        for (a, b), (cost, text) in states.items():
-            for out, extra in choices:
-                if out:
-                    z = _class(out)
-                    key, total, said = (b, z), cost + extra + costs[a, b, z], text + out
+        for out, extra in channel(text, k):
+            z = _class(out) if out else -1
+            for (a, b), (cost, said) in states.items():
+                if z >= 0:
+                    key, total, now = (b, z), cost + extra + costs[a, b, z], said + out
                 else:
-                    key, total, said = (a, b), cost + extra, text
-                if key not in best or (total, said) < best[key]:
-                    best[key] = (total, said)
+                    key, total, now = (a, b), cost + extra, said
+                if key not in best or (total, now) < best[key]:
+                    best[key] = (total, now)
         states = best
-    return min((cost + costs[a, b, 0], text) for (a, b), (cost, text) in states.items())[1]
+    return min((cost + costs[a, b, 0], said) for (a, b), (cost, said) in states.items())[1]
 
 
 class Features(dict):
-    """Tokens to the features of their restored word, of those in ``known`` (all
-    where it is None); bounded per worker."""
+    """Tokens, and runs of short ones, to the features of their restored words, of
+    those in ``known`` (all where it is None); bounded per worker."""
 
     def __init__(self, costs: np.ndarray, known=None):
         super().__init__()
         self.costs, self.known = costs, known
 
+    def _words(self, token: str):
+        for part in _PARTS.split(_STUTTER.sub(r"\1\1\1", token)):
+            for at in range(0, len(part), PIECE):
+                piece = part[at : at + PIECE]
+                inner = piece.strip("'~^|()*.-_ ") if " " not in piece else piece
+                letters = len(_LETTER.findall(inner))
+                if letters and (" " in inner or _NOISY.search(inner) and letters * 2 >= len(inner.strip(GAPS)) - inner.count(".")):
+                    yield from (w.strip(_EDGE) for w in restore(inner, self.costs).split())
+                else:
+                    yield piece.strip(_EDGE)
+
     def __missing__(self, token: str) -> tuple:
-        word = token.strip(_EDGE)
-        inner = token.strip("\"',;:?#%&()[]{}<>/\\~^=`…«»¡¿.*-_ ")
-        if len(inner) <= 40 and _NOISY.search(inner) and len(_LETTER.findall(inner)) * 2 >= len(inner.strip(GAPS)) - inner.count("."):
-            if _LETTER.search(inner):
-                word = restore(inner, self.costs)
-        out = [f"={word}", *(f"^{word[:n]}" for n in PREFIXES if len(word) >= n)] if 2 < len(word) <= 40 else []
-        if self.known is not None:
-            out = [f for f in out if f in self.known]
+        out = {f for word in self._words(token) if len(word) > 2 for f in (f"={word}", *(f"^{word[:n]}" for n in PREFIXES if len(word) >= n))}
+        out = tuple(sorted(out if self.known is None else (f for f in out if f in self.known)))
         if len(self) >= 200_000:
             self.clear()
-        if len(token) <= 64:
-            self[token] = tuple(out)
-        return tuple(out)
+        if len(token) <= PIECE:
+            self[token] = out
+        return out
 
     def of(self, text: str | None) -> set:
         low = (text or "").lower()
         found: set = set()
-        for m in _SPACED.findall(low):  # letters with a space after each
-            found.update(self["".join(m.split())])
+        for run in set(_SHORT.findall(low)):
+            found.update(self[run.replace("\t", " ")])
         for f in map(self.__getitem__, set(low.split())):
             if f:
                 found.update(f)
@@ -154,9 +172,10 @@ def fit(docs: DataFrame, labels: DataFrame, costs: np.ndarray, train_rows: int =
     """
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     picked = known.where(~held_out()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
-    picked = stored(picked.join(docs.select("doc_id", "text"), "doc_id"), "toxic-sample").repartition(
-        8 * docs.sparkSession.sparkContext.defaultParallelism
-    )
+    # the limit again: an id may have many texts
+    picked = picked.join(docs.select("doc_id", "text"), "doc_id").dropDuplicates(["doc_id", "text"])
+    picked = picked.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"), "text").limit(train_rows)
+    picked = stored(picked, "toxic-sample").repartition(8 * docs.sparkSession.sparkContext.defaultParallelism)
 
     def count(batches):
         words, seen = Features(costs), {}
@@ -238,6 +257,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -
 
     The character model counts all of ``docs``; labels are learnt from rows
     outside the held-out fifth only; id, source and language are no inputs.
+    Signs, gaps, spaces and stutter are all choices of the lattice: a word with
+    spaces in it is found in runs of three or more pieces of one or two letters.
 
     Defined cases: null and empty texts get the score of a text without any known
     feature; a null doc_id is not held out; repeated rows score alike; an empty

@@ -20,7 +20,7 @@ BASE = " ".join(f"word{i}" for i in range(60))
 TEXTS = [
     (0, f"{SHARED}\nalpha beta\n\n  {SHARED.upper()} \n"), (1, f"{SHARED}\ngamma"), (2, f"x\n{SHARED}"), (3, None), (4, ""), (5, " \t\n "), (6, LONG),
     (7, BASE), (8, BASE + " tail"), (9, BASE.replace("word30", "other")), (10, BASE), (10, BASE), (None, BASE), (None, None),
-    (11, "one two three four"), (12, "ONE two\tthree  four"), (13, "é" * 150 + "a" * 260), (14, "mail bob@example.com or Bob@example.com now"), (15, "z"),
+    (11, "one two three four"), (12, "ONE two\tthree  four"), (13, "é" * 150 + "a" * 260), (14, "mail bob@example.com or Bob@example.com now"), (15, "z"), (16, "an <|endoftext|> end<|endoftext|>\nof <|endoftext|>"),
 ]
 
 
@@ -488,6 +488,8 @@ def test_toxicity(spark, none):
         rows.append((i, " ".join(w)))
         labels.append((i, 1, int(bad)))
     plain = " ".join(words[:30])
+    hidden = ["d r e a d f u l", "dr ea df ul", "d.r-e.a_dful", "dreadful,or,not", "dre" + "a" * 300 + "dful", words[0] + "." + words[1] + ".dreadful", "y" * 90 + ",dreadful"]
+    rows += [(2000 + i, f"{plain} {x} {plain}") for i, x in enumerate(hidden)] + [(2100, plain * 3000 + " dreadful"), (2101, "x" * 100_000)]
     rows += [(1000, plain + " dr3adfu1"), (1001, plain + " d r e a d f u l"), (1002, plain + " dreeeeadful"), (1003, plain), (1004, None), (None, "")]
     lab = spark.createDataFrame([*labels, (None, 0, 1), (5000, 0, None)], "doc_id bigint, quality int, toxic int")
     got = {r["doc_id"]: r for r in toxicity.toxicity(table(spark, rows), lab).collect()}
@@ -495,9 +497,32 @@ def test_toxicity(spark, none):
     held = sum(got[i]["held_out"] for i, _, _ in labels)
     assert held > 40 and right >= 0.97 * held
     assert [got[i]["predicted"] for i in (1000, 1001, 1002, 1003, 1004)] == [1, 1, 1, 0, 0]
+    assert [got[2000 + i]["predicted"] for i in range(len(hidden))] == [1] * len(hidden)
+    assert got[2100]["predicted"] == 1 and got[2101]["predicted"] == 0
     assert toxicity.toxicity(none, lab.limit(0)).count() == 0
 
 
+def test_restore_is_the_cheapest_of_all_paths():
+    from itertools import product
+
+    rng = np.random.default_rng(16)
+    costs = toxicity.character_costs(rng.integers(0, 50, toxicity.N**3).astype(float) ** 3)
+
+    def cost(text, said):
+        a = b = 0
+        total = 0.0
+        for z in [*map(toxicity._class, said), 0]:
+            total, a, b = total + costs[a, b, z], b, z
+        return total
+
+    for _ in range(60):
+        text = "".join(rng.choice(list("ab1!.|- eé"), int(rng.integers(1, 8))))
+        paths = [("".join(o for o, _ in p), sum(x for _, x in p)) for p in product(*(toxicity.channel(text, k) for k in range(len(text))))]
+        best = min(extra + cost(text, said) for said, extra in paths)
+        got = toxicity.restore(text, costs)
+        assert abs(min(extra for said, extra in paths if said == got) + cost(text, got) - best) < 1e-9
+
+
 def test_warc(spark):
     rows = [(3, "http://www.a.org/x?b=1#f", "same"), (1, "https://a.org/x?b=1", "same"), (2, None, None), (4, "http://b.net:8080/", ""), (1, "u", "same"), (None, "http://[bad", "same"), (9, "http://c.d", "é" * 5000)]
     pages = spark.createDataFrame([(*r, 1, "s") for r in rows], "page_id bigint, url string, html string, nth int, stamp string")
