@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
 import re
 
 import numpy as np
@@ -19,46 +18,54 @@ def vocab_path(name: str = DEFAULT_VOCAB) -> str:
     return public_tokenizers.path(name)
 
 
-class Pieces(dict):
-    """Words to their ids as little-endian 16-bit bytes, at most ``most`` kept.
+class Bounded(dict):
+    """What ``make`` gives for a text, kept for up to ``most`` short texts."""
 
-    A word's ids do not depend on its neighbours, so each worker encodes a word
-    once, the new words of a text in one call.  Texts that hold an added token of
-    the vocabulary are encoded whole.
+    def __init__(self, make, most: int):
+        self.make, self.most = make, most
+
+    def __missing__(self, text: str) -> bytes:
+        out = self.make(text)
+        if len(self) >= self.most:
+            self.clear()
+        if len(text) <= 64:
+            self[text] = out
+        return out
+
+
+class Pieces:
+    """Ids of whole texts as little-endian 16-bit bytes.
+
+    The tokenizer encodes pre-tokens one by one, so a worker asks it once for each
+    pre-token, and keeps words (all between two spaces) as well.  Texts that hold
+    an added token of the vocabulary are encoded whole.
     """
 
     def __init__(self, path: str, most: int = 300_000):
+        import public_tokenizers
+        import regex
         from tokenizers import Tokenizer
 
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a worker per core
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             added = [x["content"] for x in json.load(f).get("added_tokens", [])]
         self.added = re.compile("|".join(map(re.escape, added))) if added else None
-        self.most = most
+        self.parts = regex.compile(public_tokenizers.PATTERN).findall
+        self.pretokens = Bounded(self.raw, most)
+        self.words = Bounded(self.word, most)
 
     def raw(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u2").tobytes()
 
-    def learn(self, words: list[str]) -> dict[str, bytes]:
-        found = self.tokenizer.encode_batch_fast([" " + w for w in words], add_special_tokens=False)
-        out = {w: np.asarray(e.ids, dtype="<u2").tobytes() for w, e in zip(words, found, strict=True)}
-        if len(self) + len(out) > self.most:
-            self.clear()
-        self.update((w, x) for w, x in out.items() if len(w) <= 64)
-        return out
+    def word(self, word: str) -> bytes:
+        return b"".join(map(self.pretokens.__getitem__, self.parts(" " + word)))
 
     def ids(self, text: str) -> bytes:
         """Ids of a whole text, 16 bits each."""
         if self.added is not None and self.added.search(text):
             return self.raw(text)
         first, *rest = _CUT.split(text)
-        new = [w for w in dict.fromkeys(rest) if w not in self]
-        if not new:
-            return self.raw(first) + b"".join(map(self.__getitem__, rest))
-        known = {w: self[w] for w in dict.fromkeys(rest) if w in self}
-        known.update(self.learn(new))
-        return self.raw(first) + b"".join(map(known.__getitem__, rest))
+        return self.raw(first) + b"".join(map(self.words.__getitem__, rest))
 
 
 _LOADED: dict[str, Pieces] = {}
