@@ -8,8 +8,6 @@ import re
 import numpy as np
 
 DEFAULT_VOCAB = "byte_bpe_50k.json"
-#: A single space between two non-space characters always starts a new pre-token.
-_CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
 def vocab_path(name: str = DEFAULT_VOCAB) -> str:
@@ -22,12 +20,11 @@ class Pieces:
     """Ids of whole texts as little-endian 16-bit bytes.
 
     The tokenizer encodes pre-tokens one by one, so a worker asks it once for each
-    pre-token, all new ones of a text in one call, and keeps words (all between
-    two spaces) as well.  Texts that hold an added token of the vocabulary are
-    encoded whole.
+    pre-token, all new ones of a text in one call.  Texts that hold an added token
+    of the vocabulary are encoded whole.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 400_000):
         import public_tokenizers
         import regex
         from tokenizers import Tokenizer
@@ -37,42 +34,37 @@ class Pieces:
             added = [x["content"] for x in json.load(f).get("added_tokens", [])]
         self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.parts = regex.compile(public_tokenizers.PATTERN).findall
-        self.most, self.pretokens, self.words = most, {}, {}
+        self.most, self.known = most, {}
 
     def raw(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u2").tobytes()
 
-    def learn(self, words: set[str]) -> None:
-        parts = {w: self.parts(" " + w) for w in words}
-        known = self.pretokens
-        new = {p for ps in parts.values() for p in ps if p not in known}
+    def learn(self, new: set[str]) -> None:
         # pre-tokens that begin with a space stay apart when written one after another
         spaced = [p for p in new if len(p) > 1 and p[0] == " " and not p[1].isspace()]
-        code = self.tokenizer.encode("".join(spaced), add_special_tokens=False)
-        ids, at = np.asarray(code.ids, dtype="<u2"), np.asarray(code.word_ids, dtype=np.int64)
-        cut = np.flatnonzero(np.diff(at, prepend=-1)).tolist()
-        if spaced and len(cut) == len(spaced):
-            raw = ids.tobytes()
-            known.update((p, raw[2 * i : 2 * j]) for p, i, j in zip(spaced, cut, [*cut[1:], len(ids)], strict=True))
-        known.update((p, self.raw(p)) for p in new if p not in known)
-        self.words.update((w, b"".join(map(known.__getitem__, ps))) for w, ps in parts.items())
+        if spaced:
+            code = self.tokenizer.encode("".join(spaced), add_special_tokens=False)
+            ids = np.asarray(code.ids, dtype="<u2")
+            cut = np.flatnonzero(np.diff(np.asarray(code.word_ids, dtype=np.int64), prepend=-1)).tolist()
+            if len(cut) == len(spaced):
+                raw = ids.tobytes()
+                self.known.update((p, raw[2 * i : 2 * j]) for p, i, j in zip(spaced, cut, [*cut[1:], len(ids)], strict=True))
+        self.known.update((p, self.raw(p)) for p in new if p not in self.known)
 
     def ids(self, text: str) -> bytes:
         """Ids of a whole text, 16 bits each."""
         if self.added is not None and self.added.search(text):
             return self.raw(text)
-        first, *rest = _CUT.split(text)
-        if len(self.words) > self.most or len(self.pretokens) > self.most:
-            self.words.clear()
-            self.pretokens.clear()
-        words = self.words
-        new = {w for w in rest if w not in words}
+        if len(self.known) > self.most:
+            self.known.clear()
+        parts = self.parts(text)
+        new = set(parts).difference(self.known)
         if new:
             self.learn(new)
-        out = self.raw(first) + b"".join(map(words.__getitem__, rest))
-        for w in new:
-            if len(w) > 64:
-                del words[w]
+        out = b"".join(map(self.known.__getitem__, parts))
+        for p in new:
+            if len(p) > 64:
+                del self.known[p]
         return out
 
 
