@@ -13,6 +13,7 @@ def is_empty(ua: Column) -> Column:
     return F.coalesce(F.trim(ua), F.lit("")) == ""
 
 
+# Patterns of contacts, product names and versions.
 def declares_bot(ua: Column) -> Column:
     words = f"(?i){quoted(C.AUTOMATION)}|\\b(?:feed|rss)\\b|bot\\b"
     contact = r"(?i)\+(?:https?://|www\.|mailto:|[\w.%+-]+@)"
@@ -71,13 +72,13 @@ def agent_table(spark, agents=None) -> DataFrame:
 def agent_profile(uas: DataFrame, agents: DataFrame | None = None) -> DataFrame:
     """One row per distinct ``user_agent`` of ``uas`` with all that it says.
 
-    Tokens are matched on distinct values against the small agent table, which
-    Spark broadcasts by its size; a category's first token in order wins.
+    Tokens are matched on distinct values against the agent table, the smaller
+    side of a nested loop, which Spark broadcasts while its size allows; a category's first token in order wins.
     """
     ua = F.col("user_agent")
     d = uas.select("user_agent").distinct()
     known = agents if agents is not None else agent_table(d.sparkSession)
-    hit = d.join(F.broadcast(known), F.lower(ua).contains(F.col("token"))).groupBy("user_agent").agg(
+    hit = d.join(known, F.lower(ua).contains(F.col("token"))).groupBy("user_agent").agg(
         F.min(F.struct("rank", "category", "token")).alias("first"), F.collect_set("category").alias("categories")
     )
     d = d.join(hit, "user_agent", "left")

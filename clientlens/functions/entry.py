@@ -73,11 +73,12 @@ def with_flags(entries: DataFrame) -> DataFrame:
         "traversal": has_any(both, C.TRAVERSAL),
         "evasion": has_any(both, C.EVASION),
         "exotic": F.coalesce(F.col("method").isin(C.EXOTIC_METHODS), F.lit(False)),
-        "robots_file": F.lower(path) == "/robots.txt",
+        "robots_file": path == "/robots.txt",
         "top": top_segment(path),
         "has_referer": has_ref,
         "ref_path": F.when(has_ref, referer_path(ref)),
         "ref_host": F.when(has_ref, referer_host(ref)),
         "host": bare_host(host),
         "site": site_key(host),
+        "same_site": F.coalesce(has_ref & (site_key(referer_host(ref)) == site_key(host)), F.lit(False)),
     })

@@ -41,8 +41,9 @@ def forbidden() -> Column:
 
 def declared(category: str) -> Column:
     """Agents that say who they are: 0.7, more for asking robots.txt and for
-    clean requests."""
-    return when(col("agent_category") == category, 0.7 + add((col("fetched_robots"), 0.08), (clean(), 0.05)))
+    clean requests; 0.6 for those only their AS tells."""
+    said = when(col("agent_category") == category, 0.7 + add((col("fetched_robots"), 0.08), (clean(), 0.05)))
+    return F.coalesce(said, when(col("as_category") == category, lit(0.6)))
 
 
 def vuln_scanner() -> Column:
@@ -131,11 +132,17 @@ def spam_bot() -> Column:
     return when(s > 0, s)
 
 
+def impossible_referer() -> Column:
+    """Referers that name the side of the site which only redirects."""
+    hits = when(col("shadow") == "www", col("www_referers")).when(col("shadow") == "apex", col("apex_referers")).otherwise(lit(0))
+    return col("ua_browser") & ~known_agent() & (col("feed_hits") == 0) & (hits >= C.IMPOSSIBLE_HITS) & (hits / col("requests") >= C.IMPOSSIBLE_SHARE)
+
+
 def spoofed_browser() -> Column:
     n = col("requests")
     cold = col("coload_ratio") < 0.4
     s = add(
-        (col("datacenter"), 0.3), (col("head_ratio") > 0.1, 0.3), ((col("self_referer_ratio") >= 0.5) & (n >= 4), 0.3),
+        (impossible_referer(), 0.6), (col("datacenter"), 0.3), (col("head_ratio") > 0.1, 0.3), ((col("self_referer_ratio") >= 0.5) & (n >= 4), 0.3),
         (col("holds_no_cache") & col("refetches"), 0.45), (cold & (col("page_count") > 0) & (col("coload_ratio") == 0), 0.15),
         (cold & (col("follow_ratio") == 0), 0.15), (cold & (n >= 10) & (1 - col("referers") / n >= 0.9), 0.2),
         (cold & col("band").isin("ancient", "impossible"), 0.15),
@@ -162,6 +169,9 @@ def with_context(features: DataFrame, profile: DataFrame) -> DataFrame:
     j = j.withColumns({c: F.coalesce(c, lit(c == "ua_empty")) for c in flags})
     if "datacenter" not in j.columns:
         j = j.withColumn("datacenter", lit(False))
+    for name in ("shadow", "as_category", "identity", "signer", "signer_claimed"):
+        if name not in j.columns:
+            j = j.withColumn(name, lit(None).cast("string"))
     return j.withColumn("band", version_band(col("family"), col("major"), col("last_seen")))
 
 
@@ -177,16 +187,22 @@ def combine(scored: DataFrame, threshold: float = C.UNKNOWN_THRESHOLD) -> DataFr
     """Kind and confidence: scores are adjusted in order, the highest wins (ties by
     the order of kinds), and below the threshold fixed rungs decide."""
     browser_ = when(col("datacenter"), F.greatest(col("s_browser") - 0.1, lit(0.0))).otherwise(col("s_browser"))
-    d = scored.withColumn("s_browser", when(col("s_spoofed_browser").isNull(), F.round(browser_, 3)))
-    d = d.withColumn("s_spoofed_browser", when(~F.coalesce(col("s_vuln_scanner") >= threshold, lit(False)), col("s_spoofed_browser")))
+    signed = F.coalesce(col("identity").isin("wba-verified", "wba-expired"), lit(False))
+    d = scored.withColumn("s_browser", when(col("s_spoofed_browser").isNull() & ~signed, F.round(browser_, 3)))
+    excused = F.coalesce(col("s_vuln_scanner") >= threshold, lit(False)) | (signed & col("signer").isNotNull())
+    d = d.withColumn("s_spoofed_browser", when(~excused, col("s_spoofed_browser")))
     rank = {k: i for i, k in enumerate(C.KINDS)}
     best = F.array_max(F.array(*[when(col(f"s_{k}").isNotNull(), F.struct(col(f"s_{k}").alias("c"), lit(-rank[k]).alias("r"), lit(k).alias("k"))) for k in SCORES]))
     d = d.withColumn("_best", best)
     dc_scraper = col("datacenter") & (col("requests") >= 5) & (col("distinct_paths") >= 3) & (col("ua_library") | col("ua_empty")) & clean()
-    tell = col("ua_headless") | ((col("n304") == 0) & col("holds_no_cache")) | generic_ua() | bot_ua()
+    # a forged signature, or a check that failed where no signature holds, or one
+    # that holds for another operator than the one claimed
+    other = signed & (col("signer") != col("signer_claimed"))
+    faked = F.coalesce(col("identity").isin("wba-forged", "impersonator") | other, lit(False))
+    tell = signed | col("ua_headless") | ((col("n304") == 0) & col("holds_no_cache")) | generic_ua() | bot_ua()
     low = ~F.coalesce(col("_best.c") >= threshold, lit(False))
-    kind = when(~low, col("_best.k")).when(dc_scraper, "scraper").when(tell | col("datacenter"), "automation").otherwise("unknown")
-    conf = when(~low, col("_best.c")).when(dc_scraper | tell | col("datacenter"), 0.5).otherwise(F.coalesce(col("_best.c"), lit(0.0)))
+    kind = when(faked, "impersonator").when(~low, col("_best.k")).when(dc_scraper, "scraper").when(tell | col("datacenter"), "automation").otherwise("unknown")
+    conf = when(faked, lit(0.9)).when(~low, col("_best.c")).when(dc_scraper | tell | col("datacenter"), 0.5).otherwise(F.coalesce(col("_best.c"), lit(0.0)))
     return d.withColumns({"kind": kind, "confidence": conf}).drop("_best")
 
 
@@ -212,6 +228,8 @@ def tag_columns() -> dict[str, Column]:
         "probe-paths": (col("probe_hits") >= 3) | (col("probe_ratio") >= 0.05), "traversal": col("traversal_hits") > 0,
         "encoding-evasion": col("evasion_hits") > 0, "404-storm": storm(), "often-forbidden": forbidden(), "exotic-method": col("exotic_hits") > 0,
         "uses-HEAD": col("head_ratio") > 0.1, "post-heavy": (col("post_ratio") > 0.5) & (n >= 5),
+        "impossible-referer": impossible_referer(), **{f"{x}-verified": col("identity") == f"{x}-verified" for x in ("dns", "ip", "wba")},
+        "asn-associated": col("identity") == "asn-associated",
         "forged-referer": (col("self_referer_ratio") >= 0.5) & (n >= 4) & col("ua_browser") & ~known_agent(), "singleton": n == 1,
         "datacenter": col("datacenter"), "no-user-agent": col("ua_empty"), "checked-robots": col("fetched_robots"), "declares-known-bot": col("ua_crawler"),
         "fetches-feeds": col("ua_feed"), "polls-feeds": col("feed_hits") > 0, "declares-app-client": col("ua_app"),

@@ -45,7 +45,7 @@ def with_order(flagged: DataFrame) -> DataFrame:
     d = flagged.withColumns({
         "turned": F.coalesce(F.lag("top").over(w) != F.col("top"), F.lit(False)),
         "delta": F.when(~F.col("static") & (F.col("ts") >= newest), gap),
-        "first_page": F.min(F.when(~F.col("robots_file"), F.col("seq"))).over(by_client()),
+        "robots_first": F.col("robots_file") & F.min(F.when(~F.col("robots_file"), F.col("seq"))).over(before).isNull(),
     })
     # first time each path was fetched, on the same partitioning and a finer key
     first = d.groupBy(*KEY, "path").agg(F.min("seq").alias("first_seq")).select(
@@ -128,7 +128,8 @@ def features(flagged: DataFrame) -> DataFrame:
         c(F.col("probe")).alias("probe_hits"), c(F.col("submit")).alias("submit_hits"), c(F.col("traversal")).alias("traversal_hits"),
         c(F.col("evasion")).alias("evasion_hits"), c(F.col("exotic")).alias("exotic_hits"), c(F.col("static")).alias("static_hits"),
         c(F.col("feed")).alias("feed_hits"), c(F.col("page")).alias("page_count"), c(F.col("method") == "GET").alias("gets"),
-        c(F.col("method") == "HEAD").alias("heads"), c(F.col("method") == "POST").alias("posts"), F.bool_or("robots_file").alias("fetched_robots"),
+        c(F.col("method") == "HEAD").alias("heads"), c(F.col("method") == "POST").alias("posts"), F.bool_or("robots_file").alias("fetched_robots"), F.bool_or("robots_first").alias("robots_first"),
+        c(F.col("same_site") & F.col("ref_host").startswith("www.")).alias("www_referers"), c(F.col("same_site") & ~F.col("ref_host").startswith("www.")).alias("apex_referers"),
         F.count_distinct("path").alias("distinct_paths"), F.least(F.count_distinct("target"), F.lit(C.TARGET_CAP)).alias("distinct_targets"),
         c(F.col("has_referer")).alias("referers"), c(F.col("self_ref")).alias("self_referers"), c(F.col("followed")).alias("followed"),
         c(F.col("turned")).alias("turns"), F.collect_list("delta").alias("deltas"),
@@ -179,7 +180,9 @@ def request_buckets(entries: DataFrame) -> DataFrame:
 
 
 def ua_count(entries: DataFrame) -> DataFrame:
-    """(ip, uas): distinct User-Agents of an address; a missing one counts."""
-    return entries.groupBy(F.col("remote_host").alias("ip")).agg(
+    """(ip, uas): distinct User-Agents of an address; a missing one counts.  Where
+    entries have routes, those of folds do not."""
+    own = entries.where("route = 'regular'") if "route" in entries.columns else entries
+    return own.groupBy(F.col("remote_host").alias("ip")).agg(
         (F.count_distinct("user_agent") + F.max(F.col("user_agent").isNull().cast("int"))).alias("uas")
     )

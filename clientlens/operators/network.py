@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from clientlens import config as C
 from clientlens.functions.hosts import range_key, subnet
 
 
@@ -40,18 +41,20 @@ def cidr_bounds(cidr: Column) -> tuple[Column, Column]:
     return F.when(fixed == 128, key).otherwise(lo), F.when(fixed == 128, key).otherwise(hi)
 
 
-def route(entries: DataFrame) -> DataFrame:
+def route(entries: DataFrame, identity: tuple[Column, Column] | None = None) -> DataFrame:
     """Route and group key of each entry: proxies fold by network and UA, agents
     that own their AS by name, declared crawlers and hosting by subnet, the rest
-    by client.  Needs egress, as_agent, agent_token, ua_crawler and hosting."""
+    by client, which ``identity`` names.  Needs egress, as_agent, agent_token,
+    ua_crawler and hosting."""
+    ip, said = identity or (F.col("remote_host"), F.col("user_agent"))
     net = F.coalesce(subnet(F.col("remote_host")), F.col("remote_host"))
     kind = (
         F.when(F.col("egress").isNotNull(), "egress").when(F.col("as_agent").isNotNull(), "as_agent")
         .when(F.col("ua_crawler"), "declared").when(F.col("hosting").isNotNull(), "hosting").otherwise("regular")
     )
     none = F.lit(None).cast("string")
-    key = F.when(kind == "egress", F.col("egress")).when(kind == "as_agent", F.col("as_agent")).when(kind == "regular", F.col("remote_host")).otherwise(net)
-    ua = F.when(kind == "as_agent", none).when(kind == "declared", F.col("agent_token")).otherwise(F.col("user_agent"))
+    key = F.when(kind == "egress", F.col("egress")).when(kind == "as_agent", F.col("as_agent")).when(kind == "regular", ip).otherwise(net)
+    ua = F.when(kind == "as_agent", none).when(kind == "declared", F.col("agent_token")).when(kind == "regular", said).otherwise(F.col("user_agent"))
     return entries.withColumns({"route": kind, "client_ip": key, "client_ua": ua})
 
 
@@ -66,10 +69,33 @@ def redirect_sides(flagged: DataFrame) -> DataFrame:
 
 
 def redirect_shadow(sides: DataFrame, least: int = 50, ratio: float = 0.9) -> DataFrame:
-    """One row: the side of the busiest site that only redirects, if one does."""
+    """One row: the side (www or apex) of the busiest site that only redirects, if
+    one side alone does."""
     www = (F.col("www") >= least) & (F.col("www_3xx") >= F.col("www") * ratio)
     bare = (F.col("bare") >= least) & (F.col("bare_3xx") >= F.col("bare") * ratio)
-    return sides.orderBy(F.desc("requests"), "first").limit(1).select("site", F.when(www & ~bare, "www").when(bare & ~www, "bare").alias("shadow"))
+    return sides.orderBy(F.desc("requests"), "first").limit(1).select("site", F.when(www & ~bare, "www").when(bare & ~www, "apex").alias("shadow"))
+
+
+def resolve_as(forced: Column, db: Column, logged: Column, feed: Column) -> Column:
+    """AS number of a client: a forced one, else the database's, else the log's,
+    else that of a published prefix."""
+    return F.coalesce(forced, db, logged, feed).cast("bigint")
+
+
+def provider(clients: DataFrame, by_asn: DataFrame) -> DataFrame:
+    """``clients`` (hosting, as_number and, if known, verified_domain) with network
+    and category: the hosting range's name, else that of the AS (the first of the
+    list), an agent's own network, a verified operator's domain, else residential.
+
+    ``by_asn``: (rank, asn, name, role) with role "provider" or "agent"."""
+    first = by_asn.groupBy("asn", "role").agg(F.min_by("name", "rank").alias("name"))
+    named = lambda role: first.where(F.col("role") == role).select(F.col("asn").alias("as_number"), F.col("name").alias(f"_{role}"))
+    d = clients if "verified_domain" in clients.columns else clients.withColumn("verified_domain", F.lit(None).cast("string"))
+    d = d.join(named("provider"), "as_number", "left").join(named("agent"), "as_number", "left")
+    found = F.coalesce("hosting", "_provider", "_agent", "verified_domain")
+    return d.withColumns({
+        "network": F.coalesce(found, F.lit(C.RESIDENTIAL)), "category": F.when(found.isNotNull(), "datacenter").otherwise("residential"),
+    }).drop("_provider", "_agent")
 
 
 def nonce_use(claims: DataFrame) -> DataFrame:

@@ -52,7 +52,7 @@ def disallowed(product: Column, path: Column, rules: list[tuple[str, bool, str]]
 def compliance(flagged: DataFrame, rules: list[tuple[str, bool, str]], keys: list[str]) -> DataFrame:
     """(client, disallowed_hits, verdict): ignores with any hit, respects if it
     fetched robots.txt or asked five times, else unknown."""
-    bad = disallowed(F.col("product"), F.col("path"), rules)
+    bad = ~F.col("robots_file") & disallowed(F.col("product"), F.col("path"), rules)  # robots.txt itself is always open
     g = flagged.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.count_if(bad).alias("disallowed_hits"), F.bool_or("robots_file").alias("fetched"))
     v = F.when(F.col("disallowed_hits") > 0, "ignores").when(F.lit(bool(rules)) & (F.col("fetched") | (F.col("n") >= 5)), "respects").otherwise("unknown")

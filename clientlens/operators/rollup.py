@@ -2,23 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clientlens import config as C
 
-OBSERVATIONAL = ["metronomic", "steady", "bursty", "singleton", "high-rate", "high-bytes", "wide-breadth", "long-session", "loads-assets", "no-assets",
-                 "follows-links", "cold", "has-cache", "lacks-cache", "checked-robots", "shared-ip"]
+
+def verified() -> Column:
+    """Clients that a check confirmed, unless it showed an impersonator."""
+    return F.arrays_overlap("tags", F.array(*map(F.lit, C.VERIFIED_TAGS))) & (F.col("kind") != "impersonator")
 
 
 def kind_rollup(clients: DataFrame, *keys: str) -> DataFrame:
-    """Exact totals by kind, or by further keys too."""
+    """Exact totals by kind, or by further keys too; with a column ``verdict``, how
+    many keep to robots.txt, and of verified clients their part of the totals."""
+    sure = F.coalesce(verified(), F.lit(False))
+    robots = [F.count_if(F.col("verdict") == v).alias(f"{v}_robots") for v in ("respects", "ignores", "unknown")] if "verdict" in clients.columns else []
     return clients.groupBy(*keys, "kind").agg(
         F.count(F.lit(1)).alias("clients"), F.sum("requests").alias("requests"), F.sum("total_bytes").alias("total_bytes"),
-        F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"),
+        F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), *robots,
+        F.count_if(sure).alias("verified_clients"), F.coalesce(F.sum(F.when(sure, F.col("requests"))), F.lit(0)).alias("verified_requests"),
+        F.coalesce(F.sum(F.when(sure, F.col("total_bytes"))), F.lit(0)).alias("verified_bytes"),
     )
 
 
+def identity_stats(clients: DataFrame, entries: DataFrame) -> DataFrame:
+    """One row: clients, those with one request, addresses with several User-Agents."""
+    uas = entries.groupBy("remote_host").agg((F.count_distinct("user_agent") + F.max(F.col("user_agent").isNull().cast("int"))).alias("n"))
+    own = clients.agg(F.count(F.lit(1)).alias("client_count"), F.count_if(F.col("requests") == 1).alias("singletons"))
+    return own.crossJoin(uas.agg(F.count_if(F.col("n") > 1).alias("ips_with_multiple_uas")))  # one row each
+
+
 def network_rollup(clients: DataFrame) -> DataFrame:
     """By kind, and by network and kind: two grouping sets, one pass."""
     return clients.groupingSets([["kind"], ["network", "kind"]], "network", "kind").agg(
@@ -40,20 +54,36 @@ def cadence(entries: DataFrame) -> DataFrame:
     return entries.where("ts is not null").groupBy("kind", slot.alias("slot")).agg(F.count(F.lit(1)).alias("requests"))
 
 
+def kind_cadence(clients: DataFrame, buckets: DataFrame) -> DataFrame:
+    """Requests on the grid, by kind, from clients' own forty slots: each slot at
+    its midpoint, and a client that stayed within a minute at its first request.
+    ``buckets`` is that of :func:`clientlens.operators.clients.request_buckets`."""
+    b = buckets.withColumnsRenamed({"client_ip": "_i", "client_ua": "_u", "requests": "hits"})
+    j = clients.where("first_seen is not null").join(b, F.col("client_ip").eqNullSafe(F.col("_i")) & F.col("client_ua").eqNullSafe(F.col("_u")), "left")
+    begin, span = F.unix_micros("first_seen") / 1e6, F.col("duration")
+    at = F.when(F.col("bucket").isNotNull(), begin + (F.col("bucket") + 0.5) / C.BUCKETS * span).otherwise(begin)
+    slot = (F.floor(at / C.GRID_SECONDS) * C.GRID_SECONDS).alias("slot")
+    return j.groupBy("kind", slot).agg(F.sum(F.coalesce("hits", "requests")).alias("requests"))
+
+
 def metrics() -> dict:
-    return {"rate": F.col("peak_rpm").cast("double"), "bytes": F.col("total_bytes").cast("double"), "breadth": F.col("breadth"), "session": F.col("duration")}
+    return {"rate": F.col("peak_rpm").cast("double"), "bytes": F.col("mean_bytes"), "breadth": F.col("breadth"), "session": F.col("duration")}
 
 
 def thresholds(clients: DataFrame) -> DataFrame:
-    """One row: what is out of the ordinary, from browsers that load assets.
+    """One row: what is out of the ordinary, from clients that act as browsers do:
+    they say so, load the assets of pages, and keep a cache or follow links.
 
-    The 95th percentile of each metric's positive values times a margin, never
-    under its floor; with fewer than thirty reference clients the floor alone.
+    The 95th percentile of each metric's positive values times a margin, of the
+    breadth, a share, that of all values alone; never under its floor, and with
+    fewer than thirty reference clients the floor alone.
     """
-    ref = (F.col("kind") == "browser") & (F.col("requests") >= C.LEAST_REQUESTS) & (F.col("coload_ratio") > 0.4)
+    acts = (F.col("n304") > 0) | ((F.col("referers") > 0) & (F.col("follow_ratio") > 0.3))
+    ref = F.col("ua_browser") & (F.col("requests") >= C.LEAST_REQUESTS) & (F.col("page_count") > 0) & (F.col("coload_ratio") > 0.4) & acts
     out, pool = [], clients.where(ref)
     for name, c in metrics().items():
-        p = F.expr(f"percentile_disc(0.95) within group (order by m_{name}) filter (where m_{name} > 0)") * F.lit(1.0 if name == "breadth" else C.MARGIN)
+        part = "" if name == "breadth" else f" filter (where m_{name} > 0)"
+        p = F.expr(f"percentile_disc(0.95) within group (order by m_{name}){part}") * F.lit(1.0 if name == "breadth" else C.MARGIN)
         floor = F.lit(C.FLOORS[name])
         out.append(F.when(F.count(F.lit(1)) < C.LEAST_POOL, floor).otherwise(F.greatest(floor, F.coalesce(p, floor))).alias(f"t_{name}"))
     return pool.withColumns({f"m_{k}": c for k, c in metrics().items()}).agg(F.count(F.lit(1)).alias("pool"), *out)
@@ -74,7 +104,7 @@ def outlier_tags(clients: DataFrame, limits: DataFrame) -> DataFrame:
 
 def actors(clients: DataFrame) -> DataFrame:
     """Clients with one User-Agent and the same telling tags, as one actor."""
-    telling = F.array_except("tags", F.array(*map(F.lit, OBSERVATIONAL)))
+    telling = F.array_except("tags", F.array(*map(F.lit, C.OBSERVATIONAL)))
     g = clients.groupBy("user_agent", F.array_join(telling, ",").alias("actor_tags")).agg(
         F.count(F.lit(1)).alias("members"), F.sum("requests").alias("requests"), F.max(F.struct("requests", "client_ip")).alias("lead"))
     slug = F.substring(F.sha1(F.concat_ws("|", F.col("lead.client_ip"), F.coalesce("user_agent", F.lit("")), F.lit("")).cast("binary")), 1, 16)

@@ -29,7 +29,9 @@ def flagged(entries: DataFrame, identity: str = "ip_ua") -> DataFrame:
     return with_flags(clients.with_client(entries, identity))
 
 
-def attributed(entries: DataFrame, ranges: DataFrame | None, egress: DataFrame | None, agents: DataFrame | None = None) -> DataFrame:
+def attributed(
+    entries: DataFrame, ranges: DataFrame | None, egress: DataFrame | None, agents: DataFrame | None = None, identity: str = "ip_ua"
+) -> DataFrame:
     """Entries with route and group key.  Ranges and agents are looked up once
     per distinct address and User-Agent; Spark broadcasts what is small."""
     out = entries
@@ -43,7 +45,7 @@ def attributed(entries: DataFrame, ranges: DataFrame | None, egress: DataFrame |
         out = out.withColumn("as_agent", F.lit(None).cast("string"))
     said = agent_profile(entries, agents).select(F.col("user_agent").alias("_u"), "ua_crawler", "agent_token")
     out = out.join(said, F.col("user_agent").eqNullSafe(F.col("_u")), "left").drop("_u")
-    return network.route(out)
+    return network.route(out, clients.identity(identity))
 
 
 def classified(flagged_entries: DataFrame, agents: DataFrame | None = None, threshold: float = C.UNKNOWN_THRESHOLD, min_requests: int = 1) -> DataFrame:
@@ -68,16 +70,14 @@ def analyze(
     parsed = logs.read_log(spark, paths, log_format, source)
     counters = logs.skip_counts(parsed, since, vhosts)
     entries = parsed.where(F.col("skip_reason").isNull() & logs.in_window(since) & logs.on_hosts(vhosts))
-    e = clients.with_client(entries, identity)
-    if identity == "ip_ua":
-        e = attributed(entries, ranges, egress, agents)
-    e = with_flags(e)
+    e = with_flags(attributed(entries, ranges, egress, agents, identity))
     c = classified(e, agents, unknown_threshold, min_requests)
     if robots_text:
         prod = agent_profile(e, agents).select(F.col("user_agent").alias("_u"), "product")
         marked = e.join(prod, F.col("user_agent").eqNullSafe(F.col("_u")), "left").drop("_u")
         v = robots.compliance(marked, robots.parse(robots_text), clients.KEY).withColumnsRenamed({"client_ip": "_i", "client_ua": "_a"})
         c = c.join(v, F.col("client_ip").eqNullSafe(F.col("_i")) & F.col("client_ua").eqNullSafe(F.col("_a")), "left").drop("_i", "_a")
+        c = c.withColumn("verdict", F.coalesce("verdict", F.lit("unknown")))
         c = c.withColumn("tags", F.when(F.col("verdict") == "ignores", F.array_sort(F.array_union("tags", F.array(F.lit("ignores-robots"))))).otherwise(F.col("tags")))
     return Census(e, c, rollup.kind_rollup(c), rollup.top_clients(c, max_per_kind), counters)
 

@@ -2,25 +2,35 @@
 
 from __future__ import annotations
 
+import os
+from urllib.parse import urlsplit
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clientlens.sources import logformat
 
 MAX_LINE = 1 << 20
+GROUP_MARK = "\x1f"
 
 
 def read_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
     """(file_rank, block, row, value): text or .gz files in the order given; a
     path given twice counts twice.  Bytes that are no UTF-8 become U+FFFD, and a
     line over 1 MiB is cut into pieces that are read by themselves."""
-    out = None
-    for rank, path in enumerate(paths):
-        t = spark.read.text(path).select(
-            F.lit(rank).alias("file_rank"), F.col("_metadata.file_block_start").alias("block"),
-            F.monotonically_increasing_id().alias("row"), F.make_valid_utf8("value").alias("value"),
-        )
-        out = t if out is None else out.union(t)
+    # one scan for all files; each file's places in the list come from a small table
+    names = [urlsplit(p).path if "://" in p else os.path.abspath(p) for p in paths]
+    ranks = spark.createDataFrame(list(enumerate(names)), "file_rank int, _name string")
+    of = F.url_decode(F.replace(F.regexp_replace(F.col("_metadata.file_path"), "^[a-z0-9]+:/{0,2}(?=/)", ""), F.lit("+"), F.lit("%2B")))
+    out = spark.read.text(list(dict.fromkeys(paths))).select(
+        of.alias("_file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"), F.make_valid_utf8("value").alias("value")
+    )
+    # a folder or pattern stands for all its files: the longest name of the list that begins the file's
+    inside = (F.col("_file") == F.col("_name")) | F.startswith(F.col("_file"), F.concat(F.rtrim(F.col("_name"), F.lit("/")), F.lit("/")))
+    if all("*" not in n and "?" not in n and "{" not in n for n in names):
+        out = out.join(ranks, inside).drop("_name", "_file")
+    else:
+        out = out.withColumn("file_rank", F.lit(0)).drop("_file")
     pieces = F.transform(
         F.sequence(F.lit(0), F.greatest(F.ceil(F.length("value") / MAX_LINE), F.lit(1)).cast("int") - 1),
         lambda i: F.substring("value", i * MAX_LINE + 1, F.lit(MAX_LINE)),
@@ -32,8 +42,12 @@ def read_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
 def parse_apache(lines: DataFrame, log_format: str = "combined") -> DataFrame:
     """Entries of a LogFormat or preset, with skip_reason where a line is none."""
     regex, fields = logformat.pattern(logformat.tokenize(logformat.PRESETS.get(log_format, log_format)))
-    groups = [F.regexp_extract("value", regex, k + 1) for k in range(len(fields))]
-    fits = F.col("value").rlike(regex)
+    # one match a line: its groups, with a mark between them that no line has
+    clean = F.translate("value", GROUP_MARK, "\ufffd")
+    parts = F.split(F.regexp_replace(clean, regex, GROUP_MARK + GROUP_MARK.join(f"${k + 1}" for k in range(len(fields)))), GROUP_MARK, -1)
+    lines = lines.withColumn("_parts", parts)
+    groups = [F.get("_parts", F.lit(k + 1)) for k in range(len(fields))]
+    fits = F.size("_parts") > 1
     # a trailing group that is not there reads "": tell it from one that is empty
     cols = logformat.columns(fields, groups)
     last = [t for t in fields if t.quoted and (t.name or "").lower() in ("referer", "user-agent")]
