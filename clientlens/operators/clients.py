@@ -186,3 +186,15 @@ def ua_count(entries: DataFrame) -> DataFrame:
     return own.groupBy(F.col("remote_host").alias("ip")).agg(
         (F.count_distinct("user_agent") + F.max(F.col("user_agent").isNull().cast("int"))).alias("uas")
     )
+
+
+def first_paths(entries: DataFrame, k: int) -> DataFrame:
+    """(client, paths): the first ``k`` different paths of each client, in order."""
+    first = entries.groupBy(*KEY, "path").agg(F.min("seq").alias("seq"))
+    some = first.withColumn("place", F.row_number().over(by_client().orderBy("seq"))).where(F.col("place") <= k)
+    return some.groupBy(*KEY).agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "path"))), lambda x: x["path"]).alias("paths"))
+
+
+def trace(entries: DataFrame, k: int) -> DataFrame:
+    """The first ``k`` entries of each client, with their place."""
+    return entries.withColumn("place", F.row_number().over(by_client().orderBy("seq"))).where(F.col("place") <= k)

@@ -20,14 +20,15 @@ PAGE = f"concat('/page', CAST({K} % 20 AS STRING), '.html')"
 COLUMNS = {
     "seq": "event_id",
     "ts": "ts",
-    "remote_host": "concat('10.', CAST(CAST(floor(user_id / 250.0) AS BIGINT) % 250 AS STRING), '.', CAST(user_id % 250 AS STRING), '.', CAST(1 + user_id % 7 AS STRING))",
+    "remote_host": "CASE WHEN user_id % 11 = 10 THEN concat('2001:db8:', CAST(user_id % 90 + 10 AS STRING), ':1::', CAST(1 + user_id % 7 AS STRING)) "
+    "ELSE concat('10.', CAST(CAST(floor(user_id / 250.0) AS BIGINT) % 250 AS STRING), '.', CAST(user_id % 250 AS STRING), '.', CAST(1 + user_id % 7 AS STRING)) END",
     "method": f"CASE WHEN event_type = 'signup' AND user_id % 4 = 1 THEN 'POST' WHEN {K} % 17 = 0 THEN 'HEAD' ELSE 'GET' END",
     "path": f"CASE event_type WHEN 'view' THEN {PAGE} WHEN 'click' THEN concat('/static/a', CAST({K} % 10 AS STRING), '.css') "
     f"WHEN 'purchase' THEN concat('/shop/item', CAST({K} % 30 AS STRING)) WHEN 'signup' THEN '/register' "
-    f"ELSE CASE WHEN user_id % 8 = 7 THEN '/feed/index.xml' WHEN user_id % 5 = 3 AND {K} % 5 = 0 THEN '/wp-login.php' WHEN user_id % 5 = 3 AND {K} % 5 = 1 THEN '/.env' "
+    f"ELSE CASE WHEN {K} % 29 = 5 THEN '/robots.txt' WHEN user_id % 8 = 7 THEN '/feed/index.xml' WHEN user_id % 5 = 3 AND {K} % 5 = 0 THEN '/wp-login.php' WHEN user_id % 5 = 3 AND {K} % 5 = 1 THEN '/.env' "
     f"ELSE concat('/gone/', CAST({K} AS STRING)) END END",
-    "query": f"CASE WHEN {K} % 4 = 0 THEN concat('q=', CAST({K} AS STRING)) WHEN user_id % 5 = 3 AND {K} % 31 = 7 THEN 'f=../../etc/passwd' END",
-    "status": f"CASE WHEN event_type = 'error' AND (user_id % 5 = 3 OR {K} % 4 = 0) THEN 404 WHEN {K} % 10 = 3 THEN 304 WHEN {K} % 25 = 1 THEN 301 ELSE 200 END",
+    "query": f"CASE WHEN {K} % 4 = 0 THEN concat('q=', CAST({K} AS STRING)) WHEN user_id % 5 = 3 AND {K} % 31 = 7 THEN 'f=../../etc/passwd' WHEN user_id % 5 = 3 AND {K} % 31 = 9 THEN 'p=%252e' END",
+    "status": f"CASE WHEN event_type = 'error' AND {K} % 29 = 5 THEN 200 WHEN event_type = 'error' AND {K} % 13 = 2 THEN 403 WHEN event_type = 'error' AND (user_id % 5 = 3 OR {K} % 4 = 0) THEN 404 WHEN {K} % 10 = 3 THEN 304 WHEN {K} % 25 = 1 THEN 301 ELSE 200 END",
     "bytes_sent": "CAST(floor(value * 100) AS BIGINT)",
     "referer": f"CASE WHEN event_type = 'click' OR (event_type = 'purchase' AND {K} % 2 = 0) THEN concat('https://www.example.org', {PAGE}) "
     f"WHEN event_type = 'view' AND user_id % 9 = 0 AND {K} % 3 = 0 THEN concat('https://example.org', {PAGE}, '?r=1') END",

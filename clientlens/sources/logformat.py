@@ -62,6 +62,8 @@ def _group(t: Token) -> str:
         return rf"({TIME})" if t.name is None else (r"(\S+(?: \S+)*?)" if " " in t.name else r"(\S+)")
     if t.letter in "sbBDTIOSpPk":
         return rf"({NUMERIC}|\S+)" if t.letter not in "sbB" else rf"({NUMERIC})"
+    if t.letter == "U":
+        return r"([^\s?]*)"
     return r"(.*?)" if t.letter in "ru" else r"(\S*)"
 
 
@@ -130,7 +132,7 @@ def columns(fields: list[Token], groups: list[Column]) -> dict[str, Column]:
         if t.letter in "ha" and t.name is None:
             out["remote_host"] = F.coalesce(v, F.lit("-"))
         elif t.letter == "i" and name == "x-forwarded-for":
-            hops = F.transform(F.slice(F.split(v, ","), 1, 32), F.trim)
+            hops = F.transform(F.slice(F.split(v, ","), 1, 32), lambda x: F.trim(x))
             out["forwarded_for"] = F.coalesce(F.filter(hops, lambda x: x != ""), F.array().cast("array<string>"))
         elif t.letter == "i" and name in HEADERS and HEADERS[name] in out:
             out[HEADERS[name]] = v

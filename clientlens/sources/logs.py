@@ -70,9 +70,12 @@ CLOUDFLARE = (
 
 def epoch_or_rfc3339(c):
     """RFC 3339, or seconds, milli-, micro- or nanoseconds by magnitude."""
-    n = c.try_cast("double")
-    scale = F.when(n > 1e17, 1e9).when(n > 1e14, 1e6).when(n > 1e11, 1e3).otherwise(1.0)
-    return F.coalesce(F.timestamp_seconds(F.floor(n / scale * 1e6) / 1e6), c.try_cast("timestamp"))
+    n = c.try_cast("bigint")  # whole numbers stay whole
+    thousandth = (n.cast("decimal(20,0)") / 1000).cast("decimal(20,3)")
+    micros = F.when(n > 10**17, F.floor(thousandth).cast("bigint")).when(n > 10**14, n).when(n > 10**11, n * 1000).otherwise(n * 1_000_000)
+    fraction = F.timestamp_micros(F.floor(c.try_cast("double") * 1e6).cast("bigint"))
+    whole = c.rlike(r"^\s*-?[0-9]+\s*$")
+    return F.when(whole, F.timestamp_micros(micros)).otherwise(F.coalesce(fraction, c.try_cast("timestamp")))
 
 
 def parse_cloudflare(lines: DataFrame) -> DataFrame:
