@@ -16,6 +16,7 @@ DIMS, BITS, CELLS, SEED = 3, 16, 256, 20240229
 #: A range holds at most about so many bytes of text, and where texts are few
 #: enough for a range of LEAST_BYTES a core, fewer.
 BYTES_PER_PARTITION, LEAST_BYTES, RANGES_PER_CORE = 128 << 20, 1 << 20, 6
+ROWS_AT_ONCE = 512
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 
@@ -69,8 +70,9 @@ def curve_keys(texts: list[bytes]) -> np.ndarray:
 
 def _keyed(batches):
     for b in batches:
-        raw = b.column("text").cast(pa.binary())
-        keys = curve_keys([x or b"" for x in raw.to_pylist()])
+        raw, keys = b.column("text").cast(pa.binary()), []
+        for lo in range(0, len(raw), ROWS_AT_ONCE):
+            keys.extend(curve_keys([x or b"" for x in raw.slice(lo, ROWS_AT_ONCE).to_pylist()]).tolist())
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text"), pa.array(keys, pa.int64())], ["doc_id", "text", "_key"])
 
 
@@ -129,8 +131,8 @@ def pack(docs: DataFrame, vocab: str | None = None, length: int = LENGTH) -> Dat
         p = Packer(path, length, TaskContext.get().partitionId() << 32)
         for b in batches:
             out: list = []
-            for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                p.add(doc_id, text, out)
+            for doc_id, text in zip(b.column("doc_id"), b.column("text"), strict=True):  # one text at a time
+                p.add(doc_id.as_py(), text.as_py(), out)
             cols = list(zip(*out, strict=True)) or [[] for _ in names]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names)
 

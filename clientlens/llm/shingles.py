@@ -25,7 +25,7 @@ class WordHashes(dict):
 
     def __missing__(self, word: bytes) -> bytes:
         out = xxhash.xxh3_64_intdigest(word).to_bytes(8, "little")
-        if len(self) >= 250_000:
+        if len(self) >= 100_000:
             self.clear()
         if len(word) <= 64:
             self[word] = out

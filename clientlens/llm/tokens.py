@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import re
 
 import numpy as np
@@ -24,14 +23,13 @@ class Pieces:
     of the vocabulary are encoded whole.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 150_000):
         import public_tokenizers
         import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        with open(path, encoding="utf-8") as f:
-            added = [x["content"] for x in json.load(f).get("added_tokens", [])]
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.parts = regex.compile(public_tokenizers.PATTERN).findall
         self.most, self.known = most, {}

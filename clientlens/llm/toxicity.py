@@ -140,7 +140,7 @@ class Features(dict):
     def __missing__(self, token: str) -> tuple:
         out = {f for word in self._words(token) if len(word) > 2 for f in (f"={word}", *(f"^{word[:n]}" for n in PREFIXES if len(word) >= n))}
         out = tuple(sorted(out if self.known is None else (f for f in out if f in self.known)))
-        if len(self) >= 200_000:
+        if len(self) >= 100_000:
             self.clear()
         if len(token) <= PIECE:
             self[token] = out
