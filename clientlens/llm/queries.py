@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from clientlens.llm import fingerprint, line_dedup, media, mixing, ngram_join, packing, pii, repeats, toxicity, warc
+from clientlens.llm import codes, decontam, fingerprint, line_dedup, media, mixing, ngram_join, packing, periodic, pii, repeats, toxicity, warc
 
 
 def queries() -> dict:
@@ -17,8 +17,11 @@ def queries() -> dict:
         "op8_ngram_join": ngram_join.op8,
         "op9_suffix_dedup": repeats.op9,
         "op10_warc": warc.op10,
+        "op11_periodic": periodic.op11,
+        "op12_decontam": decontam.op12,
+        "op13_vector_codes": codes.op13,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": line_dedup.OP1_SQL, "op10_warc": warc.OP10_SQL}
+    return {"op1_line_dedup": line_dedup.OP1_SQL, "op10_warc": warc.OP10_SQL, "op12_decontam": decontam.OP12_SQL, "op13_vector_codes": codes.OP13_SQL}
