@@ -16,7 +16,9 @@ DIMS, BITS, CELLS, SEED = 3, 16, 256, 20240229
 #: A range holds at most about so many bytes of text, and where texts are few
 #: enough for a range of LEAST_BYTES a core, fewer.
 BYTES_PER_PARTITION, LEAST_BYTES, RANGES_PER_CORE = 128 << 20, 1 << 20, 6
-ROWS_AT_ONCE = 512
+ROWS_AT_ONCE = 128
+#: Pieces in one batch of results, and pre-tokens that a worker remembers.
+PIECES_AT_ONCE, WORDS_KEPT = 4096, 60_000
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 
@@ -80,7 +82,7 @@ class Packer:
     """Cuts one range of the curve into sequences, document after document."""
 
     def __init__(self, path: str, length: int, base: int):
-        self.words, self.length, self.seq, self.at = tokens.pieces(path), length, base, 0
+        self.words, self.length, self.seq, self.at = tokens.Pieces(path, WORDS_KEPT), length, base, 0
 
     def add(self, doc_id, text: str, out: list) -> None:
         ids = np.append(np.frombuffer(self.words.ids(text), dtype="<u2").astype("<u4"), np.uint32(0)).astype("<u4")
@@ -128,13 +130,20 @@ def pack(docs: DataFrame, vocab: str | None = None, length: int = LENGTH) -> Dat
     def packed(batches):
         from pyspark import TaskContext
 
-        p = Packer(path, length, TaskContext.get().partitionId() << 32)
+        p, out = Packer(path, length, TaskContext.get().partitionId() << 32), []
+
+        def made():
+            cols = list(zip(*out, strict=True)) or [[] for _ in names]
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names)
+
         for b in batches:
-            out: list = []
             for doc_id, text in zip(b.column("doc_id"), b.column("text"), strict=True):  # one text at a time
                 p.add(doc_id.as_py(), text.as_py(), out)
-            cols = list(zip(*out, strict=True)) or [[] for _ in names]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names)
+                if len(out) >= PIECES_AT_ONCE:
+                    yield made()
+        yield made()
+        pa.default_memory_pool().release_unused()
 
     return keyed.mapInArrow(packed, SCHEMA)
 
