@@ -17,6 +17,10 @@ TITLES = {
 _TITLE = "(?:" + "|".join(sorted(sum(TITLES.values(), []), key=lambda x: (-len(x), x))) + r")\.?(?: (?:Dr|Prof)\.?)? "
 _NAME = r"\p{Lu}(?:['’]\p{Lu})?\p{Ll}+(?:\p{Lu}\p{Ll}+)?"
 _NAMES = rf"{_NAME}(?:-{_NAME})*"
+#: Small words inside names; they stay, and never end a name.
+PARTICLES = ["von", "van", "der", "den", "dem", "zu", "zur", "de", "del", "della", "di", "da", "do", "dos", "du", "des", "la", "le", "las", "los", "y", "e", "af", "av"]
+_SOME = "(?:(?:" + "|".join(PARTICLES) + ") ){1,3}"
+_PARTICLES = f"(?:{_SOME})?"
 FORMS = {
     "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++(?<!\.)@[\p{L}\p{N}\-]+(?:\.[\p{L}\p{N}\-]+)+",
     "secret": r"(?<![\p{L}\p{N}])(?:(?=[a-f]*[0-9])[0-9a-f]{32,128}|(?=[A-F]*[0-9])[0-9A-F]{32,128}|(?:sk|pk|rk)[_-][\p{L}\p{N}_\-]{16,64}|gh[pousr]_[\p{L}\p{N}]{20,64}|AKIA[0-9A-Z]{16})(?![\p{L}\p{N}])",
@@ -26,15 +30,16 @@ FORMS = {
     "ssn": r"(?<![\p{L}\p{N}\-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![\-\p{L}\p{N}])",
     "card": r"(?<![\p{L}\p{N}.\-])(?:(?:[0-9]{4}[ \-]){3}[0-9]{1,7}|[0-9]{4}[ \-][0-9]{6}[ \-][0-9]{5}|[0-9]{13,19})(?![\p{L}\p{N}])",
     "phone": r"(?<![\p{L}\p{N}.\-])(?:(?:\+|00)[0-9]{1,3}[ .\-]?)?(?:\([0-9]{2,4}\)[ .\-]?|[0-9]{2,4}[ .\-])[0-9]{3,4}[ .\-]?[0-9]{3,4}(?![\p{L}\p{N}])|(?<![\p{L}\p{N}])\+[0-9]{9,14}(?![\p{L}\p{N}])",
-    "name": rf"(?<![\p{{L}}\p{{N}}]){_TITLE}{_NAMES}(?: {_NAMES}){{0,2}}",
+    "name": rf"(?<![\p{{L}}\p{{N}}]){_TITLE}{_PARTICLES}{_NAMES}(?: {_PARTICLES}{_NAMES}){{0,2}}(?: {_SOME}{_NAMES}){{0,2}}",
 }
 PREFIX = r"^((?:sk|pk|rk)[_-](?:(?:live|test|proj)[_-])?|gh[pousr]_|AKIA)"
 PATTERN = "|".join(f"(?:{p})" for p in FORMS.values())
 #: Every form has one of these signs; texts without any are not searched further.
 #: One class of first characters, then a look at what follows: a fast scan.
+_INITIALS = "".join(sorted({t[0] for t in sum(TITLES.values(), [])}))
 NEEDED = (
-    r"[0-9@A-ZspgrΓΚ](?<=[0-9@]|[spr](?=k[_-])|g(?=h[pousr]_)|A(?=KIA)|"
-    rf"(?={_TITLE}\p{{Lu}})[A-ZΓΚ])"
+    rf"[0-9@A-Zspgr{_INITIALS}](?<=[0-9@]|[spr](?=k[_-])|g(?=h[pousr]_)|A(?=KIA)|"
+    rf"(?={_TITLE}{_PARTICLES}\p{{Lu}})[{_INITIALS}])"
 )
 DIGITS, HEX = "0123456789", "0123456789abcdef"
 LOWER, UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -95,14 +100,14 @@ def _part(kind, canon, before, form, sex):
 
 def _named(m: Column) -> Column:
     """Parts of a titled mention: of its words the last is the family name, those
-    before it given names; words come apart at hyphens."""
+    before it given names; particles stay; words come apart at hyphens."""
     title = F.regexp_extract(m, f"^{_TITLE}", 0)
     words = F.split(F.substring(m, F.length(title) + 1, F.length(m)), " ")
     bare = F.regexp_extract(title, r"^[^. ]+", 0)
     sex = F.when(bare.isin(TITLES["f"]), F.lit("f")).when(bare.isin(TITLES["m"]), F.lit("m")).otherwise(F.lit(""))
 
     def pieces(w, k):
-        kind = F.when(k == F.size(words) - 1, F.lit("family")).otherwise(F.lit("given"))
+        kind = F.when(w.isin(PARTICLES), F.lit("kept")).when(k == F.size(words) - 1, F.lit("family")).otherwise(F.lit("given"))
         before = lambda j: F.when(j > 0, F.lit("-")).when(k > 0, F.lit(" ")).otherwise(title)
         return F.transform(F.split(w, "-"), lambda p, j: _part(kind, F.lower(p), before(j), p, sex))
 
@@ -314,10 +319,11 @@ def surrogate_text(docs: DataFrame, key: str = KEY) -> DataFrame:
         F.array_join(F.transform("_new", lambda x: F.concat(F.when(x["part"] == 0, F.element_at("_gaps", x["pos"] + 1)).otherwise(""), x["out"])), ""),
         F.element_at("_gaps", -1),
     )
-    real = F.filter("_new", lambda x: (x["part"] == 0) & (x["kind"] != "kept"))
+    real = F.filter("_new", lambda x: x["kind"] != "kept")
+    places = F.array_distinct(F.transform(real, lambda x: x["pos"]))
     kinds = F.array_join(F.array_sort(F.array_distinct(F.transform(real, lambda x: F.when(x["kind"].isin("given", "family"), "name").otherwise(x["kind"])))), ",")
     changed = some.join(new, "_rk").select(
-        *[text.alias("text") if c == "text" else c for c in kept], F.size(real).cast("long").alias("n_entities"), kinds.alias("kinds")
+        *[text.alias("text") if c == "text" else c for c in kept], F.size(places).cast("long").alias("n_entities"), kinds.alias("kinds")
     )
     same = d.where(F.size("_ents") == 0).select(*kept, F.lit(0).cast("long").alias("n_entities"), F.lit("").alias("kinds"))
     return same.unionByName(changed)
