@@ -7,23 +7,21 @@ from pyspark.sql import functions as F
 
 from clientlens import config as C
 from clientlens.functions.hosts import range_key, subnet
+from clientlens.operators import intervals
 
 
 def in_ranges(ips: DataFrame, ranges: DataFrame, column: str = "remote_host") -> DataFrame:
-    """(ip, rank, name): the first range list in order that holds an address.
-
-    Distinct addresses only.  Both sides are cut at the top 16 bits of their key,
-    so that the join is an equality plus a filter; a range that spans several
-    such blocks is listed in each.
-    """
-    block = lambda c: F.when(F.substring(c, F.lit(1), F.lit(24)) == "0" * 20 + "ffff", F.conv(F.substring(c, F.lit(25), F.lit(4)), 16, 10).cast("bigint")).otherwise(
-        F.lit(65536) + F.conv(F.substring(c, F.lit(1), F.lit(4)), 16, 10).cast("bigint")
-    )
+    """(ip, rank, name): the first range list in order that holds an address.  Each
+    distinct address is looked up once, by a sorted-range join."""
     d = ips.select(F.col(column).alias("ip")).distinct().withColumn("key", range_key(F.col("ip"))).where("key is not null")
-    d = d.withColumn("block", block(F.col("key")))
-    r = ranges.select("rank", "name", "lo", "hi").withColumn("block", F.explode(F.sequence(block(F.col("lo")), block(F.col("hi")))))
-    hit = d.join(r, "block").where("key between lo and hi")
-    return hit.groupBy("ip").agg(F.min(F.struct("rank", "name")).alias("f")).select("ip", "f.rank", "f.name")
+    return intervals.first_range(d, ranges).select("ip", "rank", "name")
+
+
+def in_own_ranges(claims: DataFrame, ranges: DataFrame, by: str = "agent_token") -> DataFrame:
+    """(by, ip) of ``claims`` whose address lies in a range published for the same
+    ``by``; an agent's list counts whole, in whatever order it is."""
+    d = claims.select(by, F.col("client_ip").alias("ip")).distinct().withColumn("key", range_key(F.col("ip"))).where("key is not null")
+    return intervals.held(d, ranges, by).select(by, "ip")
 
 
 def cidr_bounds(cidr: Column) -> tuple[Column, Column]:

@@ -3,15 +3,13 @@ with reference SQL."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clientlens.operators import clients, network, robots, rollup, verify
 from clientlens.plans import census, derived
 from clientlens.sources import logs, ordering
+from clientlens.sources.shared import shared_folder
 
 KEY = clients.KEY
 RULES = "User-agent: *\nDisallow: /page*.html$\nDisallow: /shop/\nAllow: /shop/item2\nDisallow: /gone/*7\n"
@@ -20,9 +18,7 @@ BY_ASN = [(0, 7, "north", "provider"), (1, 7, "south", "provider"), (2, 9, "bird
 
 
 def scratch(spark) -> str:
-    """A new folder that all of Spark can reach."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return f"{base.rstrip('/')}/log-{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix="spark-log-") + "/log"
+    return shared_folder(spark, "log")
 
 
 def written(spark, d, line: str, **options) -> str:

@@ -2,35 +2,43 @@
 
 from __future__ import annotations
 
-import os
-from urllib.parse import urlsplit
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clientlens.sources import logformat
+from clientlens.sources.ends import list_files
 
 MAX_LINE = 1 << 20
 GROUP_MARK = "\x1f"
 
 
-def read_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
+#: Files up to which the list of files is sent to every task.
+MOST_FILES = 100_000
+
+
+def _plain(uri):
+    """A file's URI as both listings write it: decoded, one slash after file:."""
+    return F.regexp_replace(F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B"))), "^file:/+", "file:/")
+
+
+def read_lines(spark: SparkSession, paths: list[str], files: list[tuple[str, int]] | None = None) -> DataFrame:
     """(file_rank, block, row, value): text or .gz files in the order given; a
-    path given twice counts twice.  Bytes that are no UTF-8 become U+FFFD, and a
-    line over 1 MiB is cut into pieces that are read by themselves."""
-    # one scan for all files; each file's places in the list come from a small table
-    names = [urlsplit(p).path if "://" in p else os.path.abspath(p) for p in paths]
-    ranks = spark.createDataFrame(list(enumerate(names)), "file_rank int, _name string")
-    of = F.url_decode(F.replace(F.regexp_replace(F.col("_metadata.file_path"), "^[a-z0-9]+:/{0,2}(?=/)", ""), F.lit("+"), F.lit("%2B")))
-    out = spark.read.text(list(dict.fromkeys(paths))).select(
-        of.alias("_file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"), F.make_valid_utf8("value").alias("value")
+    path given twice counts twice.  Files of a folder or pattern go by name; give
+    ``files`` (as :func:`clientlens.sources.ends.order_logs` returns them) for
+    another order.  Bytes that are no UTF-8 become U+FFFD, and a line over 1 MiB is
+    cut into pieces that are read by themselves."""
+    files = list_files(spark, paths) if files is None else files
+    if not files:
+        none = spark.createDataFrame([], "file_rank int, block bigint, row bigint, piece int, value string")
+        return none.withColumn("seq", F.struct("file_rank", "block", "row", "piece"))
+    # one scan for all files; each file's places in the order come from a small table
+    ranks = spark.createDataFrame([(k, f) for k, (f, _) in enumerate(files)], "file_rank int, _uri string").select("file_rank", _plain(F.col("_uri")).alias("_file"))
+    ranks = F.broadcast(ranks) if len(files) <= MOST_FILES else ranks
+    names = list(dict.fromkeys(f for f, _ in files))
+    out = spark.read.text(names).select(
+        _plain(F.col("_metadata.file_path")).alias("_file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"), F.make_valid_utf8("value").alias("value")
     )
-    # a folder or pattern stands for all its files: the longest name of the list that begins the file's
-    inside = (F.col("_file") == F.col("_name")) | F.startswith(F.col("_file"), F.concat(F.rtrim(F.col("_name"), F.lit("/")), F.lit("/")))
-    if all("*" not in n and "?" not in n and "{" not in n for n in names):
-        out = out.join(ranks, inside).drop("_name", "_file")
-    else:
-        out = out.withColumn("file_rank", F.lit(0)).drop("_file")
+    out = out.join(ranks, "_file").drop("_file")
     pieces = F.transform(
         F.sequence(F.lit(0), F.greatest(F.ceil(F.length("value") / MAX_LINE), F.lit(1)).cast("int") - 1),
         lambda i: F.substring("value", i * MAX_LINE + 1, F.lit(MAX_LINE)),
@@ -104,8 +112,8 @@ def parse_cloudflare(lines: DataFrame) -> DataFrame:
 PARSERS = {"apache": parse_apache, "cloudflare": lambda lines, _=None: parse_cloudflare(lines)}
 
 
-def read_log(spark: SparkSession, paths: list[str], log_format: str = "combined", source: str = "apache") -> DataFrame:
-    return PARSERS[source](read_lines(spark, paths), log_format)
+def read_log(spark: SparkSession, paths: list[str], log_format: str = "combined", source: str = "apache", files: list[tuple[str, int]] | None = None) -> DataFrame:
+    return PARSERS[source](read_lines(spark, paths, files), log_format)
 
 
 def skip_counts(parsed: DataFrame, window_start=None, vhosts: list[str] | None = None) -> DataFrame:
