@@ -80,6 +80,8 @@ KNOWN_CRAWLERS = KINDS[1:10]
 # Fixed values.
 #: Browser releases: (family, major, date of that release, days a major lasts).
 RELEASES = [("chrome", 120, "2023-12-06", 30), ("firefox", 121, "2023-12-19", 30), ("safari", 17, "2023-09-18", 365)]
+#: Buckets of the histogram of gaps: ten a decade over ten decades, and both ends.
+GAP_BUCKETS = 102
 COLOAD_SECONDS, EXACT_DELTAS, TARGET_CAP, BUCKETS, GRID_SECONDS = 10, 256, 256, 40, 300
 UNKNOWN_THRESHOLD, MAX_PER_KIND, RESIDENT_CAP = 0.45, 1000, 50_000
 #: Matrix: share of a kind that earns a network a column, if it holds this share of all and so many requests.

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from clientlens import config as C
 from clientlens.functions.hosts import subnet
+from clientlens.sources.shared import kept
 
 KEY = ["client_ip", "client_ua"]
 
@@ -33,51 +34,111 @@ def by_client():
     return Window.partitionBy(*KEY)
 
 
-def with_order(flagged: DataFrame) -> DataFrame:
-    """What needs an entry's predecessors, over one partitioning by client:
-    change of top segment, gap since the latest earlier page-like request, and
-    whether the referer is a page this client fetched before."""
-    w = by_client().orderBy("seq")
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    moving = F.when(~F.col("static"), F.col("ts"))
-    newest = F.max(moving).over(before)
-    gap = (F.unix_micros("ts") - F.unix_micros(newest)) / 1e6
-    d = flagged.withColumns({
-        "turned": F.coalesce(F.lag("top").over(w) != F.col("top"), F.lit(False)),
-        "delta": F.when(~F.col("static") & (F.col("ts") >= newest), gap),
-        "robots_first": F.col("robots_file") & F.min(F.when(~F.col("robots_file"), F.col("seq"))).over(before).isNull(),
+def _seconds() -> Column:
+    return F.unix_micros("ts") / 1e6
+
+
+def in_slices(flagged: DataFrame, parts: int | None = None) -> DataFrame:
+    """Entries in slices: range partitioned by client and order, so that a client
+    with much of the log is several slices, each in a task of its own.  What an
+    entry needs of those before it is measured within its slice, and the table is
+    written once; :func:`with_order` adds what earlier slices carry over."""
+    n = parts or int(flagged.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    d = flagged.repartitionByRange(n, *KEY, "seq").withColumn("_part", F.spark_partition_id())
+    own = Window.partitionBy("_part", *KEY)
+    w = own.orderBy("seq")
+    before, upto = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(Window.unboundedPreceding, 0)
+    d = d.withColumns({
+        "_head": F.lag(F.lit(1)).over(w).isNull(), "_top": F.lag("top").over(w), "_newest": F.max(F.when(~F.col("static"), F.col("ts"))).over(before),
+        "_content": F.coalesce(F.max((~F.col("robots_file")).cast("int")).over(before), F.lit(0)),
+        "_pages": F.max(F.when(F.col("page"), _seconds())).over(before), "_clock": F.max(_seconds()).over(before),
     })
-    # first time each path was fetched, on the same partitioning and a finer key
+    quiet = F.coalesce(_seconds() > F.col("_pages") + C.COLOAD_SECONDS, F.lit(False))
+    return kept(d.withColumns({"_wait": F.sum(quiet.cast("int")).over(upto), "_late": F.max(F.coalesce(F.col("_clock") > _seconds(), F.lit(False)).cast("int")).over(own)}), "ordered")
+
+
+def carried(slices: DataFrame) -> DataFrame:
+    """(client, _part, _c): what a client's earlier slices leave to a later one.
+
+    Two neighbours share at most one client, so there are at most two rows a
+    partition; they are put in order on the driver.
+    """
+    who = F.struct(*KEY)
+    ends = slices.groupBy("_part").agg(F.min(who).alias("lo"), F.max(who).alias("hi")).orderBy("_part").collect()
+    spanning = {b.lo for a, b in zip(ends, ends[1:], strict=False) if a.hi == b.lo}
+    spark = slices.sparkSession
+    keys = ", ".join(f"{k} {slices.schema[k].dataType.simpleString()}" for k in KEY)
+    some = spark.createDataFrame([tuple(c) for c in spanning], keys).withColumnsRenamed({k: f"_{k}" for k in KEY})
+    own = slices.join(F.broadcast(some), F.col(KEY[0]).eqNullSafe(F.col(f"_{KEY[0]}")) & F.col(KEY[1]).eqNullSafe(F.col(f"_{KEY[1]}")))
+    parts = own.groupBy(*KEY, "_part").agg(
+        F.max_by("top", "seq").alias("top"), F.max(F.when(~F.col("static"), F.unix_micros("ts"))).alias("newest"), F.bool_or(~F.col("robots_file")).alias("content"),
+        F.max(F.when(F.col("page"), _seconds())).alias("pages"), F.max("_wait").alias("wait"),
+    ) if spanning else None
+    rows, state = [], {}
+    most = lambda a, b: a if b is None else b if a is None else max(a, b)
+    for r in sorted(parts.collect(), key=lambda r: r["_part"]) if parts is not None else []:
+        c = (r[KEY[0]], r[KEY[1]])
+        if c in state:
+            rows.append((*c, r["_part"], state[c]))
+        _, newest, content, pages, wait = state.get(c, (None, None, False, None, None))
+        # a slice in which nothing is cut goes on with the group of the one before
+        wait = f"{r['_part']}:{r['wait']}" if r["wait"] or wait is None else wait
+        state[c] = (r["top"], most(newest, r["newest"]), content or r["content"], most(pages, r["pages"]), wait)
+    return spark.createDataFrame(rows, f"{keys}, _part int, _c struct<top:string,newest:bigint,content:boolean,pages:double,wait:string>")
+
+
+def with_order(flagged: DataFrame, parts: int | None = None) -> DataFrame:
+    """What needs an entry's predecessors: change of top segment, gap since the
+    latest earlier page-like request, whether robots.txt came first, whether the
+    referer is a page this client fetched before, and the group of requests
+    (``_wait``) that no ten quiet seconds cut."""
+    d = in_slices(flagged, parts)
+    carry = F.broadcast(carried(d)).withColumnsRenamed({k: f"_{k}" for k in KEY} | {"_part": "_p"})  # two rows a partition at most
+    same = (F.col("_part") == F.col("_p")) & F.col(KEY[0]).eqNullSafe(F.col(f"_{KEY[0]}")) & F.col(KEY[1]).eqNullSafe(F.col(f"_{KEY[1]}"))
+    d = d.join(carry, same, "left").drop("_p", *(f"_{k}" for k in KEY))
+    c = F.col("_c")
+    newest = F.greatest(F.unix_micros("_newest"), c["newest"])
+    own = F.col("has_referer") & (F.col("ref_path") == F.col("path"))
+    wait = F.when((F.col("_wait") == 0) & c.isNotNull(), c["wait"]).otherwise(F.concat_ws(":", F.col("_part").cast("string"), F.col("_wait").cast("string")))
+    d = d.withColumns({
+        "turned": F.coalesce(F.when(F.col("_head"), c["top"]).otherwise(F.col("_top")) != F.col("top"), F.lit(False)),
+        "delta": F.when(~F.col("static") & (F.unix_micros("ts") >= newest), (F.unix_micros("ts") - newest) / 1e6),
+        "robots_first": F.col("robots_file") & (F.col("_content") == 0) & ~F.coalesce(c["content"], F.lit(False)),
+        "self_ref": own, "_wait": wait, "_pages": F.coalesce("_pages", c["pages"]), "_late": (F.col("_late") == 1) | c.isNotNull(),
+    }).drop("_c")
+    # first time each path was fetched
     first = d.groupBy(*KEY, "path").agg(F.min("seq").alias("first_seq")).select(
         F.col("client_ip").alias("_i"), F.col("client_ua").alias("_u"), F.col("path").alias("_p"), "first_seq"
     )
     on = F.col("client_ip").eqNullSafe(F.col("_i")) & F.col("client_ua").eqNullSafe(F.col("_u")) & (F.col("ref_path") == F.col("_p"))
     j = d.join(first, on, "left").drop("_i", "_u", "_p")
-    own = F.col("has_referer") & (F.col("ref_path") == F.col("path"))
-    return j.withColumns({
-        "self_ref": own,
-        "followed": F.col("has_referer") & ~own & F.coalesce(F.col("first_seq") < F.col("seq"), F.lit(False)),
-    })
+    return j.withColumn("followed", F.col("has_referer") & ~F.col("self_ref") & F.coalesce(F.col("first_seq") < F.col("seq"), F.lit(False)))
 
 
 def coload(flagged: DataFrame) -> DataFrame:
-    """(client, pages_total, pages_satisfied) of clients with timed pages or assets: a page is satisfied by an asset
-    that names it as referer within ten seconds; one asset satisfies one page,
-    the oldest waiting, and pages that waited longer fall away.
+    """(client, pages_total, pages_satisfied) of clients with timed entries, see
+    :func:`coload_ordered`."""
+    return coload_ordered(with_order(flagged))
+
+
+def coload_ordered(ordered: DataFrame) -> DataFrame:
+    """A page is satisfied by an asset that names it as referer within ten seconds;
+    one asset satisfies one page, the oldest waiting, and pages that waited longer
+    fall away.
 
-    One ordered fold per client over its pages, its assets, and those other timed
-    entries that can still push the clock: the state is what waits in ten seconds.
+    One ordered fold for each group of requests between which no ten seconds pass
+    without a page: the state at its start is empty, so groups are independent and
+    a busy client's are spread over tasks.  Groups without a page are not folded;
+    of other entries only those that can push the clock past late ones are.
     """
-    t = F.unix_micros("ts") / 1e6
     kind = F.when(F.col("page"), "P").when(F.col("static") & ~F.col("chrome_asset") & F.col("has_referer"), "A").otherwise("O")
-    ev = flagged.where("ts is not null").select(*KEY, "seq", t.alias("t"), kind.alias("k"), F.when(kind == "P", F.col("path")).otherwise(F.col("ref_path")).alias("p"))
-    late = F.max("t").over(by_client().orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)) > F.col("t")
-    ev = ev.withColumn("late", F.max(late.cast("int")).over(by_client())).where("k <> 'O' or late = 1")
+    ev = ordered.where("ts is not null").select(*KEY, "seq", "_wait", "_pages", "_late", _seconds().alias("t"), kind.alias("k"), F.when(kind == "P", F.col("path")).otherwise(F.col("ref_path")).alias("p"))
+    ev = ev.where("k = 'P' or (_pages is not null and (k = 'A' or _late))")
     pend = "array<struct<t:double,p:string>>"
 
     def step(acc, x):
         alive = F.array_position(F.transform(acc["pend"], lambda y: y["t"] >= x["t"] - C.COLOAD_SECONDS), True)
-        kept = F.when(alive == 0, F.array().cast(pend)).otherwise(F.slice(acc["pend"], F.greatest(alive, F.lit(1)).cast("int"), F.greatest(F.size(acc["pend"]), F.lit(1))))
+        kept_ = F.when(alive == 0, F.array().cast(pend)).otherwise(F.slice(acc["pend"], F.greatest(alive, F.lit(1)).cast("int"), F.greatest(F.size(acc["pend"]), F.lit(1))))
 
         def use(q):
             at = F.array_position(F.transform(q, lambda y: y["p"]), x["p"])
@@ -87,34 +148,63 @@ def coload(flagged: DataFrame) -> DataFrame:
                 grown.when(hit, F.filter(q, lambda y, j: j != at - 1)).otherwise(q).alias("pend"), (acc["hits"] + F.when(hit, 1).otherwise(0)).alias("hits")
             )
 
-        return F.element_at(F.transform(F.array(kept), use), 1)
+        return F.element_at(F.transform(F.array(kept_), use), 1)
 
     start = F.struct(F.array().cast(pend).alias("pend"), F.lit(0).alias("hits"))
     items = F.sort_array(F.collect_list(F.struct("seq", "t", "k", "p")))
-    return ev.groupBy(*KEY).agg(F.count_if(F.col("k") == "P").alias("pages_total"), F.aggregate(items, start, step, lambda a: a["hits"]).alias("pages_satisfied"))
+    groups = ev.groupBy(*KEY, "_wait").agg(F.count_if(F.col("k") == "P").alias("pages"), F.aggregate(items, start, step, lambda a: a["hits"]).alias("hits"))
+    timed = ordered.where("ts is not null").groupBy(*KEY).agg(F.lit(0).cast("bigint").alias("pages"), F.lit(0).alias("hits"))
+    return groups.select(*KEY, "pages", "hits").unionByName(timed).groupBy(*KEY).agg(F.sum("pages").alias("pages_total"), F.sum("hits").cast("int").alias("pages_satisfied"))
 
 
-def quantiles(deltas: Column) -> tuple[Column, Column]:
-    """(median, p95) of sorted gaps: exact up to 256 of them, else read off a histogram of
-    ten buckets a decade from 1 ms, as the geometric centre of a bucket."""
-    s, n = deltas, F.size(deltas)
+def gap_bucket(delta: Column) -> Column:
+    """Bucket of a gap: 0 for none, then ten a decade from 1 ms to 10**7 s, with the
+    shorter in the first and the longer in the last."""
+    at = F.floor((F.log10(delta) + 3) * 10) + 1
+    return F.when(delta <= 0, F.lit(0)).otherwise(F.least(F.greatest(at, F.lit(1)), F.lit(C.GAP_BUCKETS - 1))).cast("int")
+
+
+def gaps(ordered: DataFrame) -> DataFrame:
+    """(client, iat_n, iat_mean, iat_sq, iat_min, iat_median, iat_p95): exact up to
+    256 gaps; beyond, quantiles are read off a mergeable histogram of 102 buckets, as
+    the geometric centre of a bucket.
+
+    Gaps are summed by slice and bucket first; lists exist only for buckets of up to
+    256 gaps, so no client's gaps are ever in one place.
+    """
+    d = ordered.where("delta is not null").withColumn("bucket", gap_bucket(F.col("delta")))
+    n = F.count(F.lit(1))
+    some = d.groupBy(*KEY, "_part", "bucket").agg(
+        n.alias("n"), F.sum("delta").alias("s"), F.sum(F.col("delta") * F.col("delta")).alias("sq"), F.min("delta").alias("least"), F.when(n <= C.EXACT_DELTAS, F.collect_list("delta")).alias("list"),
+    )
+    whole = some.groupBy(*KEY).agg(
+        F.sum("n").alias("iat_n"), F.sum("s").alias("_s"), F.sum("sq").alias("_sq"), F.min("least").alias("iat_min"),
+        F.array_sort(F.collect_list(F.struct("bucket", "n"))).alias("_hist"), F.when(F.sum("n") <= C.EXACT_DELTAS, F.array_sort(F.flatten(F.collect_list("list")))).alias("_all"),
+    )
+    s, k = F.col("_all"), F.col("iat_n")
     at = lambda i: F.get(s, i.cast("int"))
-    median = F.when(n % 2 == 1, at(F.floor(n / 2))).otherwise((at(F.floor(n / 2) - 1) + at(F.floor(n / 2))) / 2)
-    p95 = at(F.bround(F.lit(0.95) * (n - 1)))
+    median = F.when(k % 2 == 1, at(F.floor(k / 2))).otherwise((at(F.floor(k / 2) - 1) + at(F.floor(k / 2))) / 2)
+    p95 = at(F.bround(F.lit(0.95) * (k - 1)))
 
     def binned(q):
-        v = at(F.greatest(F.ceil(F.lit(q) * n) - 1, F.lit(0)))
-        b = F.floor(F.log10(v / 1e-3) * 10)
-        return F.when(v < 1e-3, F.lit(1e-3)).when(v >= 1e7, F.lit(1e7)).otherwise(F.pow(F.lit(10.0), (b + 0.5) / 10) * 1e-3)
+        def step(a, x):
+            seen = a["n"] + x["n"]
+            return F.struct(seen.alias("n"), F.coalesce(a["b"], F.when(seen >= F.lit(q) * k, x["bucket"])).alias("b"))
 
-    return F.when(n <= C.EXACT_DELTAS, median).otherwise(binned(0.5)), F.when(n <= C.EXACT_DELTAS, p95).otherwise(binned(0.95))
+        b = F.aggregate("_hist", F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(None).cast("int").alias("b")), step, lambda a: a["b"])
+        return F.when(b <= 0, F.lit(0.0)).otherwise(F.pow(F.lit(10.0), (b - 0.5) / 10 - 3))
+
+    return whole.select(
+        *KEY, "iat_n", (F.col("_s") / k).alias("iat_mean"), (F.col("_sq") / k).alias("iat_sq"), "iat_min",
+        F.when(k <= C.EXACT_DELTAS, median).otherwise(binned(0.5)).alias("iat_median"), F.when(k <= C.EXACT_DELTAS, p95).otherwise(binned(0.95)).alias("iat_p95"),
+    )
 
 
 def features(flagged: DataFrame) -> DataFrame:
     """One row of measures per client.
 
-    Three aggregations by client over one partitioning: totals with partial
-    sums, the per-minute peak (grouped by minute first), and the co-load fold.
+    The log is read once, into ordered slices; from these come totals with partial
+    sums, gaps, the per-minute peak (grouped by minute first), and the co-load fold.
     """
     d = with_order(flagged)
     c = lambda e: F.count_if(e)
@@ -132,12 +222,12 @@ def features(flagged: DataFrame) -> DataFrame:
         c(F.col("same_site") & F.col("ref_host").startswith("www.")).alias("www_referers"), c(F.col("same_site") & ~F.col("ref_host").startswith("www.")).alias("apex_referers"),
         F.count_distinct("path").alias("distinct_paths"), F.least(F.count_distinct("target"), F.lit(C.TARGET_CAP)).alias("distinct_targets"),
         c(F.col("has_referer")).alias("referers"), c(F.col("self_ref")).alias("self_referers"), c(F.col("followed")).alias("followed"),
-        c(F.col("turned")).alias("turns"), F.collect_list("delta").alias("deltas"),
+        c(F.col("turned")).alias("turns"),
     )
     minute = d.where("ts is not null").groupBy(*KEY, F.floor(F.unix_seconds("ts") / 60).alias("m")).agg(F.count(F.lit(1)).alias("n"))
     peak = minute.groupBy(*KEY).agg(F.max("n").alias("peak_rpm"))
     out = low
-    for other in (peak, coload(flagged)):
+    for other in (peak, coload_ordered(d), gaps(d)):
         o = other.withColumnsRenamed({"client_ip": "_i", "client_ua": "_u"})
         out = out.join(o, F.col("client_ip").eqNullSafe(F.col("_i")) & F.col("client_ua").eqNullSafe(F.col("_u")), "left").drop("_i", "_u")
     return finalize(out)
@@ -147,12 +237,7 @@ def finalize(p: DataFrame) -> DataFrame:
     """Ratios and statistics, once all counts are together."""
     n, seen = F.col("requests"), F.nullif(F.col("with_status"), F.lit(0))
     share = lambda a, b: F.coalesce(F.col(a) / b, F.lit(0.0))
-    p = p.withColumn("deltas", F.array_sort("deltas"))
-    med, p95 = quantiles(F.col("deltas"))
-    k = F.size("deltas")
-    mean = F.aggregate("deltas", F.lit(0.0), lambda a, x: a + x) / F.nullif(k, F.lit(0))
-    sq = F.aggregate("deltas", F.lit(0.0), lambda a, x: a + x * x) / F.nullif(k, F.lit(0))
-    p = p.withColumns({"iat_mean": mean, "iat_sq": sq, "iat_n": k, "iat_median": F.when(k > 0, med), "iat_p95": F.when(k > 0, p95), "iat_min": F.array_min("deltas")})
+    p = p.withColumn("iat_n", F.coalesce("iat_n", F.lit(0)).cast("int"))
     revisits = n - F.col("distinct_paths")
     return p.withColumns({
         "mean_bytes": F.col("total_bytes") / n,
@@ -166,7 +251,7 @@ def finalize(p: DataFrame) -> DataFrame:
         "get_ratio": F.col("gets") / n, "head_ratio": F.col("heads") / n, "post_ratio": F.col("posts") / n, "feed_ratio": F.col("feed_hits") / n,
         "holds_no_cache": (F.col("n304") == 0) & (F.col("distinct_paths") > 0) & ((revisits >= 20) | (n >= 500)),
         "refetches": ((revisits >= 20) & (revisits >= n * 0.5)) | (n >= 2000),
-    }).drop("deltas", "iat_sq")
+    }).drop("iat_sq")
 
 
 def request_buckets(entries: DataFrame) -> DataFrame:

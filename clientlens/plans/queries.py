@@ -260,11 +260,9 @@ q AS (
   SELECT c.*, m.peak_rpm, CASE WHEN iat_n > 256 THEN NULL WHEN iat_n % 2 = 1 THEN deltas[(iat_n // 2 + 1)] ELSE (deltas[(iat_n // 2)] + deltas[(iat_n // 2 + 1)]) / 2 END AS med,
     deltas[(round_even(0.95 * (iat_n - 1), 0)::INT + 1)] AS p95
   FROM c JOIN m ON client_ip = mi AND client_ua = mu)"""
-_BIN = "CASE WHEN v < 1e-3 THEN 1e-3 WHEN v >= 1e7 THEN 1e7 ELSE pow(10.0, (floor(log10(v / 1e-3) * 10) + 0.5) / 10) * 1e-3 END"
-
-
 def _binned(q: str) -> str:
-    return _BIN.replace("v <", f"deltas[greatest(ceil({q} * iat_n), 1)::INT] <").replace("v >=", f"deltas[greatest(ceil({q} * iat_n), 1)::INT] >=").replace("(v /", f"(deltas[greatest(ceil({q} * iat_n), 1)::INT] /")
+    v = f"deltas[greatest(ceil({q} * iat_n), 1)::INT]"
+    return f"CASE WHEN {v} <= 0 THEN 0.0 ELSE pow(10.0, (least(greatest(floor((log10({v}) + 3) * 10) + 1, 1), 101) - 0.5) / 10 - 3) END"
 
 
 _HEX = "lpad(to_hex(65535::BIGINT) || lpad(lower(to_hex(n)), 8, '0'), 32, '0')"
