@@ -5,39 +5,87 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-OUT = "client_ip string, client_ua string, requests bigint, total_bytes bigint, not_found bigint, probes bigint, first_seen double, last_seen double, dormant boolean"
-STATE = "requests bigint, total_bytes bigint, not_found bigint, probes bigint, first_seen double, last_seen double"
+FIELDS = "requests bigint, total_bytes bigint, not_found bigint, probes bigint, first_seen double, last_seen double, visits bigint"
+OUT = f"client_ip string, client_ua string, {FIELDS}, probe_paths array<string>, state string"
+HOUR_MS = 3_600_000
+SAMPLES = 5
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def running_clients(flagged: DataFrame, quiet_hours: float = 24, late: str = "24 hours") -> DataFrame:
-    """A row per client and batch with its totals so far.
+class Clients(StatefulProcessor):
+    """Totals of one client: a value state, the first few probed paths in a list
+    state, and one timer, set by event time.
 
-    A client that is quiet for ``quiet_hours`` of event time is reported dormant;
-    its state stays, and it goes on where it was when it returns.  Entries more
-    than ``late`` behind the newest are left out by the watermark.
+    After ``quiet_ms`` without a request the client is parked: its totals are
+    reported as dormant and stay.  A request, also a late one, is merged into them.
+    After ``forget_ms`` the totals are reported a last time and the state is freed;
+    a client that comes back even later begins a new row of totals.
     """
-    quiet_ms = int(quiet_hours * 3_600_000)
 
-    def step(key, batches, state):
-        old = state.get if state.exists else (0, 0, 0, 0, float("inf"), float("-inf"))
-        if state.hasTimedOut:
-            state.update(old)
-            yield pd.DataFrame([(*key, *old, True)], columns=[c.split()[0] for c in OUT.split(", ")])
-            return
-        n, size, missing, probes, first, last = old
-        for b in batches:
+    def __init__(self, quiet_ms: int, forget_ms: int, late_ms: int):
+        self.quiet_ms, self.forget_ms, self.late_ms = quiet_ms, forget_ms, late_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.totals = handle.getValueState("totals", f"{FIELDS}, parked boolean")
+        self.paths = handle.getListState("probe_paths", "path string")
+
+    def _row(self, key, totals, state: str) -> pd.DataFrame:
+        paths = [p[0] for p in self.paths.get()]
+        return pd.DataFrame([(*key, *totals, paths, state)], columns=[c.split()[0] for c in OUT.split(", ")])
+
+    def _wake(self, at_ms: float, timers) -> None:
+        """One timer: when the newest event of all is at ``at_ms``.  The watermark
+        stays ``late_ms`` behind that, so that late rows still get here."""
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        self.handle.registerTimer(max(int(at_ms) - self.late_ms, timers.getCurrentWatermarkInMs() + 1))
+
+    def handleInputRows(self, key, rows, timerValues):
+        old = self.totals.get() if self.totals.exists() else (0, 0, 0, 0, float("inf"), float("-inf"), 0, True)
+        n, size, missing, probes, first, last, visits, parked = old
+        for b in rows:
             n, size = n + len(b), size + int(b["bytes"].sum())
             missing, probes = missing + int((b["status"] == 404).sum()), probes + int(b["probe"].sum())
-            first, last = min(first, b["t"].min()), max(last, b["t"].max())
-        new = (n, size, missing, probes, float(first), float(last))
-        state.update(new)
-        state.setTimeoutTimestamp(max(int(last * 1000) + quiet_ms, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame([(*key, *new, False)], columns=[c.split()[0] for c in OUT.split(", ")])
-
-    e = flagged.withWatermark("ts", late).select("client_ip", "client_ua", "ts", "bytes", "status", "probe", (F.unix_micros("ts") / 1e6).alias("t"))
-    return e.groupBy("client_ip", "client_ua").applyInPandasWithState(step, OUT, STATE, "update", GroupStateTimeout.EventTimeTimeout)
+            first, last = min(first, float(b["t"].min())), max(last, float(b["t"].max()))
+            known = [p[0] for p in self.paths.get()]
+            for p in b.loc[b["probe"], "path"]:
+                if len(known) < SAMPLES and p not in known:
+                    known.append(p)
+                    self.paths.appendValue((p,))
+        totals = (n, size, missing, probes, first, last, visits + bool(parked))
+        self.totals.update((*totals, False))
+        self._wake(last * 1000 + self.quiet_ms, timerValues)
+        yield self._row(key, totals, "active")
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        *totals, parked = self.totals.get()
+        forget = totals[5] * 1000 + self.forget_ms
+        if parked or timerValues.getCurrentWatermarkInMs() >= forget - self.late_ms:
+            yield self._row(key, totals, "final")
+            self.totals.clear()
+            self.paths.clear()
+            return
+        self.totals.update((*totals, True))
+        yield self._row(key, totals, "dormant")
+        self._wake(forget, timerValues)
+
+
+def running_clients(flagged: DataFrame, quiet_hours: float = 24, forget_hours: float = 24 * 30, late_days: int = 3650) -> DataFrame:
+    """A row per client and batch with its totals so far, one when it falls
+    quiet (``dormant``) and one when it is forgotten (``final``).
+
+    Time is that of events: the newest one seen decides what is quiet.  Rows of any
+    lateness up to ``late_days`` are counted, where they arrive; entries without a time
+    are left out.  The session's state store must be RocksDB (``ROCKSDB``).
+    """
+    late_ms = late_days * 24 * HOUR_MS
+    processor = Clients(int(quiet_hours * HOUR_MS), int(forget_hours * HOUR_MS), late_ms)
+    e = flagged.where("ts is not null").select("client_ip", "client_ua", "ts", "bytes", "status", "probe", "path", (F.unix_micros("ts") / 1e6).alias("t"))
+    e = e.withWatermark("ts", f"{late_days} days")
+    return e.groupBy("client_ip", "client_ua").transformWithStateInPandas(processor, OUT, "update", "eventTime")
 
 
 def cadence(entries: DataFrame, grid: str = "5 minutes", late: str = "1 hour") -> DataFrame:
