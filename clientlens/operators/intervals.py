@@ -47,19 +47,21 @@ def merged(intervals: DataFrame, *by: str) -> DataFrame:
 def flatten(pieces: list[tuple]) -> list[list]:
     """[lo, hi, rank, name] without overlap from such rows with numbers as bounds: at
     every place the smallest (rank, name) of all that cover it."""
-    pieces = sorted(pieces)
+    # as Spark orders structs: a missing rank or name comes first
+    place = lambda r: (r[2] is not None, r[2] or 0, r[3] is not None, r[3] or "")
+    pieces = sorted(pieces, key=lambda r: r[0])
     cuts = sorted({x for lo, hi, *_ in pieces for x in (lo, hi + 1)})
     heap: list[tuple] = []
     out: list[list] = []
     i = 0
     for a, b in zip(cuts, cuts[1:], strict=False):
         while i < len(pieces) and pieces[i][0] <= a:
-            heapq.heappush(heap, (pieces[i][2], pieces[i][3], pieces[i][1]))
+            heapq.heappush(heap, (place(pieces[i]), pieces[i][1], i))
             i += 1
-        while heap and heap[0][2] < a:
+        while heap and heap[0][1] < a:
             heapq.heappop(heap)
         if heap:
-            rank, name, _ = heap[0]
+            rank, name = pieces[heap[0][2]][2:4]
             if out and out[-1][1] == a - 1 and out[-1][2:] == [rank, name]:
                 out[-1][1] = b - 1
             else:
