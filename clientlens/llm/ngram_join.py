@@ -372,6 +372,21 @@ def _few(members: DataFrame) -> DataFrame:
     return x.join(y, "key").where("a < b and ca <> cb").select("a", "b").distinct()
 
 
+def _merged(comp: DataFrame, found: DataFrame) -> DataFrame:
+    """``comp`` after further links: components of components, so that only what
+    the links touch is gone through again."""
+    of = lambda side: comp.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
+    at = found.join(of("a"), "a", "left").join(of("b"), "b", "left").select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb"))
+    at = stored(at, "new-links")
+    up = connected_components(at.select("ca", "cb").distinct(), "ca", "cb").select(F.col("node").alias("was"), F.col("component").alias("now"))
+    ends = at.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("ca").alias("was")), F.struct(F.col("b").alias("node"), F.col("cb").alias("was")))).alias("x")).select("x.*")
+    # a node without a component so far stands for itself
+    fresh = ends.where("node = was").select("node", "was").distinct()
+    old = comp.select("node", F.col("component").alias("was"))
+    out = old.union(fresh).distinct().join(up, "was", "left").select("node", F.coalesce("now", "was").alias("component"))
+    return stored(out, "components")
+
+
 def ngram_components(docs: DataFrame, parts: int | None = PARTS) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs``.
 
@@ -410,8 +425,7 @@ def ngram_components(docs: DataFrame, parts: int | None = PARTS) -> DataFrame:
         .where("a < b").distinct()
     )
     tested = stored(star, "star-pairs")
-    links = _verify(tested, classes, d)
-    comp = connected_components(links)
+    comp = connected_components(_verify(tested, classes, d))
     quota, some, n_open = QUOTA, None, 0
     while True:
         marked = shared.select("key", "node").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -427,8 +441,7 @@ def ngram_components(docs: DataFrame, parts: int | None = PARTS) -> DataFrame:
         pairs = stored(pairs.join(tested, ["a", "b"], "left_anti"), "cross-pairs")
         tested, found = tested.union(pairs), _verify(pairs, classes, d)
         if found.limit(1).count():
-            links = links.union(found)
-            comp = connected_components(links)
+            comp = _merged(comp, found)
         of = lambda side, by: by.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
         left = blocks.where("more").select("a", "b")
         now = left.join(of("a", comp), "a", "left").join(of("b", comp), "b", "left")
