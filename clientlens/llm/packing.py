@@ -17,8 +17,8 @@ DIMS, BITS, CELLS, SEED = 3, 16, 256, 20240229
 #: enough for a range of LEAST_BYTES a core, fewer.
 BYTES_PER_PARTITION, LEAST_BYTES, RANGES_PER_CORE = 128 << 20, 1 << 20, 6
 ROWS_AT_ONCE = 128
-#: Pieces in one batch of results, and pre-tokens that a worker remembers.
-PIECES_AT_ONCE, WORDS_KEPT = 4096, 60_000
+#: Pieces in one batch of results.
+PIECES_AT_ONCE = 4096
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 
@@ -82,7 +82,7 @@ class Packer:
     """Cuts one range of the curve into sequences, document after document."""
 
     def __init__(self, path: str, length: int, base: int):
-        self.words, self.length, self.seq, self.at = tokens.Pieces(path, WORDS_KEPT), length, base, 0
+        self.words, self.length, self.seq, self.at = tokens.pieces(path), length, base, 0
 
     def add(self, doc_id, text: str, out: list) -> None:
         ids = np.append(np.frombuffer(self.words.ids(text), dtype="<u2").astype("<u4"), np.uint32(0)).astype("<u4")
