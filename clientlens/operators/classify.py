@@ -169,9 +169,12 @@ def with_context(features: DataFrame, profile: DataFrame) -> DataFrame:
     j = j.withColumns({c: F.coalesce(c, lit(c == "ua_empty")) for c in flags})
     if "datacenter" not in j.columns:
         j = j.withColumn("datacenter", lit(False))
-    for name in ("shadow", "as_category", "identity", "signer", "signer_claimed"):
+    # what checks say: of the network (identity, and each channel) and of signatures (wba)
+    for name in ("shadow", "as_category", "identity", "dns_state", "range_state", "wba", "signer", "signer_claimed"):
         if name not in j.columns:
             j = j.withColumn(name, lit(None).cast("string"))
+    if "wba_tags" not in j.columns:
+        j = j.withColumn("wba_tags", F.array().cast("array<string>"))
     return j.withColumn("band", version_band(col("family"), col("major"), col("last_seen")))
 
 
@@ -187,7 +190,7 @@ def combine(scored: DataFrame, threshold: float = C.UNKNOWN_THRESHOLD) -> DataFr
     """Kind and confidence: scores are adjusted in order, the highest wins (ties by
     the order of kinds), and below the threshold fixed rungs decide."""
     browser_ = when(col("datacenter"), F.greatest(col("s_browser") - 0.1, lit(0.0))).otherwise(col("s_browser"))
-    signed = F.coalesce(col("identity").isin("wba-verified", "wba-expired"), lit(False))
+    signed = F.coalesce(col("wba").isin("verified", "expired"), lit(False))
     d = scored.withColumn("s_browser", when(col("s_spoofed_browser").isNull() & ~signed, F.round(browser_, 3)))
     excused = F.coalesce(col("s_vuln_scanner") >= threshold, lit(False)) | (signed & col("signer").isNotNull())
     d = d.withColumn("s_spoofed_browser", when(~excused, col("s_spoofed_browser")))
@@ -197,8 +200,9 @@ def combine(scored: DataFrame, threshold: float = C.UNKNOWN_THRESHOLD) -> DataFr
     dc_scraper = col("datacenter") & (col("requests") >= 5) & (col("distinct_paths") >= 3) & (col("ua_library") | col("ua_empty")) & clean()
     # a forged signature, or a check that failed where no signature holds, or one
     # that holds for another operator than the one claimed
-    other = signed & (col("signer") != col("signer_claimed"))
-    faked = F.coalesce(col("identity").isin("wba-forged", "impersonator") | other, lit(False))
+    yes = lambda c: F.coalesce(c, lit(False))
+    other = signed & yes(col("signer") != col("signer_claimed"))
+    faked = yes(col("wba") == "forged") | other | (yes(col("identity") == "impersonator") & ~signed)
     tell = signed | col("ua_headless") | ((col("n304") == 0) & col("holds_no_cache")) | generic_ua() | bot_ua()
     low = ~F.coalesce(col("_best.c") >= threshold, lit(False))
     kind = when(faked, "impersonator").when(~low, col("_best.k")).when(dc_scraper, "scraper").when(tell | col("datacenter"), "automation").otherwise("unknown")
@@ -214,6 +218,10 @@ def bot_ua() -> Column:
     return col("band").isNull() & ~col("ua_browser") & ~col("ua_library") & col("ua_bot") & ~recognised()
 
 
+# What a channel's answer is called in tags.
+CHANNEL = {"pass": "verified", "fail": "violation", "unknown": "unverified"}
+
+
 def tag_columns() -> dict[str, Column]:
     n, reg = col("requests"), F.when(col("requests") >= 5, col("regularity"))
     fake = col("ua_browser") & ~known_agent() & (n >= 2) & (col("coload_ratio") == 0) & (col("follow_ratio") == 0)
@@ -228,8 +236,8 @@ def tag_columns() -> dict[str, Column]:
         "probe-paths": (col("probe_hits") >= 3) | (col("probe_ratio") >= 0.05), "traversal": col("traversal_hits") > 0,
         "encoding-evasion": col("evasion_hits") > 0, "404-storm": storm(), "often-forbidden": forbidden(), "exotic-method": col("exotic_hits") > 0,
         "uses-HEAD": col("head_ratio") > 0.1, "post-heavy": (col("post_ratio") > 0.5) & (n >= 5),
-        "impossible-referer": impossible_referer(), **{f"{x}-verified": col("identity") == f"{x}-verified" for x in ("dns", "ip", "wba")},
-        "asn-associated": col("identity") == "asn-associated",
+        "impossible-referer": impossible_referer(), "asn-associated": col("identity") == "asn-associated", "asn-attributed": col("as_category").isNotNull(),
+        **{f"{x}-{word}": col(state) == found for x, state in (("dns", "dns_state"), ("ip", "range_state")) for found, word in CHANNEL.items()},
         "forged-referer": (col("self_referer_ratio") >= 0.5) & (n >= 4) & col("ua_browser") & ~known_agent(), "singleton": n == 1,
         "datacenter": col("datacenter"), "no-user-agent": col("ua_empty"), "checked-robots": col("fetched_robots"), "declares-known-bot": col("ua_crawler"),
         "fetches-feeds": col("ua_feed"), "polls-feeds": col("feed_hits") > 0, "declares-app-client": col("ua_app"),
@@ -242,4 +250,4 @@ def with_tags(combined: DataFrame) -> DataFrame:
     """Sorted tags of each client."""
     d = combined if "uas" in combined.columns else combined.withColumn("uas", lit(1))
     tags = F.array_compact(F.array(*[when(c, lit(t)) for t, c in tag_columns().items()]))
-    return d.withColumn("tags", F.array_sort(tags))
+    return d.withColumn("tags", F.array_sort(F.array_union(tags, F.coalesce("wba_tags", F.array().cast("array<string>")))))

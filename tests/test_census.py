@@ -1,7 +1,9 @@
 """The census: parsing, features against a plain model, and whole runs."""
 
 import gzip
+import math
 import random
+import statistics
 from collections import deque
 
 import pytest
@@ -93,12 +95,76 @@ def test_coload_against_model(spark):
     d = spark.createDataFrame(rows, "client_ip string, seq int, t double, k string, p string")
     e = d.select(
         "client_ip", F.lit(None).cast("string").alias("client_ua"), "seq", F.timestamp_seconds(F.col("t") + 1e6).alias("ts"), (F.col("k") == "P").alias("page"),
-        (F.col("k") == "A").alias("static"), F.lit(False).alias("chrome_asset"), (F.col("k") == "A").alias("has_referer"), F.col("p").alias("path"), F.col("p").alias("ref_path"),
+        F.lit("t").alias("top"), F.lit(False).alias("robots_file"), (F.col("k") == "A").alias("static"), F.lit(False).alias("chrome_asset"), (F.col("k") == "A").alias("has_referer"), F.col("p").alias("path"), F.col("p").alias("ref_path"),
     )
     got = {r["client_ip"]: (r["pages_total"], r["pages_satisfied"]) for r in clients.coload(e).collect()}
     assert {c: got.get(c, (0, 0)) for c in want} == want
 
 
+def measured(rows):
+    """Order-dependent measures by the letter."""
+    newest, deltas, turns, prev, first, content, robots = None, [], 0, None, set(), False, False
+    followed = 0
+    for t, path, static, ref in rows:
+        top = path.split("/")[1]
+        turns += prev is not None and prev != top
+        prev = top
+        if path == "/robots.txt":
+            robots |= not content
+        else:
+            content = True
+        followed += ref is not None and ref != path and ref in first
+        first.add(path)
+        if not static:
+            if newest is not None and t >= newest:
+                deltas.append(t - newest)
+            newest = t if newest is None else max(newest, t)
+    return deltas, turns, robots, followed
+
+
+def quantile(deltas, q):
+    buckets = sorted(0 if d <= 0 else max(1, min(int((math.log10(d) + 3) * 10) + 1, 101)) for d in deltas)
+    b = buckets[max(math.ceil(q * len(buckets)), 1) - 1]
+    return 10 ** (-3 + (b - 0.5) / 10) if b else 0.0
+
+
+def test_a_busy_client_is_cut_into_slices(spark):
+    """Two clients with nearly all of the log: the same measures from one slice and from many."""
+    rng, logs_ = random.Random(8), {}
+    for ip, n in (("a", 900), ("b", 2), ("c", 700), ("d", 1), ("e", 257), ("f", 256)):
+        t, mine = 0, []
+        for i in range(n):
+            t += rng.choice([0, 1, 2, 3, 7, 40, -5])
+            static = rng.random() < 0.4
+            path = "/robots.txt" if i == 0 and ip in "ad" else f"/{rng.choice('xy')}/{rng.randrange(9)}{'.css' if static else '.html'}"
+            mine.append((t, path, static, f"/{rng.choice('xy')}/{rng.randrange(9)}.html" if rng.random() < 0.6 else None))
+        logs_[ip] = mine
+    rows = [(ip, None, i, 1_000_000 + t, p, s, r) for ip, mine in logs_.items() for i, (t, p, s, r) in enumerate(mine)]
+    d = spark.createDataFrame(rows, "client_ip string, client_ua string, seq int, t long, path string, static boolean, ref_path string")
+    e = d.select(
+        "client_ip", "client_ua", "seq", F.timestamp_seconds("t").alias("ts"), "path", "static", "ref_path", F.col("ref_path").isNotNull().alias("has_referer"), F.split("path", "/")[1].alias("top"),
+        (F.col("path") == "/robots.txt").alias("robots_file"), (~F.col("static")).alias("page"), F.lit(False).alias("chrome_asset"),
+    )
+    for parts in (1, 7, 40):
+        o = clients.with_order(e, parts)
+        gaps = {r["client_ip"]: r for r in clients.gaps(o).collect()}
+        load = {r["client_ip"]: (r["pages_total"], r["pages_satisfied"]) for r in clients.coload_ordered(o).collect()}
+        own = {r[0]: tuple(r)[1:] for r in o.groupBy("client_ip").agg(F.count_if("turned"), F.bool_or("robots_first"), F.count_if("followed")).collect()}
+        if parts > 1:
+            assert o.groupBy("client_ip").agg(F.count_distinct("_part").alias("n")).where("client_ip in ('a', 'c') and n > 1").count() == 2
+        for ip, mine in logs_.items():
+            deltas, turns, robots_, followed = measured(mine)
+            assert own[ip] == (turns, robots_, followed), (parts, ip)
+            assert load[ip] == model([(t, "A" if s and r else "O" if s else "P", (r if s else p)) for t, p, s, r in mine]), (parts, ip)
+            if not deltas:
+                assert ip not in gaps
+                continue
+            g = gaps[ip]
+            assert (g["iat_n"], g["iat_min"]) == (len(deltas), min(deltas)) and abs(g["iat_mean"] - sum(deltas) / len(deltas)) < 1e-9
+            want = (statistics.median(deltas), sorted(deltas)[round(0.95 * (len(deltas) - 1))]) if len(deltas) <= 256 else (quantile(deltas, 0.5), quantile(deltas, 0.95))
+            assert all(abs(x - y) < 1e-9 for x, y in zip((g["iat_median"], g["iat_p95"]), want, strict=True)), (parts, ip)
+
+
 def test_whole_run(spark, tmp_path):
     lines = []
     for k in range(6):
