@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from clientlens import config as C
 from clientlens.functions.hosts import range_key, subnet
 from clientlens.operators import intervals
+from clientlens.sources.shared import kept
 
 
 def in_ranges(ips: DataFrame, ranges: DataFrame, column: str = "remote_host") -> DataFrame:
@@ -43,12 +44,13 @@ def route(entries: DataFrame, identity: tuple[Column, Column] | None = None) ->
     """Route and group key of each entry: proxies fold by network and UA, agents
     that own their AS by name, declared crawlers and hosting by subnet, the rest
     by client, which ``identity`` names.  Needs egress, as_agent, agent_token,
-    ua_crawler and hosting."""
+    ua_crawler and hosting; crawlers marked ``resident`` stay single clients."""
     ip, said = identity or (F.col("remote_host"), F.col("user_agent"))
     net = F.coalesce(subnet(F.col("remote_host")), F.col("remote_host"))
+    stays = F.coalesce("resident", F.lit(False)) if "resident" in entries.columns else F.lit(False)
     kind = (
         F.when(F.col("egress").isNotNull(), "egress").when(F.col("as_agent").isNotNull(), "as_agent")
-        .when(F.col("ua_crawler"), "declared").when(F.col("hosting").isNotNull(), "hosting").otherwise("regular")
+        .when(F.col("ua_crawler") & ~stays, "declared").when(~F.col("ua_crawler") & F.col("hosting").isNotNull(), "hosting").otherwise("regular")
     )
     none = F.lit(None).cast("string")
     key = F.when(kind == "egress", F.col("egress")).when(kind == "as_agent", F.col("as_agent")).when(kind == "regular", ip).otherwise(net)
@@ -56,6 +58,27 @@ def route(entries: DataFrame, identity: tuple[Column, Column] | None = None) ->
     return entries.withColumns({"route": kind, "client_ip": key, "client_ua": ua})
 
 
+def residents(entries: DataFrame, keys: list[str], most: int = C.RESIDENT_CAP) -> DataFrame:
+    """The first ``most`` distinct ``keys`` in the order of ``entries`` (seq).
+
+    First places are range partitioned; counts of the partitions, one row each, say
+    in which of them the limit falls, and only there rows are numbered.
+    """
+    n = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    first = entries.groupBy(*keys).agg(F.min("seq").alias("seq"))
+    first = kept(first.repartitionByRange(n, "seq").withColumn("_part", F.spark_partition_id()), "first-places")
+    before, at, rest = 0, -1, 0
+    for r in sorted(first.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()):
+        if before + r["n"] > most:
+            at, rest = r["_part"], most - before
+            break
+        before += r["n"]
+    else:
+        return first.select(*keys)
+    border = first.where(F.col("_part") == at).orderBy("seq").limit(rest)
+    return first.where(F.col("_part") < at).select(*keys).unionByName(border.select(*keys))
+
+
 def redirect_sides(flagged: DataFrame) -> DataFrame:
     """Per site: requests and redirects of its www. and its bare host."""
     www = F.col("host").startswith("www.")

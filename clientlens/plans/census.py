@@ -45,10 +45,12 @@ def joined(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left"
 
 
 def attributed(
-    entries: DataFrame, ranges: DataFrame | None, egress: DataFrame | None, agents: DataFrame | None = None, identity: str = "ip_ua"
-) -> DataFrame:
+    entries: DataFrame, ranges: DataFrame | None, egress: DataFrame | None, agents: DataFrame | None = None, identity: str = "ip_ua",
+    verifiable: DataFrame | None = None, most_residents: int = C.RESIDENT_CAP,
+) -> DataFrame:
     """Entries with route and group key.  Ranges and agents are looked up once
-    per distinct address and User-Agent; Spark broadcasts what is small."""
+    per distinct address and User-Agent; Spark broadcasts what is small.  Declared
+    crawlers of ``verifiable`` tokens stay single clients, the first of them only."""
     out = entries
     for name, table in (("hosting", ranges), ("egress", egress)):
         if table is None:
@@ -60,6 +62,11 @@ def attributed(
         out = out.withColumn("as_agent", F.lit(None).cast("string"))
     said = agent_profile(entries, agents).select(F.col("user_agent").alias("_u"), "ua_crawler", "agent_token")
     out = out.join(said, F.col("user_agent").eqNullSafe(F.col("_u")), "left").drop("_u")
+    if verifiable is not None:
+        ip, ua = clients.identity(identity)
+        out = out.join(verifiable.select("agent_token", F.lit(True).alias("_v")).distinct(), "agent_token", "left").withColumns({"_rip": ip, "_rua": ua})
+        stay = network.residents(out.where("_v and ua_crawler"), ["_rip", "_rua"], most_residents).withColumn("resident", F.lit(True))
+        out = joined(out, stay, ["_rip", "_rua"]).drop("_v", "_rip", "_rua")
     return network.route(out, clients.identity(identity))
 
 
@@ -169,7 +176,10 @@ def analyze(
     parsed = kept(logs.read_log(spark, paths, log_format, source, files), "parsed")
     counters = logs.skip_counts(parsed, since, vhosts)
     entries = parsed.where(F.col("skip_reason").isNull() & logs.in_window(since) & logs.on_hosts(vhosts)).drop("value")
-    e = kept(with_flags(attributed(with_as(entries, as_db, by_asn), ranges, egress, agents, identity)), "entries")
+    tokens = [agents.where("size(domains) > 0").select(F.lower("token").alias("agent_token"))] if agents is not None and "domains" in agents.columns else []
+    tokens += [agent_ranges.select("agent_token")] if agent_ranges is not None else []
+    verifiable = reduce(DataFrame.union, tokens) if tokens else None
+    e = kept(with_flags(attributed(with_as(entries, as_db, by_asn), ranges, egress, agents, identity, verifiable)), "entries")
     signed = None
     if key_sets is not None:
         claimed = signatures.with_base(signatures.claims(e))
