@@ -10,7 +10,7 @@ from clientlens.functions.agents import agent_profile, version_band
 from clientlens.functions.entry import with_flags
 from clientlens.functions.hosts import bare_host, referer_host, site_key
 from clientlens.operators import classify, clients, network, robots, rollup
-from clientlens.plans import census, derived, more, ranges, runs, signed
+from clientlens.plans import census, derived, more, ranges, runs, signed, views
 from clientlens.sources import logs
 
 KEY = clients.KEY
@@ -488,6 +488,7 @@ def oracle_sql() -> dict[str, str]:
         **ranges.oracle_sql(),
         **signed.oracle_sql(),
         **runs.oracle_sql(),
+        **views.oracle_sql(),
     }
 
 
@@ -498,4 +499,4 @@ def queries() -> dict:
         client_scores, client_kinds, tags_long, network_kind_rollup, network_matrix, cadence_grid, relative_thresholds, relative_tags, topk_per_kind,
         actor_groups, score_conflicts,
     )
-    return {f.__name__: f for f in own} | more.queries() | ranges.queries() | signed.queries() | runs.queries()
+    return {f.__name__: f for f in own} | more.queries() | ranges.queries() | signed.queries() | runs.queries() | views.queries()
