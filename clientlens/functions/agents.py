@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,24 +71,36 @@ def agent_table(spark, agents=None) -> DataFrame:
     return spark.createDataFrame(rows, "rank int, category string, token string")
 
 
+#: Agents up to which their tokens are one array that each User-Agent is held against.
+MOST_AGENTS = 10_000
+
+
 def agent_profile(uas: DataFrame, agents: DataFrame | None = None) -> DataFrame:
     """One row per distinct ``user_agent`` of ``uas`` with all that it says.
 
-    Tokens are matched on distinct values against the agent table, the smaller
-    side of a nested loop, which Spark broadcasts while its size allows; a category's first token in order wins.
+    Tokens are matched on distinct values: all of them are one literal array, so no
+    side is joined; only a list of more than ``MOST_AGENTS`` is.  The first token
+    in order wins, of all and of each category (``category_tokens``).
     """
     ua = F.col("user_agent")
     d = uas.select("user_agent").distinct()
     known = agents if agents is not None else agent_table(d.sparkSession)
-    hit = d.join(known, F.lower(ua).contains(F.col("token"))).groupBy("user_agent").agg(
-        F.min(F.struct("rank", "category", "token")).alias("first"), F.collect_set("category").alias("categories")
-    )
-    d = d.join(hit, "user_agent", "left")
+    known = known.select(F.col("rank").cast("int").alias("rank"), "category", F.lower("token").alias("token"))
+    some = known.limit(MOST_AGENTS + 1).collect()
+    if len(some) <= MOST_AGENTS:
+        table = F.from_json(F.lit(json.dumps([r.asDict() for r in some])), "array<struct<rank:int,category:string,token:string>>")
+        d = d.withColumn("_hits", F.array_sort(F.filter(table, lambda x: F.contains(F.lower(ua), x["token"]))))
+    else:
+        hit = d.join(known, F.lower(ua).contains(F.col("token"))).groupBy("user_agent").agg(F.array_sort(F.collect_list(F.struct("rank", "category", "token"))).alias("_hits"))
+        d = d.join(hit, "user_agent", "left")
+    cats = F.array_distinct(F.transform("_hits", lambda x: x["category"]))
+    first = F.transform(cats, lambda c: F.get(F.filter("_hits", lambda x: x["category"] == c), F.lit(0))["token"])
+    d = d.withColumns({"first": F.get("_hits", F.lit(0)), "categories": cats, "category_tokens": F.map_from_arrays(cats, first)})
     crawler = F.coalesce(F.arrays_overlap("categories", F.array(*map(F.lit, C.KNOWN_CRAWLERS))), F.lit(False))
     return d.select(
         "user_agent", is_empty(ua).alias("ua_empty"), looks_like_browser(ua).alias("ua_browser"), declares_bot(ua).alias("ua_bot"),
         has_any(ua, C.HEADLESS).alias("ua_headless"), has_any(ua, C.LIBRARIES).alias("ua_library"), is_feed_reader(ua).alias("ua_feed"),
         has_any(ua, C.APPS).alias("ua_app"), has_any(ua, C.SCANNERS).alias("ua_scanner"), has_any(ua, C.MONITORS).alias("ua_monitor"),
-        crawler.alias("ua_crawler"), F.col("first.category").alias("agent_category"), F.col("first.token").alias("agent_token"),
+        crawler.alias("ua_crawler"), F.col("first.category").alias("agent_category"), F.col("first.token").alias("agent_token"), "category_tokens",
         product_token(ua).alias("product"), browser_family(ua).alias("family"), browser_major(ua).alias("major"),
     )

@@ -6,6 +6,7 @@ from __future__ import annotations
 import gzip
 import io
 from collections.abc import Iterator
+from urllib.parse import quote
 
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
@@ -20,7 +21,7 @@ SCHEMA = "file string, part string, line bigint, value string, bytes_read bigint
 
 
 def list_files(spark: SparkSession, paths: list[str]) -> list[tuple[str, int]]:
-    """(URI, size) of the files that paths, folders and patterns name, in the order
+    """(path, size) of the files that paths, folders and patterns name, in the order
     given; those of a folder or pattern by name.  A path given twice is there twice."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
     conf = spark.sparkContext._jsc.hadoopConfiguration()
@@ -33,7 +34,7 @@ def list_files(spark: SparkSession, paths: list[str]) -> list[tuple[str, int]]:
                 if not s.getPath().getName().startswith(("_", ".")):
                     add(system, s)
         else:
-            out.append((status.getPath().toUri().toString(), status.getLen()))
+            out.append((status.getPath().toString(), status.getLen()))
 
     for p in paths:
         path = hadoop.Path(p)
@@ -46,6 +47,11 @@ def list_files(spark: SparkSession, paths: list[str]) -> list[tuple[str, int]]:
     return out
 
 
+def opened(path: str) -> tuple[fs.FileSystem, str]:
+    """File system and place of a path as Hadoop writes it."""
+    return fs.FileSystem.from_uri(quote(path, safe=":/@"))
+
+
 class End(InputPartition):
     def __init__(self, file: str, size: int, tail: int):
         self.file, self.size, self.tail = file, size, tail
@@ -80,7 +86,7 @@ class EndsReader(DataSourceReader):
     def read(self, part: End) -> Iterator[tuple]:
         if not part.file:
             return
-        system, path = fs.FileSystem.from_uri(part.file)
+        system, path = opened(part.file)
         packed = part.file.endswith(".gz")
         if part.tail:
             if packed or not part.size:

@@ -16,6 +16,9 @@ PRESETS = {
     "vhost_combined": '%v:%p %h %l %u %t "%r" %>s %b "%{Referer}i" "%{User-Agent}i"',
 }
 SIMPLE = set("halutrmUqHsbBDTIOSvVpPkXRf")
+#: Where the other directives go: keys of ``extra``, alone and by their parameter.
+ALONE = {"I": "bytes_in", "O": "bytes_out", "S": "bytes_total", "p": "port", "P": "pid", "k": "keepalive", "X": "conn_status", "R": "handler", "f": "filename"}
+NAMED = {"i": "", "o": "out:", "C": "cookie:", "n": "note:", "e": "env:", "x": "ssl:", "p": "port:", "P": "pid:"}
 NUMERIC, TIME = r"-?\d*|-", r"\[[^\]]*\]"
 HEADERS = {"referer": "referer", "user-agent": "user_agent", "host": "host_header", "x-forwarded-for": "forwarded_raw", "content-type": "request_type"}
 
@@ -138,8 +141,8 @@ def columns(fields: list[Token], groups: list[Column]) -> dict[str, Column]:
             out[HEADERS[name]] = v
         elif t.letter == "o" and name == "content-type":
             out["content_type"] = v
-        elif t.letter in "ioCenx" and t.name is not None:
-            key = {"i": "", "o": "out:", "e": "env:", "C": "cookie:", "n": "note:", "x": "x:"}[t.letter] + t.name
+        elif (t.letter in NAMED and t.name is not None) or t.letter in ALONE:
+            key = ALONE[t.letter] if t.name is None else NAMED[t.letter] + t.name
             extra.append(F.struct(F.lit(key).alias("key"), v.alias("value")))
         elif t.letter == "t":
             out["ts"] = clf_time(v) if t.name is None else F.coalesce(

@@ -16,9 +16,9 @@ GROUP_MARK = "\x1f"
 MOST_FILES = 100_000
 
 
-def _plain(uri):
-    """A file's URI as both listings write it: decoded, one slash after file:."""
-    return F.regexp_replace(F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B"))), "^file:/+", "file:/")
+def _plain(path):
+    """A file's path as both listings write it: one slash after file:."""
+    return F.regexp_replace(path, "^file:/+", "file:/")
 
 
 def read_lines(spark: SparkSession, paths: list[str], files: list[tuple[str, int]] | None = None) -> DataFrame:
@@ -36,7 +36,7 @@ def read_lines(spark: SparkSession, paths: list[str], files: list[tuple[str, int
     ranks = F.broadcast(ranks) if len(files) <= MOST_FILES else ranks
     names = list(dict.fromkeys(f for f, _ in files))
     out = spark.read.text(names).select(
-        _plain(F.col("_metadata.file_path")).alias("_file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"), F.make_valid_utf8("value").alias("value")
+        _plain(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))).alias("_file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"), F.make_valid_utf8("value").alias("value")
     )
     out = out.join(ranks, "_file").drop("_file")
     pieces = F.transform(
@@ -86,9 +86,27 @@ def epoch_or_rfc3339(c):
     return F.when(whole, F.timestamp_micros(micros)).otherwise(F.coalesce(fraction, c.try_cast("timestamp")))
 
 
+#: Headers of signed requests, by the names that they are kept under.
+SIGNED_HEADERS = ("Signature-Input", "Signature", "Signature-Agent")
+
+
+def without_lone_surrogates(c):
+    """A JSON text whose escapes of half a character are those of U+FFFD."""
+    high, low = r"\\u[dD][89abAB][0-9a-fA-F]{2}", r"\\u[dD][c-fC-F][0-9a-fA-F]{2}"
+    c = F.regexp_replace(c, rf"{high}(?!{low})", r"\\ufffd")
+    return F.regexp_replace(c, rf"(?<!{high}){low}", r"\\ufffd")
+
+
+def _signed_headers(text):
+    """The headers of signed requests in an object of any spelling."""
+    given = F.from_json(text, "map<string,string>")
+    low = F.transform_keys(given, lambda k, v: F.lower(k))
+    return F.create_map(*[x for n in SIGNED_HEADERS for x in (F.lit(n), low[n.lower()])])
+
+
 def parse_cloudflare(lines: DataFrame) -> DataFrame:
     """Entries of NDJSON request logs; values of another type read as null."""
-    j = F.from_json("value", CLOUDFLARE)
+    j = F.from_json(without_lone_surrogates(F.col("value")), CLOUDFLARE)
     good = F.col("value").rlike(r"^\s*\{") & j.isNotNull()
     d = lines.withColumn("j", j).withColumn("ok", good & F.col("j.ClientIP").isNotNull())
     uri = F.coalesce("j.ClientRequestURI", "j.ClientRequestPath")
@@ -103,7 +121,7 @@ def parse_cloudflare(lines: DataFrame) -> DataFrame:
         F.col("j.EdgeResponseBytes").alias("bytes_sent"), F.col("j.ClientRequestReferer").alias("referer"),
         F.col("j.ClientRequestUserAgent").alias("user_agent"), F.col("j.ClientRequestHost").alias("host_header"), none.alias("server_name"),
         none.alias("content_type"), F.when(scheme.isin("http", "https"), scheme).alias("scheme"),
-        F.map_filter(F.create_map(F.lit("asn"), F.col("j.ClientASN").cast("string")), lambda k, v: v.isNotNull()).alias("extra"),
+        F.map_filter(F.map_concat(F.create_map(F.lit("asn"), F.col("j.ClientASN").cast("string")), F.coalesce(_signed_headers(F.col("j.RequestHeaders")), F.create_map().cast("map<string,string>"))), lambda k, v: v.isNotNull()).alias("extra"),
         F.when(~F.coalesce("ok", F.lit(False)), "invalid_json").alias("skip_reason"),
     )
 

@@ -11,11 +11,10 @@ import struct
 from collections import OrderedDict
 from collections.abc import Iterator
 
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from clientlens.sources.ends import list_files
+from clientlens.sources.ends import list_files, opened
 
 # Fixed values of the format: the mark before the metadata, where to look for it, the gap after the tree.
 MARK, MARK_WITHIN, GAP = b"\xab\xcd\xefMaxMind.com", 128 << 10, 16
@@ -32,7 +31,7 @@ class Paged:
     """Bytes of a file by place, a bounded number of pages at a time."""
 
     def __init__(self, uri: str):
-        system, path = fs.FileSystem.from_uri(uri)
+        system, path = opened(uri)
         self.file = system.open_input_file(path)
         self.size, self.pages = self.file.size(), OrderedDict()
 
