@@ -96,8 +96,8 @@ def multipliers(hist: DataFrame, targets: DataFrame, share: float = SHARE, most:
             "mix-state",
         )
         if not st.where("not done").limit(1).count():
-            break
-    return st
+            return st
+    raise RuntimeError(f"multipliers are not found after {rounds} rounds")
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
