@@ -111,11 +111,12 @@ def verified(found: DataFrame, agents: DataFrame | None, agent_ranges: DataFrame
     ``agents`` may have domains, asns and fallback beside its token; ``agent_ranges``
     are (agent_token, lo, hi), whole lists; ``answers`` are lookups by address."""
     texts = F.array().cast("array<string>")
-    facts_ = agents.groupBy(F.col("token").alias("agent_token")).agg(
+    facts_ = agents.groupBy(F.lower("token").alias("agent_token")).agg(
         *[F.min_by(c, "rank").alias(c) if c in agents.columns else F.lit(None).cast(t).alias(c) for c, t in (("domains", "array<string>"), ("asns", "array<bigint>"), ("fallback", "boolean"))]
     )
     c = found.where("agent_token is not null").select(*clients.KEY, "agent_token", "as_number").join(facts_, "agent_token")
     if agent_ranges is not None:
+        agent_ranges = agent_ranges.withColumn("agent_token", F.lower("agent_token"))
         inside = network.in_own_ranges(c, agent_ranges).select("agent_token", F.col("ip").alias("client_ip"), F.lit(True).alias("inside"))
         c = c.join(inside, ["agent_token", "client_ip"], "left").join(agent_ranges.select("agent_token", F.lit(True).alias("has_ranges")).distinct(), "agent_token", "left")
     else:
@@ -177,7 +178,7 @@ def analyze(
     counters = logs.skip_counts(parsed, since, vhosts)
     entries = parsed.where(F.col("skip_reason").isNull() & logs.in_window(since) & logs.on_hosts(vhosts)).drop("value")
     tokens = [agents.where("size(domains) > 0").select(F.lower("token").alias("agent_token"))] if agents is not None and "domains" in agents.columns else []
-    tokens += [agent_ranges.select("agent_token")] if agent_ranges is not None else []
+    tokens += [agent_ranges.select(F.lower("agent_token").alias("agent_token"))] if agent_ranges is not None else []
     verifiable = reduce(DataFrame.union, tokens) if tokens else None
     e = kept(with_flags(attributed(with_as(entries, as_db, by_asn), ranges, egress, agents, identity, verifiable)), "entries")
     signed = None

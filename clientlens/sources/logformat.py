@@ -80,21 +80,20 @@ def pattern(tokens: list[Token]) -> tuple[str, list[Token]]:
     for a, b in zip(tokens, tokens[1:], strict=False):
         if a.letter and b.letter and (a.letter, b.letter) != ("U", "q"):
             raise LogFormatError(f"%{a.letter} and %{b.letter} need something between them")
-    units, lit = [], ""
+    units, lit, quoted = [], "", False
     for t in tokens:
         if t.literal:
-            lit += re.sub(r"([^A-Za-z0-9 ])", r"\\\1", t.literal)
+            text = t.literal
+            if quoted and text.startswith('"'):  # the closing quote belongs to its directive
+                units[-1], text, quoted = units[-1] + r"\"", text[1:], False
+            lit += re.sub(r"([^A-Za-z0-9 ])", r"\\\1", text)
         else:
             units.append(lit + (r"(\?.*?)?" if t.letter == "q" else _group(t)))
-            lit = ""
+            lit, quoted = "", t.quoted
     need = next((k + 1 for k, t in enumerate(fields) if t.letter in "r" or (t.letter == "U")), 1)
     body, tail = "".join(units[:need]), ""
-    close = re.match(r'\\?"', lit)
     for k in range(len(units) - 1, need - 1, -1):
         tail = f"(?:{units[k]}{tail})?"
-    if close and fields and fields[-1].quoted and len(units) > need:
-        tail = tail.replace(units[-1], units[-1] + lit, 1)
-        lit = ""
     return f"^{body}{tail}{lit}\\s*$", fields
 
 
