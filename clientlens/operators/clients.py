@@ -88,10 +88,15 @@ def carried(slices: DataFrame) -> DataFrame:
 
 
 def with_order(flagged: DataFrame, parts: int | None = None) -> DataFrame:
+    """:func:`ordered` entries, and whether the referer is a page this client fetched
+    before (``followed``)."""
+    return with_first(ordered(flagged, parts))
+
+
+def ordered(flagged: DataFrame, parts: int | None = None) -> DataFrame:
     """What needs an entry's predecessors: change of top segment, gap since the
-    latest earlier page-like request, whether robots.txt came first, whether the
-    referer is a page this client fetched before, and the group of requests
-    (``_wait``) that no ten quiet seconds cut."""
+    latest earlier page-like request, whether robots.txt came first, and the group
+    of requests (``_wait``) that no ten quiet seconds cut."""
     d = in_slices(flagged, parts)
     carry = F.broadcast(carried(d)).withColumnsRenamed({k: f"_{k}" for k in KEY} | {"_part": "_p"})  # two rows a partition at most
     same = (F.col("_part") == F.col("_p")) & F.col(KEY[0]).eqNullSafe(F.col(f"_{KEY[0]}")) & F.col(KEY[1]).eqNullSafe(F.col(f"_{KEY[1]}"))
@@ -100,12 +105,15 @@ def with_order(flagged: DataFrame, parts: int | None = None) -> DataFrame:
     newest = F.greatest(F.unix_micros("_newest"), c["newest"])
     own = F.col("has_referer") & (F.col("ref_path") == F.col("path"))
     wait = F.when((F.col("_wait") == 0) & c.isNotNull(), c["wait"]).otherwise(F.concat_ws(":", F.col("_part").cast("string"), F.col("_wait").cast("string")))
-    d = d.withColumns({
+    return d.withColumns({
         "turned": F.coalesce(F.when(F.col("_head"), c["top"]).otherwise(F.col("_top")) != F.col("top"), F.lit(False)),
         "delta": F.when(~F.col("static") & (F.unix_micros("ts") >= newest), (F.unix_micros("ts") - newest) / 1e6),
         "robots_first": F.col("robots_file") & (F.col("_content") == 0) & ~F.coalesce(c["content"], F.lit(False)),
         "self_ref": own, "_wait": wait, "_pages": F.coalesce("_pages", c["pages"]), "_late": (F.col("_late") == 1) | c.isNotNull(),
     }).drop("_c")
+
+
+def with_first(d: DataFrame) -> DataFrame:
     # first time each path was fetched
     first = d.groupBy(*KEY, "path").agg(F.min("seq").alias("first_seq")).select(
         F.col("client_ip").alias("_i"), F.col("client_ua").alias("_u"), F.col("path").alias("_p"), "first_seq"
@@ -118,10 +126,10 @@ def with_order(flagged: DataFrame, parts: int | None = None) -> DataFrame:
 def coload(flagged: DataFrame) -> DataFrame:
     """(client, pages_total, pages_satisfied) of clients with timed entries, see
     :func:`coload_ordered`."""
-    return coload_ordered(with_order(flagged))
+    return coload_ordered(ordered(flagged))
 
 
-def coload_ordered(ordered: DataFrame) -> DataFrame:
+def coload_ordered(entries: DataFrame) -> DataFrame:
     """A page is satisfied by an asset that names it as referer within ten seconds;
     one asset satisfies one page, the oldest waiting, and pages that waited longer
     fall away.
@@ -132,7 +140,7 @@ def coload_ordered(ordered: DataFrame) -> DataFrame:
     of other entries only those that can push the clock past late ones are.
     """
     kind = F.when(F.col("page"), "P").when(F.col("static") & ~F.col("chrome_asset") & F.col("has_referer"), "A").otherwise("O")
-    ev = ordered.where("ts is not null").select(*KEY, "seq", "_wait", "_pages", "_late", _seconds().alias("t"), kind.alias("k"), F.when(kind == "P", F.col("path")).otherwise(F.col("ref_path")).alias("p"))
+    ev = entries.where("ts is not null").select(*KEY, "seq", "_wait", "_pages", "_late", _seconds().alias("t"), kind.alias("k"), F.when(kind == "P", F.col("path")).otherwise(F.col("ref_path")).alias("p"))
     ev = ev.where("k = 'P' or (_pages is not null and (k = 'A' or _late))")
     pend = "array<struct<t:double,p:string>>"
 
@@ -153,7 +161,7 @@ def coload_ordered(ordered: DataFrame) -> DataFrame:
     start = F.struct(F.array().cast(pend).alias("pend"), F.lit(0).alias("hits"))
     items = F.sort_array(F.collect_list(F.struct("seq", "t", "k", "p")))
     groups = ev.groupBy(*KEY, "_wait").agg(F.count_if(F.col("k") == "P").alias("pages"), F.aggregate(items, start, step, lambda a: a["hits"]).alias("hits"))
-    timed = ordered.where("ts is not null").groupBy(*KEY).agg(F.lit(0).cast("bigint").alias("pages"), F.lit(0).alias("hits"))
+    timed = entries.where("ts is not null").groupBy(*KEY).agg(F.lit(0).cast("bigint").alias("pages"), F.lit(0).alias("hits"))
     return groups.select(*KEY, "pages", "hits").unionByName(timed).groupBy(*KEY).agg(F.sum("pages").alias("pages_total"), F.sum("hits").cast("int").alias("pages_satisfied"))
 
 
@@ -164,7 +172,7 @@ def gap_bucket(delta: Column) -> Column:
     return F.when(delta <= 0, F.lit(0)).otherwise(F.least(F.greatest(at, F.lit(1)), F.lit(C.GAP_BUCKETS - 1))).cast("int")
 
 
-def gaps(ordered: DataFrame) -> DataFrame:
+def gaps(entries: DataFrame) -> DataFrame:
     """(client, iat_n, iat_mean, iat_sq, iat_min, iat_median, iat_p95): exact up to
     256 gaps; beyond, quantiles are read off a mergeable histogram of 102 buckets, as
     the geometric centre of a bucket.
@@ -172,7 +180,7 @@ def gaps(ordered: DataFrame) -> DataFrame:
     Gaps are summed by slice and bucket first; lists exist only for buckets of up to
     256 gaps, so no client's gaps are ever in one place.
     """
-    d = ordered.where("delta is not null").withColumn("bucket", gap_bucket(F.col("delta")))
+    d = entries.where("delta is not null").withColumn("bucket", gap_bucket(F.col("delta")))
     n = F.count(F.lit(1))
     some = d.groupBy(*KEY, "_part", "bucket").agg(
         n.alias("n"), F.sum("delta").alias("s"), F.sum(F.col("delta") * F.col("delta")).alias("sq"), F.min("delta").alias("least"), F.when(n <= C.EXACT_DELTAS, F.collect_list("delta")).alias("list"),
@@ -201,12 +209,16 @@ def gaps(ordered: DataFrame) -> DataFrame:
 
 
 def features(flagged: DataFrame) -> DataFrame:
-    """One row of measures per client.
+    return features_of(ordered(flagged))
+
+
+def features_of(entries: DataFrame) -> DataFrame:
+    """One row of measures per client, from :func:`ordered` entries.
 
     The log is read once, into ordered slices; from these come totals with partial
     sums, gaps, the per-minute peak (grouped by minute first), and the co-load fold.
     """
-    d = with_order(flagged)
+    d = with_first(entries)
     c = lambda e: F.count_if(e)
     s = F.col("status")
     low = d.groupBy(*KEY).agg(
@@ -224,10 +236,10 @@ def features(flagged: DataFrame) -> DataFrame:
         c(F.col("has_referer")).alias("referers"), c(F.col("self_ref")).alias("self_referers"), c(F.col("followed")).alias("followed"),
         c(F.col("turned")).alias("turns"),
     )
-    minute = d.where("ts is not null").groupBy(*KEY, F.floor(F.unix_seconds("ts") / 60).alias("m")).agg(F.count(F.lit(1)).alias("n"))
+    minute = entries.where("ts is not null").groupBy(*KEY, F.floor(F.unix_seconds("ts") / 60).alias("m")).agg(F.count(F.lit(1)).alias("n"))
     peak = minute.groupBy(*KEY).agg(F.max("n").alias("peak_rpm"))
     out = low
-    for other in (peak, coload_ordered(d), gaps(d)):
+    for other in (peak, coload_ordered(entries), gaps(entries)):
         o = other.withColumnsRenamed({"client_ip": "_i", "client_ua": "_u"})
         out = out.join(o, F.col("client_ip").eqNullSafe(F.col("_i")) & F.col("client_ua").eqNullSafe(F.col("_u")), "left").drop("_i", "_u")
     return finalize(out)

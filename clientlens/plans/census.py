@@ -132,10 +132,11 @@ def classified(
     flagged_entries: DataFrame, agents: DataFrame | None = None, threshold: float = C.UNKNOWN_THRESHOLD, min_requests: int = 1, *,
     agent_ranges: DataFrame | None = None, answers: DataFrame | None = None, by_asn: DataFrame | None = None, signatures_: DataFrame | None = None, shadow: DataFrame | None = None,
 ) -> DataFrame:
-    """One row per client: features, network, checks, scores, kind, confidence and tags."""
-    e = flagged_entries
+    """One row per client: features, network, checks, scores, kind, confidence and tags.
+    The entries are read once, into ordered slices; all else reads those."""
+    e = clients.ordered(flagged_entries)
     profile = agent_profile(e, agents)
-    f = clients.features(e).where(F.col("requests") >= min_requests)
+    f = clients.features_of(e).where(F.col("requests") >= min_requests)
     f = joined(f, facts(e), clients.KEY)
     if agents is not None and {"domains", "asns"} & set(agents.columns) or agent_ranges is not None:
         named = f.join(profile.select(F.col("user_agent").alias("_u"), "agent_token"), F.col("user_agent").eqNullSafe(F.col("_u")), "left").drop("_u")
