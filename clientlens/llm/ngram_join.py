@@ -333,15 +333,15 @@ def _across(quota: int):
 
 def in_blocks(members: DataFrame, classes: DataFrame, quota: int) -> DataFrame:
     """(a, b, more): candidates of different components within the keys of
-    ``members`` (key, node, component).
+    ``members`` (key, node, component, and w, the bytes of the node's sketch).
 
     A key's sets are dealt into blocks, the sets of a component together; a
     component with too many has blocks of its own.  Blocks of a key whose boxes
     exclude a link never meet; the others are compared two by two.  Nothing that
     the sketches exclude is written.
     """
-    m = members.join(classes.select("node", "n", "sketch"), "node").withColumn("w", F.octet_length("sketch"))
-    per = m.groupBy("key", "component").agg(F.sum("w").alias("own"))
+    m = members.drop("w").join(classes.select("node", "n", "sketch"), "node")
+    per = members.groupBy("key", "component").agg(F.sum("w").alias("own"))
     of = per.groupBy("key").agg(F.sum("own").alias("all"))
     sizes = stored(per.join(of, "key"), "block-sizes")
     crowd = F.col("own") > BLOCK_BYTES
@@ -414,7 +414,7 @@ def ngram_components(docs: DataFrame, parts: int | None = PARTS) -> DataFrame:
         .agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")),
         "classes",
     )
-    keyed = classes.select(F.explode("keys").alias("key"), "node")
+    keyed = classes.select(F.explode("keys").alias("key"), "node", F.octet_length("sketch").alias("w"))
     ends = stored(
         keyed.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi"), "key-ends"
     )
@@ -428,10 +428,10 @@ def ngram_components(docs: DataFrame, parts: int | None = PARTS) -> DataFrame:
     comp = connected_components(_verify(tested, classes, d))
     quota, some, n_open = QUOTA, None, 0
     while True:
-        marked = shared.select("key", "node").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        marked = shared.select("key", "node", "w").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
         if some is not None:  # only what was left open
             open_ = some.join(comp.withColumnRenamed("node", "c"), "c", "left").select(F.coalesce("component", "c").alias("component")).distinct()
-            marked = marked.join(F.broadcast(open_) if n_open <= SMALL_LIST else open_, "component", "left_semi").select("key", "node", "component")
+            marked = marked.join(F.broadcast(open_) if n_open <= SMALL_LIST else open_, "component", "left_semi").select("key", "node", "w", "component")
         marked = stored(marked.distinct(), "marked-keys")
         per = marked.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.count(F.lit(1)).alias("comps"), F.sum("n").alias("sets"))
         mixed = per.where("comps > 1").select("key", (F.col("sets") > FEW).alias("many"))
