@@ -23,7 +23,7 @@ class Pieces:
     of the vocabulary are encoded whole.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 200_000):
         import public_tokenizers
         import regex
         from tokenizers import Tokenizer
@@ -32,7 +32,8 @@ class Pieces:
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.parts = regex.compile(public_tokenizers.PATTERN).findall
-        self.most, self.known = most, {}
+        # two generations: what is still in use moves to the younger one, the older goes
+        self.most, self.known, self.older = most, {}, {}
 
     def raw(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u2").tobytes()
@@ -54,11 +55,13 @@ class Pieces:
         if self.added is not None and self.added.search(text):
             return self.raw(text)
         if len(self.known) > self.most:
-            self.known.clear()
+            self.known, self.older = {}, self.known
         parts = self.parts(text)
         new = set(parts).difference(self.known)
         if new:
-            self.learn(new)
+            held = new.intersection(self.older)
+            self.known.update((p, self.older[p]) for p in held)
+            self.learn(new - held)
         out = b"".join(map(self.known.__getitem__, parts))
         for p in new:
             if len(p) > 64:
