@@ -59,9 +59,8 @@ class Pieces:
         parts = self.parts(text)
         new = set(parts).difference(self.known)
         if new:
-            held = new.intersection(self.older)
-            self.known.update((p, self.older[p]) for p in held)
-            self.learn(new - held)
+            self.known.update((p, self.older[p]) for p in new if p in self.older)
+            self.learn({p for p in new if p not in self.known})
         out = b"".join(map(self.known.__getitem__, parts))
         for p in new:
             if len(p) > 64:
