@@ -57,3 +57,45 @@ def compliance(flagged: DataFrame, rules: list[tuple[str, bool, str]], keys: lis
         F.count(F.lit(1)).alias("n"), F.count_if(bad).alias("disallowed_hits"), F.bool_or("robots_file").alias("fetched"))
     v = F.when(F.col("disallowed_hits") > 0, "ignores").when(F.lit(bool(rules)) & (F.col("fetched") | (F.col("n") >= 5)), "respects").otherwise("unknown")
     return g.select(*keys, "disallowed_hits", v.alias("verdict"))
+
+
+def groups(text: str) -> list[tuple[str, int | None]]:
+    """(agent, seconds between requests or None) of each group's agents, in the order
+    of the file; agents as they are written."""
+    out: list[list] = []
+    agents: list[list] = []
+    open_group = False
+    for line in text[: 512 << 10].splitlines():
+        key, _, value = line.split("#", 1)[0].partition(":")
+        key, value = key.strip().lower(), value.strip()
+        if key == "user-agent":
+            agents = agents if open_group else []
+            agents.append([value, None])
+            out.append(agents[-1])
+            open_group = True
+        elif key in ("allow", "disallow", "crawl-delay"):
+            open_group = False
+            if key == "crawl-delay" and value.isdigit():
+                for a in agents:
+                    a[1] = int(value)
+    return [(a, d) for a, d in out]
+
+
+def with_delay(clients: DataFrame, text: str) -> DataFrame:
+    """Adds crawl_delay, delay_respected and matched_group to ``clients`` (product,
+    iat_median).
+
+    Both go by the first group in the file whose name the product holds, else by "*":
+    this is what is shown, and may be another group than the longest name, whose
+    rules :func:`compliance` judges by.
+    """
+    own = [(a, d) for a, d in groups(text) if a != "*"]
+    rest = [d for a, d in groups(text) if a == "*"]
+    product = F.lower("product")
+    delay = F.lit(rest[0] if rest else None).cast("double")
+    name = F.lit("*" if rest else None).cast("string")
+    for a, d in reversed(own):
+        fits = F.coalesce(F.contains(product, F.lit(a.lower())), F.lit(False))
+        delay, name = F.when(fits, F.lit(d).cast("double")).otherwise(delay), F.when(fits, F.lit(a)).otherwise(name)
+    d = clients.withColumns({"crawl_delay": delay, "matched_group": name})
+    return d.withColumn("delay_respected", F.col("iat_median") >= F.col("crawl_delay"))

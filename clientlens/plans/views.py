@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clientlens.operators import calibrate, clients, inspect, rollup
+from clientlens.functions.agents import agent_profile
+from clientlens.operators import calibrate, clients, inspect, robots, rollup
 from clientlens.plans import census, derived
 
 KEY = clients.KEY
@@ -71,8 +72,19 @@ def site_majority(spark, d) -> DataFrame:
     return calibrate.site_host(_flagged(spark, d))
 
 
+DELAYS = "User-agent: Google\nCrawl-delay: 5\n\nUser-agent: Googlebot\nCrawl-delay: 900\nDisallow: /x\n\nUser-agent: *\nCrawl-delay: 60\nUser-agent: GPTBot\nDisallow: /\n"
+
+
+def crawl_delay(spark, d) -> DataFrame:
+    e = _flagged(spark, d)
+    said = agent_profile(e).select(F.col("user_agent").alias("_u"), "product")
+    f = clients.features(e)
+    f = f.join(said, F.col("client_ua").eqNullSafe(F.col("_u")), "left")
+    return robots.with_delay(f, DELAYS).select(*KEY, "crawl_delay", "matched_group", F.col("delay_respected").cast("int").alias("delay_respected"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (trace_forest, shared_axis, actor_patterns, kind_patterns, calibration, country_majority, site_majority)}
+    return {f.__name__: f for f in (crawl_delay, trace_forest, shared_axis, actor_patterns, kind_patterns, calibration, country_majority, site_majority)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -113,5 +125,7 @@ def oracle_sql() -> dict[str, str]:
         "calibration": f"WITH {customers} SELECT r.section, place::INT AS place, r.key, requests, clients, a.t AS kinds, b.t AS agents, greatest(total - 10, 0) AS more FROM r JOIN {best('kind')} a ON r.section = a.section AND r.key = a.key JOIN {best('ua')} b ON r.section = b.section AND r.key = b.key WHERE place <= 10",
         "country_majority": """WITH v AS (SELECT 'fold' || o_custkey % 500 AS client_ip, ['DE', 'FR', 'DE', 'SE'][o_orderkey % 4 + 1] AS country FROM orders WHERE o_orderkey % 5 <> 0 AND o_orderkey % 7 <> 0),
             n AS (SELECT client_ip, country, count(*) AS n FROM v GROUP BY client_ip, country), t AS (SELECT client_ip, count(*) AS total FROM v GROUP BY client_ip) SELECT client_ip, country FROM n JOIN t USING (client_ip) WHERE n * 2 > total""",
+        "crawl_delay": f"""WITH {q.FLAGS}, {q.ORDERED}, {q.FEATURES}, dly AS (SELECT {key}, CASE WHEN iat_n <= 256 THEN med ELSE {q._binned('0.5')} END AS med_, CASE WHEN contains(client_ua, 'Googlebot') THEN 5.0 WHEN contains(client_ua, 'GPTBot') THEN NULL ELSE 60.0 END::DOUBLE AS crawl_delay,
+            CASE WHEN contains(client_ua, 'Googlebot') THEN 'Google' WHEN contains(client_ua, 'GPTBot') THEN 'GPTBot' ELSE '*' END AS matched_group FROM q) SELECT {key}, crawl_delay, matched_group, (med_ >= crawl_delay)::INT AS delay_respected FROM dly""",
         "site_majority": f"WITH {q.FLAGS}, n AS (SELECT ref_host, count(*) AS n FROM f WHERE ref_host IS NOT NULL GROUP BY ref_host) SELECT ref_host AS site FROM n WHERE n * 2 > (SELECT sum(n) FROM n)",
     }

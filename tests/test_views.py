@@ -73,3 +73,14 @@ def test_majorities_are_strict(spark):
     e = spark.createDataFrame([("a.org",), ("a.org",), ("b.org",), (None,)], "ref_host string")
     assert [r["site"] for r in calibrate.site_host(e).collect()] == ["a.org"] and calibrate.site_host(e.where("ref_host is null")).count() == 0
     assert calibrate.site_host(e.union(spark.createDataFrame([("b.org",)], "ref_host string"))).count() == 0
+
+
+def test_the_group_shown_is_the_first_in_the_file(spark):
+    from clientlens.operators import robots
+
+    text = "User-agent: Google\nCrawl-delay: 5\nUser-agent: Googlebot\nUser-agent: x\nCrawl-delay: 9 # s\n\nUser-agent: *\nCrawl-delay: two\n"
+    assert robots.groups(text) == [("Google", 5), ("Googlebot", 9), ("x", 9), ("*", None)]
+    c = spark.createDataFrame([("Googlebot", 6.0), ("X", 8.0), ("other", 1.0), (None, None), ("x", None)], "product string, iat_median double")
+    got = [tuple(r) for r in robots.with_delay(c, text).select("crawl_delay", "matched_group", "delay_respected").collect()]
+    assert got == [(5.0, "Google", True), (9.0, "x", False), (None, "*", None), (None, "*", None), (9.0, "x", None)]
+    assert robots.with_delay(c, "").where("crawl_delay is not null or matched_group is not null").count() == 0
