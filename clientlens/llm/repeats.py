@@ -28,6 +28,8 @@ from clientlens.llm.suffixes import common_prefixes, suffix_array
 
 LENGTH, GRAM, WIDE = 100, 16, 32
 SIDE = (LENGTH - GRAM) // 2  # a match reaches this far left or right of its owner
+#: Bits of a hash of either side; two sides that only agree by chance are looked at.
+SIDE_BITS = 16
 CHUNK, PAGE = 1 << 18, 11  # bytes looked at in one go; bits of a place within a page
 SHARD_BYTES = 1 << 17
 #: Text bytes and stretches that a task of the two exchanges takes, about.
@@ -95,11 +97,11 @@ def owners(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     for t in range(-(-(2 * LENGTH - GRAM) // WIDE)):
         ctx = mix64(ctx * _POWERS[0] + wide[np.minimum(lo + WIDE * t, end - WIDE)])
     # the outer WIDE of the SIDE bytes on either side, where the stretch reaches as far
-    left = np.where(p - lo >= SIDE, mix64(wide[np.maximum(p - SIDE, 0)]) >> np.uint64(33), np.uint64(0))
-    right = np.where(end - p - GRAM >= SIDE, mix64(wide[np.minimum(p + GRAM + SIDE - WIDE, n - WIDE)]) >> np.uint64(33), np.uint64(0))
+    left = np.where(p - lo >= SIDE, mix64(wide[np.maximum(p - SIDE, 0)]) >> np.uint64(64 - SIDE_BITS), np.uint64(0))
+    right = np.where(end - p - GRAM >= SIDE, mix64(wide[np.minimum(p + GRAM + SIDE - WIDE, n - WIDE)]) >> np.uint64(64 - SIDE_BITS), np.uint64(0))
     of = np.searchsorted(begin, lo, side="right") - 1  # of empty texts the last, which is none
     off = begin[of]
-    return h[p], ctx, ((left << np.uint64(32)) | right).astype(np.int64), of, lo - off, hi - off, p - off
+    return h[p], ctx, ((left << np.uint64(SIDE_BITS)) | right).astype(np.int64), of, lo - off, hi - off, p - off
 
 
 def _pack(lo, hi):
@@ -174,6 +176,7 @@ def _scan(hot: np.ndarray):
             h, ctx, doc, tie, pos, sides = (x[o] for x in (h, ctx, doc, tie, pos, sides))
             done = rank > 1
             h = np.where(done, mix64((doc ^ tie ^ (pos << 7)).view(np.uint64)).view(np.int64), h)  # done rows go anywhere
+            ctx, sides = np.where(done, 0, ctx), np.where(done, 0, sides)
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h, ctx, doc, tie, pos, sides, done)], schema=_FOUND)
 
     return scan
@@ -221,7 +224,7 @@ def _judge(batches):
 
 def _of_owners(cols) -> pa.RecordBatch:
     h, ctx, doc, tie, pos, sides, done = cols
-    out = [(h[done], doc[done], tie[done], pos[done], np.ones(int(done.sum()), bool))]  # of any shard
+    out = [(np.zeros(int(done.sum()), np.int64), doc[done], tie[done], pos[done], np.ones(int(done.sum()), bool))]  # of any shard
     h, ctx, doc, tie, pos, sides = (x[~done] for x in (h, ctx, doc, tie, pos, sides))
     if len(h):
         o, new, rank = _ranked(h, ctx, doc, tie, pos)
@@ -230,7 +233,7 @@ def _of_owners(cols) -> pa.RecordBatch:
         look[:-1] |= rank[1:] == 1
         first = np.flatnonzero(new)
         fh, fs = h[first], sides[first]
-        for side in (fs >> 32, fs & 0xFFFFFFFF):
+        for side in (fs >> SIDE_BITS, fs & ((1 << SIDE_BITS) - 1)):
             k = np.lexsort((side, fh))
             eq = (fh[k][1:] == fh[k][:-1]) & (side[k][1:] == side[k][:-1]) & (side[k][1:] != 0)
             look[first[k[1:][eq]]] = look[first[k[:-1][eq]]] = True
@@ -242,7 +245,7 @@ def _of_owners(cols) -> pa.RecordBatch:
         crowded = np.bincount(owner, weights=new)[owner] > CROWDED
         shard = np.where(crowded, h, page[o][np.flatnonzero(head)][owner])
         for some, is_done in ((rank > 1, True), (look & (rank < 2), False)):
-            out.append((shard[some], doc[some], tie[some], pos[some], np.full(int(some.sum()), is_done)))
+            out.append((np.where(is_done, 0, shard[some]), doc[some], tie[some], pos[some], np.full(int(some.sum()), is_done)))
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], schema=_JUDGED)
 
 
@@ -365,7 +368,10 @@ def suffix_dedup(docs: DataFrame, hot: int = HOT, sample: int = SAMPLE) -> DataF
     """
     spark = docs.sparkSession
     text = F.coalesce("text", F.lit(""))
-    half = F.shiftrightunsigned(F.xxhash64(text), 1)
+    # ids that are all different need no ties, which would not compress
+    same = F.coalesce(F.col("doc_id").cast("bigint"), F.lit((1 << 63) - 1)).alias("doc")
+    alike = not docs.groupBy(same).count().where("count > 1").limit(1).isEmpty()
+    half = F.shiftrightunsigned(F.xxhash64(text), 1) if alike else F.lit(0).cast("bigint")
     d = docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"),
         F.coalesce(F.col("doc_id").cast("bigint"), F.lit((1 << 63) - 1)).alias("doc"),
