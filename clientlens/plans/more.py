@@ -119,12 +119,12 @@ def route_members(spark, d) -> DataFrame:
 
 
 def identity_stats(spark, d) -> DataFrame:
-    e = census.flagged(derived.log(spark, d))
+    e = clients.with_client(derived.log(spark, d))
     return rollup.identity_stats(clients.features(e), e)
 
 
 def referer_sides(spark, d) -> DataFrame:
-    f = clients.features(census.flagged(derived.log(spark, d)))
+    f = clients.features(clients.with_client(derived.log(spark, d)))
     return f.select(*KEY, "referers", "self_referers", "followed", "www_referers", "apex_referers", F.col("robots_first").cast("int").alias("robots_first"))
 
 
@@ -154,7 +154,7 @@ def robots_patterns(spark, d) -> DataFrame:
 
 
 def kind_cadence(spark, d) -> DataFrame:
-    e = census.flagged(derived.log(spark, d))
+    e = clients.with_client(derived.log(spark, d))
     c = clients.features(e).withColumn("kind", F.when(F.col("page_count") > 10, "wide").otherwise("narrow"))
     return rollup.kind_cadence(c, clients.request_buckets(e))
 

@@ -76,7 +76,7 @@ DELAYS = "User-agent: Google\nCrawl-delay: 5\n\nUser-agent: Googlebot\nCrawl-del
 
 
 def crawl_delay(spark, d) -> DataFrame:
-    e = _flagged(spark, d)
+    e = clients.with_client(derived.log(spark, d))
     said = agent_profile(e).select(F.col("user_agent").alias("_u"), "product")
     f = clients.features(e)
     f = f.join(said, F.col("client_ua").eqNullSafe(F.col("_u")), "left")
