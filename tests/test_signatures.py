@@ -4,6 +4,7 @@ import base64
 import datetime
 
 import pytest
+from conftest import SF
 
 from clientlens.functions import structured as st
 from clientlens.operators import signatures
@@ -94,3 +95,22 @@ def test_clients(spark):
 @pytest.mark.parametrize(("text", "want"), [('"https://a.org"', "https://a.org"), ('k="https://b.org";p', "https://b.org"), ("https://c.org, x", "https://c.org"), ("", None), (None, None), ("tok", None), ("7", None)])
 def test_agent_urls(text, want):
     assert signatures._agent_url(text) == want
+
+
+def test_multiples_are_those_of_doubling():
+    table = st.base_multiples()
+    for n in (0, 1, 15, 16, st.ORDER - 1, (1 << 255) - 19):
+        assert st.compress(st.times_known(n, table)) == st.compress(st.times(n, st.base_point()))
+    key = base64.urlsafe_b64decode(HTTP_KEY + "=")
+    s = base64.b64decode(HTTP_SIGNATURE)
+    for often in (False, True):
+        assert st.valid_signature(key, HTTP_BASE.encode(), s, often) and not st.valid_signature(key, HTTP_BASE.encode() + b".", s, often)
+        assert not st.valid_signature(b"\xff" * 32, b"", s, often)
+
+
+def test_requests_are_signed_and_checked_once(spark, monkeypatch):
+    made_times = spark.sparkContext.accumulator(0)
+    own = made.sign
+    monkeypatch.setattr(made, "sign", lambda *a: (made_times.add(1), own(*a))[1])
+    assert made.signed_clients(spark, SF).count()
+    assert made_times.value == spark.read.parquet(f"{SF}/customer.parquet").count()
