@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clientlens.llm.common import stored
+from clientlens.llm.common import stored, worker_store
 
 WINDOW = 10
 #: Windows in one broadcast; a larger benchmark is searched for in several passes.
@@ -144,15 +144,9 @@ class Windows:
         return out
 
 
-_BUILT: dict[str, Windows] = {}
-
-
 def built(name: str, pieces: list[tuple[str | None, bytes]]) -> Windows:
     """The tables of one block, made once in a worker; one block is kept at a time."""
-    if name not in _BUILT:
-        _BUILT.clear()
-        _BUILT[name] = Windows(pieces)
-    return _BUILT[name]
+    return worker_store(f"windows {name}", lambda: Windows(pieces))
 
 
 def item_pieces(benchmark: DataFrame, piece_words: int = PIECE_WORDS) -> DataFrame:

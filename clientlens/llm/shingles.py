@@ -7,6 +7,8 @@ import hashlib
 import numpy as np
 import xxhash
 
+from clientlens.llm.common import worker_store
+
 WORDS = 5
 _MIX = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], dtype=np.uint64)
 _STEPS = np.array([pow(0xD6E8FEB86659FD93, k + 1, 1 << 64) for k in range(64)], dtype=np.uint64)
@@ -32,8 +34,6 @@ class WordHashes(dict):
         return out
 
 
-_WORDS = WordHashes()
-
 
 def shingle_set(text: bytes | None, words: int = WORDS) -> np.ndarray:
     """Sorted distinct hashes of ``words``-word shingles; A-Z lower-cased, words
@@ -41,7 +41,7 @@ def shingle_set(text: bytes | None, words: int = WORDS) -> np.ndarray:
     found = (text or b"").lower().split()
     if not found:
         return np.empty(0, np.uint64)
-    w = np.frombuffer(b"".join(map(_WORDS.__getitem__, found)), dtype="<u8")
+    w = np.frombuffer(b"".join(map(worker_store("shingles", WordHashes).__getitem__, found)), dtype="<u8")
     k = min(words, len(w))
     n = len(w) - k + 1
     out = w[:n] * _STEPS[0]

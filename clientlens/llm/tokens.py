@@ -6,6 +6,8 @@ import re
 
 import numpy as np
 
+from clientlens.llm.common import worker_store
+
 DEFAULT_VOCAB = "byte_bpe_50k.json"
 
 
@@ -68,11 +70,6 @@ class Pieces:
         return out
 
 
-_LOADED: dict[str, Pieces] = {}
-
-
 def pieces(path: str) -> Pieces:
     """One vocabulary per Python worker."""
-    if path not in _LOADED:
-        _LOADED[path] = Pieces(path)
-    return _LOADED[path]
+    return worker_store(f"pieces {path}", lambda: Pieces(path))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clientlens.llm.common import stored
+from clientlens.llm.common import stored, worker_store
 
 #: The classifier's size: labelled rows it is fitted on at most, features it keeps,
 #: and documents of the sample that a feature must occur in.
@@ -51,6 +51,7 @@ def character_counts(docs: DataFrame) -> np.ndarray:
     """
 
     def count(batches):
+        worker_store("toxicity", dict)  # what another operator kept goes
         table = np.zeros(N**3, dtype=np.int64)
         for b in batches:
             for t in b.column("text").cast(pa.binary()):
@@ -237,6 +238,7 @@ def score(docs: DataFrame, bias: float, weights: dict[str, float], costs: np.nda
     at = base.columns.index("text")
 
     def run(batches):
+        worker_store("toxicity", dict)
         words = Features(costs, weights)
         for b in batches:
             out = []
