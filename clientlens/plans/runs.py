@@ -9,7 +9,7 @@ from clientlens.operators import clients, network
 from clientlens.plans import census, derived
 from clientlens.plans.more import _PLAIN
 from clientlens.sources import ends, logs
-from clientlens.sources.shared import shared_folder
+from clientlens.sources.shared import kept, shared_folder
 
 #: Days of the month in each file; by name they are not in order of time.
 FILES = {"access.log": (21, 31), "access.log.1": (11, 20), "access.log.2": (0, 10)}
@@ -19,8 +19,10 @@ def rotated(spark, d) -> str:
     """A folder of three files, the newest first by name."""
     folder = shared_folder(spark, "rotated")
     e = derived.log(spark, d).withColumn("t", F.date_format("ts", "dd/MMM/yyyy:HH:mm:ss"))
+    # lines are made by all tasks and once; the one task that writes a file only sorts them
+    lines = kept(e.selectExpr("seq", "dayofmonth(ts) AS day", f"{_PLAIN} AS value"), "lines")
     for name, (a, b) in FILES.items():
-        own = e.where(F.dayofmonth("ts").between(a, b)).orderBy("seq").selectExpr(f"{_PLAIN} AS value")
+        own = lines.where(F.col("day").between(a, b)).orderBy("seq").select("value")
         own.coalesce(1).write.text(f"{folder}/{name}")
     return folder
 

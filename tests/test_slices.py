@@ -13,3 +13,13 @@ def test_flags_after_the_exchange_are_those_before(spark):
     assert set(before.columns) == set(after.columns)
     rows = lambda d: sorted(map(str, d.select(*cols).collect()))
     assert rows(before) == rows(after)
+
+
+def test_writing_slices_limits_methods_and_restores_the_setting(spark, monkeypatch):
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    setting, seen, write = "spark.sql.codegen.hugeMethodLimit", [], DataFrameWriter.parquet
+    was = spark.conf.get(setting)
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, path: (seen.append(spark.conf.get(setting)), write(self, path))[1])
+    assert clients.in_slices(clients.with_client(derived.log(spark, SF).where("seq < 50")), 2).count() == 50
+    assert seen == ["8000"] and spark.conf.get(setting) == was
