@@ -170,12 +170,17 @@ def _made_name(kind: Column, canon: Column, sex: Column, attempt: Column, digest
     return F.when(canon.rlike(r"\p{IsCyrillic}"), made("cyrillic")).when(canon.rlike(r"\p{IsGreek}"), made("greek")).otherwise(made("latin"))
 
 
-def surrogate(kind: Column, canon: Column, attempt: Column, sex: Column, key: str = KEY) -> Column:
+def _digest(kind: Column, canon: Column, attempt: Column, key: str = KEY) -> Column:
+    return F.sha2(F.concat_ws("|", F.lit(key), kind, attempt.cast("string"), canon), 512)
+
+
+def surrogate(kind: Column, canon: Column, attempt: Column, sex: Column, key: str = KEY, digest: Column | None = None) -> Column:
     """A keyed stand-in for an entity of its kind: keys keep their prefix and
     classes of characters, cards their first digit and check, IBANs their country
     and check, addresses their kind of network, social security numbers are
-    issuable ones, names sound like names of their script and gender."""
-    digest = F.sha2(F.concat_ws("|", F.lit(key), kind, attempt.cast("string"), canon), 512)
+    issuable ones, names sound like names of their script and gender.  ``digest``:
+    a column that holds the digest, which each character would else make anew."""
+    digest = _digest(kind, canon, attempt, key) if digest is None else digest
     chars = lambda c, f: F.array_join(F.transform(F.split(c, ""), f), "")
     number = lambda c: chars(c, lambda x, i: _pick(DIGITS, _byte(digest, i)))
     by_class = lambda x, i: (
@@ -256,7 +261,10 @@ def surrogates(entities: DataFrame, key: str = KEY) -> DataFrame:
     todo = real
     for _ in range(RETRIES):
         todo = todo.repartition(n, "kind", "canon")
-        made = stored(todo.withColumn("made", surrogate(F.col("kind"), F.col("canon"), F.col("attempt"), F.col("sex"), key)), "pii-made")
+        # the digest is a column of its own: its one evaluation a row, and a far smaller expression
+        e = [F.col(c) for c in ("kind", "canon", "attempt")]
+        with_digest = todo.withColumn("_digest", _digest(*e, key))
+        made = stored(with_digest.withColumn("made", surrogate(*e, F.col("sex"), key, F.col("_digest"))).drop("_digest"), "pii-made")
         first = made.groupBy("kind", "made").agg(F.min("canon").alias("owner"))
         taken = real.select("kind", F.col("canon").alias("made"), F.lit(True).alias("hit"))
         if fixed is not None:
