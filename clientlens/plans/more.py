@@ -120,7 +120,7 @@ def route_members(spark, d) -> DataFrame:
 
 def identity_stats(spark, d) -> DataFrame:
     e = clients.with_client(derived.log(spark, d))
-    return rollup.identity_stats(clients.features(e), e)
+    return rollup.identity_stats(e.groupBy(*KEY).agg(F.count(F.lit(1)).alias("requests")), e)
 
 
 def referer_sides(spark, d) -> DataFrame:
