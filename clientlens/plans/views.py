@@ -78,7 +78,8 @@ DELAYS = "User-agent: Google\nCrawl-delay: 5\n\nUser-agent: Googlebot\nCrawl-del
 def crawl_delay(spark, d) -> DataFrame:
     e = clients.with_client(derived.log(spark, d))
     said = agent_profile(e).select(F.col("user_agent").alias("_u"), "product")
-    f = clients.features(e)
+    o = clients.ordered(e)
+    f = census.joined(o.groupBy(*KEY).agg(F.count(F.lit(1)).alias("requests")), clients.gaps(o), KEY)  # measures other than gaps are not asked for
     f = f.join(said, F.col("client_ua").eqNullSafe(F.col("_u")), "left")
     return robots.with_delay(f, DELAYS).select(*KEY, "crawl_delay", "matched_group", F.col("delay_respected").cast("int").alias("delay_respected"))
 
