@@ -16,6 +16,7 @@ many surroundings have one of their own.
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,9 @@ SIDE = (LENGTH - GRAM) // 2  # a match reaches this far left or right of its own
 SIDE_BITS = 16
 CHUNK, PAGE = 1 << 18, 11  # bytes looked at in one go; bits of a place within a page
 SHARD_BYTES = 1 << 17
+#: Stretches are dealt in so many rounds, by owner: what a round shuffled is removed
+#: before the next one shuffles, so disk holds one round's at a time.
+ROUNDS = 2
 #: Text bytes and stretches that a task of the two exchanges takes, about.
 BYTES_PER_TASK, STRETCHES_PER_TASK = 16 << 20, 20_000
 #: Owners with more surroundings than HOT, estimated on a SAMPLE-th of the texts, have
@@ -65,8 +69,8 @@ def _grams(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return h, h[:-GRAM] * _POWERS[4] + h[GRAM:]
 
 
-def owners(texts: list[bytes]) -> tuple[np.ndarray, ...]:
-    """Per stretch: its owner's hash, a hash of the bytes its strings cover, hashes
+def owners(texts: list[bytes], turn: int | None = None) -> tuple[np.ndarray, ...]:
+    """Per stretch (of the owners of one round, if ``turn`` names it): its owner's hash, a hash of the bytes its strings cover, hashes
     of what is left and right of the owner (in one number), number of its text,
     first string, last string and the owner's place.  Texts shorter than a string
     have none."""
@@ -92,6 +96,9 @@ def owners(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     new = np.append(True, (np.diff(at) != 0) | (np.diff(v) != 1))
     lo, p = v[new], at[new]
     hi = v[np.append(np.flatnonzero(new)[1:] - 1, len(v) - 1)]
+    if turn is not None:
+        own = (mix64(h[p]) >> np.uint64(32)) % np.uint64(ROUNDS) == turn
+        lo, hi, p = lo[own], hi[own], p[own]
     end = hi + LENGTH
     ctx = ((end - lo) * 256 + (p - lo)).astype(np.uint64)
     for t in range(-(-(2 * LENGTH - GRAM) // WIDE)):
@@ -145,8 +152,8 @@ def _ranked(h, ctx, doc, tie, pos) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return o[keep], new, at - at[new][np.cumsum(new) - 1]
 
 
-def _stretches(texts: list[bytes], hot: np.ndarray) -> tuple[np.ndarray, ...]:
-    found = owners(texts)[:-1]
+def _stretches(texts: list[bytes], hot: np.ndarray, turn: int | None = None) -> tuple[np.ndarray, ...]:
+    found = owners(texts, turn)[:-1]
     if not len(hot) or not len(found[0]):
         return found
     at = np.minimum(np.searchsorted(hot, found[0]), len(hot) - 1)
@@ -157,8 +164,8 @@ def _stretches(texts: list[bytes], hot: np.ndarray) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate([x[~some], y]) for x, y in zip(found, single, strict=True))
 
 
-def _scan(hot: np.ndarray):
-    """Stretches of every text.  The third and later of a kind in a batch are done:
+def _scan(hot: np.ndarray, turn: int):
+    """Stretches of every text whose owner has its turn.  The third and later of a kind in a batch are done:
     they start again what starts earlier, so frequent ones stay few."""
 
     def scan(batches):
@@ -166,7 +173,7 @@ def _scan(hot: np.ndarray):
             docs, ties = (b.column(c).to_numpy() for c in ("doc", "tie"))
             cols = []
             for first, texts in _chunks(b.column("text").cast(pa.binary()).to_pylist()):
-                h, ctx, sides, of, lo, hi = _stretches(texts, hot)
+                h, ctx, sides, of, lo, hi = _stretches(texts, hot, turn)
                 if len(h):
                     cols.append((h.view(np.int64), ctx.view(np.int64), docs[first + of], ties[first + of], _pack(lo, hi), sides))
             if not cols:
@@ -360,9 +367,10 @@ def suffix_dedup(docs: DataFrame, hot: int = HOT, sample: int = SAMPLE) -> DataF
     document and lose the same bytes; an empty table gives no rows; other columns
     are ignored.
 
-    Plan: one exchange of stretches (a row for about 35 bytes of text) by owner
-    hash, sorted and streamed owner by owner, after the third and later of a kind
-    in a batch are settled; two exchanges of texts by id.  Owners with very many
+    Plan: an exchange of stretches (a row for about 35 bytes of text) by owner
+    hash in ROUNDS rounds, each a scan of the texts, sorted and streamed owner by
+    owner, after the third and later of a kind in a batch are settled; two
+    exchanges of texts by id.  Owners with very many
     surroundings have their strings dealt one by one, so no owner fills a task;
     the numbers of tasks follow the bytes.  Lineage ends at written tables.
     """
@@ -380,11 +388,12 @@ def suffix_dedup(docs: DataFrame, hot: int = HOT, sample: int = SAMPLE) -> DataF
     )
     total = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     tasks = lambda n, each: int(max(parallelism(spark), -(-n // each)))
-    found = d.select("doc", "tie", "text").mapInArrow(
-        _scan(hot_owners(d, hot, sample)), "h bigint, ctx bigint, doc bigint, tie bigint, pos bigint, sides bigint, done boolean"
-    )
-    found = found.repartition(tasks(total, BYTES_PER_TASK), "h").sortWithinPartitions("h")
-    judged = stored(found.mapInArrow(_judge, "shard bigint, doc bigint, tie bigint, pos bigint, done boolean"), "stretches")
+    most, rounds = hot_owners(d, hot, sample), []
+    for turn in range(ROUNDS):
+        found = d.select("doc", "tie", "text").mapInArrow(_scan(most, turn), "h bigint, ctx bigint, doc bigint, tie bigint, pos bigint, sides bigint, done boolean")
+        found = found.repartition(tasks(total // ROUNDS, BYTES_PER_TASK), "h").sortWithinPartitions("h")
+        rounds.append(stored(found.mapInArrow(_judge, "shard bigint, doc bigint, tie bigint, pos bigint, done boolean"), "stretches"))
+    judged = reduce(DataFrame.union, rounds)
     look = judged.where("not done")
     items = look.groupBy("doc", "tie").agg(F.collect_set(F.struct("shard", "pos")).alias("items"))
     cut = d.select("doc", "tie", "text").join(items, ["doc", "tie"]).select("doc", "tie", "text", "items").mapInArrow(_cut, "shard bigint, doc bigint, tie bigint, start bigint, bytes binary")

@@ -20,3 +20,11 @@ def test_null_id_and_largest_id_are_two_documents(spark):
     rows = [(None, text), ((1 << 63) - 1, text), (3, text[:120])]
     got = {r["doc_id"]: r["n_removed"] for r in repeats.suffix_dedup(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert got == {3: 0, (1 << 63) - 1: 120, None: 256}
+
+
+def test_rounds_part_the_stretches_by_owner():
+    texts = ["".join(hashlib.sha256(f"{k} {i}".encode()).hexdigest() for i in range(40)).encode() for k in (1, 1, 2)] + [b"", b"short"]
+    rows = lambda found: sorted(zip(*(x.tolist() for x in found), strict=True))
+    parts = [repeats.owners(texts, turn) for turn in range(repeats.ROUNDS)]
+    assert sorted(r for p in parts for r in rows(p)) == rows(repeats.owners(texts)) and all(len(p[0]) for p in parts)
+    assert not set(parts[0][0].tolist()) & set(parts[1][0].tolist())
